@@ -6,8 +6,16 @@ import importlib
 
 #: (module, query) in the order of the operators.
 QUERIES = [
+    ("toxicity", "op1_toxicity"),
+    ("packing", "op2_packing"),
+    ("secret_scan", "op3_secret_scan"),
+    ("line_dedup", "op4_line_dedup"),
+    ("bpe", "op5_bpe"),
+    ("embedding_dedup", "op6_embedding_dedup"),
+    ("license_scan", "op7_license_scan"),
     ("minhash_dedup", "op8_minhash_dedup"),
     ("exact_dedup", "op9_exact_dedup"),
+    ("quality", "op10_quality"),
 ]
 
 

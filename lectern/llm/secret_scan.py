@@ -21,7 +21,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table, text_or_empty
+from .shared import small, stored, table, text_or_empty
 
 #: The base kinds in their order, as given. Group 1 is what stands before the value.
 ASSIGN = r"""((?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -71,7 +71,7 @@ def _line(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(id_col, base, spans): arrays of (start, end, kind) for each row of ``docs``; kinds are indexes of ORDER.
+    """(id_col, key, base, spans): a hash of the text, and arrays of (start, end, kind) for each row of ``docs``; kinds are indexes of ORDER.
 
     Places are code points, the end exclusive, sorted by start and then by kind. A null or empty text has
     none. ``base`` holds the base kinds; ``spans`` also the weak parts that complementary ones confirm; a weak
@@ -101,7 +101,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     added = added.select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), "more")
     out = found.join(added, F.col(id_col).eqNullSafe(F.col("i2")) & (F.col("key") == F.col("k2")), "left")
     more = F.filter(F.coalesce("more", F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.select(id_col, "base", F.when(F.size(more) > 0, _sorted(F.concat("base", more))).otherwise(F.col("base")).alias("spans"))
+    return out.select(id_col, "key", "base", F.when(F.size(more) > 0, _sorted(F.concat("base", more))).otherwise(F.col("base")).alias("spans"))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,5 +111,27 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, *(n(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)), F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.col("spans")).alias("spans"))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with each stretch of spans (overlapping ones as one) replaced by ``mark``; all rows stay.
+
+    A null text stays null. A column n_chars, if there is one, is counted anew where the text changed.
+    """
+    found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
+    found = stored(found, "secrets")
+    joined = docs.join(small(found), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")), "left")
+    text = F.col(text_col)
+
+    def step(done: Column, span: Column) -> Column:
+        ahead = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), span["start"] - done["at"]))
+        more = F.when(span["start"] >= done["at"], F.concat(done["out"], ahead, F.lit(mark))).otherwise(done["out"])
+        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), more.alias("out"))
+
+    whole = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    changed = F.col("_spans").isNotNull()
+    out = joined.withColumn("_new", F.when(changed, whole).otherwise(text))
+    columns = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*columns)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
