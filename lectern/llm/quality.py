@@ -18,20 +18,25 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .shared import prepare, stored, table
 
-#: Labeller, feature's value up to which it votes bad, and from which it votes good (reversed where larger is worse).
+#: Labeller, feature's value up to which it votes bad (from which, where larger is worse), and value from which
+#: it votes good, if it ever does: most know one defect and have nothing to say of a text without it.
 LABELLERS = [
-    ("symbols", 0.03, 0.005),
-    ("upper", 0.30, 0.10),
-    ("repeats", 0.20, 0.05),
-    ("digits", 0.15, 0.05),
-    ("breaks", 0.30, 0.60),
-    ("variety", 0.15, 0.30),
-    ("words", 8.0, 30.0),
-    ("length", 2.0, 3.0),
+    ("symbols", 0.03, None, "above"),
+    ("upper", 0.30, None, "above"),
+    ("repeats", 0.20, None, "above"),
+    ("digits", 0.15, None, "above"),
+    ("breaks", 0.30, 0.80, "below"),
+    ("variety", 0.15, 0.40, "below"),
+    ("words", 4.0, None, "below"),
+    ("length", 2.0, None, "below"),
 ]
-#: Hashed features; bounds of the training sample; passes over it; a text with this score or more is kept. Good texts
-#: score close to 1, so the threshold stands well above the even odds that mixed votes give.
-FEATURES, SAMPLE_ROWS, SAMPLE_CHARS, PASSES, THRESHOLD = 4096, 3000, 20_000, 60, 0.9
+#: Beliefs about any labeller, as shares of bad, good and no votes on bad and on good texts, and their weight
+#: as a multiple of all texts: a defect's labeller is seldom wrong, and each finds a part of the bad texts;
+#: a good vote says little, since one virtue doesn't rule out another defect.
+BELIEF = np.array([[0.20, 0.40, 0.40], [0.003, 0.517, 0.48]])
+WEIGHT = 2
+#: Hashed features; bounds of the training sample; passes over it; a text with this score or more is kept.
+FEATURES, SAMPLE_ROWS, SAMPLE_CHARS, PASSES, THRESHOLD = 4096, 3000, 20_000, 60, 0.5
 
 _LETTER, _UPPER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[0x41:0x5B] = True
@@ -97,11 +102,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def votes(values: np.ndarray) -> np.ndarray:
     """0 for bad, 1 for good, 2 for neither, by text and labeller; as one number in base 3 by pattern()."""
-    bad, good = np.array([b for _, b, _ in LABELLERS]), np.array([g for _, _, g in LABELLERS])
-    up = good > bad
-    is_bad = np.where(up, values <= bad, values >= bad)
-    is_good = np.where(up, values >= good, values <= good)
-    return np.where(is_bad, 0, np.where(is_good, 1, 2))
+    out = np.full(values.shape, 2)
+    for k, (_, bad, good, side) in enumerate(LABELLERS):
+        x = values[:, k]
+        if good is not None:
+            out[x >= good, k] = 1
+        out[x >= bad if side == "above" else x <= bad, k] = 0
+    return out
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
@@ -111,12 +118,12 @@ def pattern(v: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Posterior that a text with each pattern is good: two classes, labellers independent within each."""
     v = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    share = (v == 1).sum(1) / np.maximum((v != 2).sum(1), 1)
-    posterior = np.clip(np.where((v == 0).sum(1) >= 1, 0.3 * share, 0.95), 0.02, 0.98)
+    posterior = np.where((v == 0).any(1), 0.1, 0.95)
+    believed = BELIEF * WEIGHT * counts.sum()
     for _ in range(rounds):
         w = np.stack([1 - posterior, posterior]) * counts
         prior = (w.sum(1) + 1) / (counts.sum() + 2)
-        table_ = np.stack([[[(w[c] * (v[:, k] == x)).sum() + 0.5 for x in range(3)] for k in range(v.shape[1])] for c in range(2)])
+        table_ = np.stack([[[(w[c] * (v[:, k] == x)).sum() + 0.5 + believed[c, x] * prior[c] for x in range(3)] for k in range(v.shape[1])] for c in range(2)])
         table_ /= table_.sum(2, keepdims=True)
         logs = np.log(prior)[:, None] + np.stack([np.log(table_[c][np.arange(v.shape[1]), v]).sum(1) for c in range(2)])
         posterior = 1 / (1 + np.exp(logs[0] - logs[1]))
