@@ -19,21 +19,21 @@ from . import textbytes as tb
 from .shared import prepare, stored, table
 
 #: Labeller, feature's value up to which it votes bad (from which, where larger is worse), and value from which
-#: it votes good, if it ever does: most know one defect and have nothing to say of a text without it.
+#: it votes good, if it ever does: each of these knows one defect and has nothing to say of a text without it.
 LABELLERS = [
     ("symbols", 0.03, None, "above"),
     ("upper", 0.30, None, "above"),
     ("repeats", 0.20, None, "above"),
     ("digits", 0.15, None, "above"),
-    ("breaks", 0.30, 0.80, "below"),
-    ("variety", 0.15, 0.40, "below"),
-    ("words", 4.0, None, "below"),
+    ("breaks", 0.30, None, "below"),
+    ("variety", 0.15, None, "below"),
+    ("words", 1.0, None, "below"),
     ("length", 2.0, None, "below"),
 ]
 #: Beliefs about any labeller, as shares of bad, good and no votes on bad and on good texts, and their weight
 #: as a multiple of all texts: a defect's labeller is seldom wrong, and each finds a part of the bad texts;
 #: a good vote says little, since one virtue doesn't rule out another defect.
-BELIEF = np.array([[0.20, 0.40, 0.40], [0.003, 0.517, 0.48]])
+BELIEF = np.array([[0.20, 0.30, 0.50], [0.003, 0.497, 0.50]])
 WEIGHT = 2
 #: Hashed features; bounds of the training sample; passes over it; a text with this score or more is kept.
 FEATURES, SAMPLE_ROWS, SAMPLE_CHARS, PASSES, THRESHOLD = 4096, 3000, 20_000, 60, 0.5
@@ -119,11 +119,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.
     """Posterior that a text with each pattern is good: two classes, labellers independent within each."""
     v = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     posterior = np.where((v == 0).any(1), 0.1, 0.95)
-    believed = BELIEF * WEIGHT * counts.sum()
+    # A labeller that never votes good has the shares of good and no votes for none.
+    speaks = np.array([good is not None for _, _, good, _ in LABELLERS])
+    whole = np.stack([BELIEF[:, 0], np.zeros(2), BELIEF[:, 1:].sum(1)], 1)
+    believed = [[np.where(speaks[k], BELIEF[c], whole[c]) * WEIGHT * counts.sum() for k in range(v.shape[1])] for c in range(2)]
     for _ in range(rounds):
         w = np.stack([1 - posterior, posterior]) * counts
         prior = (w.sum(1) + 1) / (counts.sum() + 2)
-        table_ = np.stack([[[(w[c] * (v[:, k] == x)).sum() + 0.5 + believed[c, x] * prior[c] for x in range(3)] for k in range(v.shape[1])] for c in range(2)])
+        table_ = np.stack([[[(w[c] * (v[:, k] == x)).sum() + 0.5 + believed[c][k][x] * prior[c] for x in range(3)] for k in range(v.shape[1])] for c in range(2)])
         table_ /= table_.sum(2, keepdims=True)
         logs = np.log(prior)[:, None] + np.stack([np.log(table_[c][np.arange(v.shape[1]), v]).sum(1) for c in range(2)])
         posterior = 1 / (1 + np.exp(logs[0] - logs[1]))
