@@ -34,7 +34,7 @@ LABELLERS = [
 #: as a multiple of all texts: a defect's labeller is seldom wrong, and each finds a part of the bad texts;
 #: a good vote says little, since one virtue doesn't rule out another defect.
 BELIEF = np.array([[0.20, 0.30, 0.50], [0.003, 0.497, 0.50]])
-WEIGHT = 2
+WEIGHT = 10
 #: Hashed features; bounds of the training sample; passes over it; a text with this score or more is kept.
 FEATURES, SAMPLE_ROWS, SAMPLE_CHARS, PASSES, THRESHOLD = 4096, 3000, 20_000, 60, 0.5
 
