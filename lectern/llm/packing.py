@@ -9,6 +9,7 @@ Each piece is a boundary record: which ids of which text lie where in which sequ
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,14 +32,13 @@ def coder(path: str) -> Chunked:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
         def encode(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
         _CODERS[path] = Chunked(encode)
     return _CODERS[path]

@@ -10,8 +10,9 @@ WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\
 #: White space and the word after it. Matches of the pattern never cross from one chunk to the next: only
 #: the last blank before a word belongs to a match with it, and nothing looks behind.
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Most chunks whose ids a Python worker keeps; beyond it the table is emptied and fills again.
-CACHED = 1_000_000
+#: About as many chunks' ids as a Python worker keeps, in two generations: a full young table becomes the
+#: old one, whose chunks come back as they are met again.
+CACHED = 700_000
 
 
 def pattern(pat: str):
@@ -25,22 +26,21 @@ class Chunked:
     """Encodes texts by their chunks; ``encode`` gives the ids (little-endian uint32 bytes) of many chunks."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], cached: int = CACHED):
-        self.encode, self.cached, self.known = encode, cached, {}
+        self.encode, self.cached, self.known, self.old = encode, cached, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known, split = self.known, CHUNK.findall
+        if len(self.known) > self.cached // 2:
+            self.old, self.known = self.known, {}
+        known, old, split = self.known, self.old, CHUNK.findall
         chunks = [split(t or "") for t in texts]
-        found = set().union(*chunks)
-        new = found.difference(known)
-        if len(known) + len(new) > self.cached:
-            known.clear()
-            new = found
-        new = list(new)
+        new = set().union(*chunks).difference(known)
+        known.update({c: old[c] for c in new.intersection(old)})
+        new = list(new.difference(known))
         known.update(zip(new, self.encode(new), strict=True))
         return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 
-def groups(texts: list[str | None], most: int = 8_000_000):
+def groups(texts: list[str | None], most: int = 1_000_000):
     """Index ranges of texts of at most so many characters together; a longer text is alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
