@@ -10,6 +10,7 @@ start with the smoothed log odds of their presence in toxic sample texts.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +48,17 @@ def _odds(total: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
     return np.clip(np.log(share / (1 - share)) - prior, -1, 4).astype(np.float32)
 
 
-def _presence(keys: np.ndarray, owner: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each key the texts that have it, and the toxic ones."""
-    pairs = np.unique(keys.astype(np.int64) * max(1, len(y)) + owner)
-    key, text = pairs // max(1, len(y)), pairs % max(1, len(y))
-    return np.bincount(key, minlength=size), np.bincount(key, weights=y[text] if len(y) else None, minlength=size)
+def _presence(keys: np.ndarray, bounds: np.ndarray, y: np.ndarray, size: int, texts: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """For each key the texts that have it, and the toxic ones; a few texts at a time."""
+    total, toxic = np.zeros(size, np.int64), np.zeros(size)
+    for a in range(0, len(y), texts):
+        ends = bounds[a : a + texts + 1]
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        pairs = np.unique(keys[ends[0] : ends[-1]].astype(np.int64) * texts + owner)
+        key = pairs // texts
+        total += np.bincount(key, minlength=size)
+        toxic += np.bincount(key, weights=y[a + pairs % texts], minlength=size)
+    return total, toxic
 
 
 def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +102,9 @@ class Network:
         p, n = self.p, len(first)
         if not n:
             return np.zeros((0, WORD + CHAR), np.float32)
-        edges = np.empty(2 * n, np.int64)
-        edges[::2], edges[1::2] = first, end
-        chars = np.add.reduceat(p["chars"][data], edges, axis=0)[::2] / (end - first)[:, None].astype(np.float32)
+        edges, low = np.empty(2 * n, np.int64), first[0]
+        edges[::2], edges[1::2] = first - low, end - low
+        chars = np.add.reduceat(p["chars"][data[low : end[-1] + 1]], edges, axis=0)[::2] / (end - first)[:, None].astype(np.float32)
         return np.concatenate([p["words"][ids], chars], axis=1)
 
     def _run(self, x: np.ndarray, live: np.ndarray | None, d: str, keep: bool):
@@ -164,7 +171,7 @@ class Network:
             g |= {f"u{d}": du, f"wx{d}": dwx, f"bx{d}": dbx}
         return g, dx
 
-    def window_logits(self, inputs: np.ndarray, first: np.ndarray, length: np.ndarray, most: int = 8192) -> np.ndarray:
+    def window_logits(self, inputs: np.ndarray, first: np.ndarray, length: np.ndarray, most: int = 4096) -> np.ndarray:
         out = np.empty(len(first), np.float32)
         for at in range(0, len(first), most):
             f, n = first[at : at + most], length[at : at + most]
@@ -191,15 +198,13 @@ def train(texts: list[str], labels: list[int]) -> Network:
     raw, y = [(t or "").encode() for t in texts], np.array(labels, np.float32)
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     data, starts, end, hashes, bounds = _split(raw) if raw else _split([b""])
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    spots = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])]).astype(np.int64)
     seen, which = np.unique(hashes, return_inverse=True)
-    total, toxic = _presence(which, owner, y, len(seen))
+    total, toxic = _presence(which, bounds, y, len(seen))
     common = np.flatnonzero(total >= 3)
     common = np.sort(common[np.argsort(-total[common], kind="stable")[:VOCABULARY]])
     odds = _odds(total[common], toxic[common], prior)
-    place = np.searchsorted(bounds, np.searchsorted(starts, np.arange(len(data)), "right") - 1, "right") - 1 if len(starts) else np.zeros(0, np.int64)
-    inside = np.flatnonzero(place >= 0) if len(place) else place
-    net = Network(seen[common], odds, _odds(*_presence(data[inside], np.minimum(place[inside], max(0, len(y) - 1)), y, GRAMS), prior), prior)
+    net = Network(seen[common], odds, _odds(*_presence(data, spots, y, GRAMS), prior), prior)
     if len(set(labels)) < 2:
         return net
     ids = net.word_ids(hashes)
@@ -211,7 +216,9 @@ def train(texts: list[str], labels: list[int]) -> Network:
     rank = np.maximum.reduceat(np.concatenate([each, [0]]).astype(np.float32), np.stack([first, first + length], 1).ravel())[::2]
     for epoch in range(EPOCHS):
         if epoch:
-            rank = net.window_logits(net.inputs(data, starts, end, ids), first, length)
+            for a in range(0, len(raw), 100):
+                words, some = slice(bounds[a], bounds[min(a + 100, len(raw))]), slice(*np.searchsorted(text, [a, a + 100]))
+                rank[some] = net.window_logits(net.inputs(data, starts[words], end[words], ids[words]), first[some] - words.start, length[some])
         order = np.lexsort((rank, text))
         top = order[np.append(text[order][1:] != text[order][:-1], True)]
         top = rng.permutation(top)
@@ -255,11 +262,27 @@ def held_out(id_column: Column | str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Train on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS characters, in the order of a hash of their id."""
+    """Train on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS characters, in the order of a hash of their id.
+
+    One task reads the sample and trains; only the network, of a fixed size, comes to the driver. A lost
+    executor means that the task runs again, with the same result. Labels that are null are left out; an id
+    with several labels has a row for each.
+    """
+    prepare(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_ROWS).collect()
-    return train([r.text for r in rows], [r.label for r in rows])
+    picked = known.orderBy(F.xxhash64("id"), "id", "label").limit(SAMPLE_ROWS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "id")
+    sample = rows.orderBy(F.xxhash64("id"), "id", "text", "label").limit(SAMPLE_ROWS).select("text", "label")
+
+    def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels_ = [], []
+        for frame in frames:
+            texts += frame.column(0).to_pylist()
+            labels_ += frame.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels_))], pa.binary())], ["net"])
+
+    made = sample.repartition(1).mapInArrow(learn, "net binary").collect()
+    return pickle.loads(made[0].net) if made else train([], [])
 
 
 def toxicity(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
