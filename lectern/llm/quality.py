@@ -172,7 +172,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = stored(plain.select(text_col).mapInArrow(cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")), "votes").collect()
     known = np.array(sorted((r.pattern, r.n) for r in counted) or [(0, 1)], np.int64)
     posterior = estimate(known[:, 0], known[:, 1].astype(np.float64))
-    picked = plain.select(text_col, F.xxhash64(text_col, id_col).alias("h")).where(F.length(text_col) <= SAMPLE_CHARS).orderBy("h", text_col).limit(SAMPLE_ROWS).collect()
+    hashed = plain.select(text_col, F.xxhash64(text_col, id_col).alias("h")).where(F.length(text_col) <= SAMPLE_CHARS)
+    # The sample's last hash comes first, so that no partition sends more texts than the sample takes of it.
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    picked = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", text_col).limit(SAMPLE_ROWS).collect()
     raw = [(r[0] or "").encode() for r in picked]
     found = np.concatenate([pattern(votes(features(raw[a:b])[0])) for a, b in tb.batches(raw)] or [np.zeros(0, np.int64)])
     weights = train(raw, posterior[np.searchsorted(known[:, 0], found)])
