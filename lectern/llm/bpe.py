@@ -18,56 +18,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretoken import Chunked, groups, pattern
+from .pretoken import Chunked, pattern, spans
 from .shared import prepare, table
 
 
 class Replay:
-    """ranks: token bytes to rank; the rank of two tokens' merge is that of their joined bytes."""
+    """ranks: token bytes to rank; the rank of two tokens' merge is that of their joined bytes.
+
+    Gives each word's ids as little-endian unsigned 32-bit integers.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: b for b, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        #: Rank of the merge of tokens a and b, or -1, by a << 32 | b.
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        #: Rank of the merge of two bytes, or -1.
+        self.first = np.full((256, 256), -1)
+        #: Rank of each possible merge of tokens a and b, by a << 32 | b.
         self.pairs: dict[int, int] = {}
-
-    def _rank(self, pair: int) -> int:
-        r = self.pairs[pair] = self.ranks.get(self.token[pair >> 32] + self.token[pair & 0xFFFFFFFF], -1)
-        return r
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
-        pairs, make, ranks, byte = self.pairs, self._rank, self.ranks, self.byte
-        tokens: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        for w in words:
-            p = len(tokens)
-            starts.append(p)
-            whole = ranks.get(w)
-            if whole is not None:
-                tokens += (whole, -1)
-                continue
-            ids = [byte[b] for b in w]
-            a = ids[0] if ids else -1
-            for b in ids[1:]:
-                if (r := pairs.get(a << 32 | b)) is None:
-                    r = make(a << 32 | b)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
-                a = b
-                p += 1
-            tokens += ids
-            tokens.append(-1)  # an end that merges with nothing
-        n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = list(index)
-        heapq.heapify(heap)
+        for token, r in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = r
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = r
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        whole = [self.ranks.get(w) for w in words]
+        merged = iter(self._merge([w for w, r in zip(words, whole, strict=True) if r is None]))
+        return [next(merged) if r is None else r.to_bytes(4, "little") for r in whole]
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        # Each word is followed by an end, which merges with nothing.
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(size) - 1
+        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        start = self.byte[data]
+        start[ends] = -1
+        ranked = np.append(self.first[data[:-1], data[1:]], -1)
+        ranked[ends] = -1
+        ranked[ends[size > 1] - 1] = -1
+        places_of = np.flatnonzero(ranked >= 0)
+        places_of = places_of[np.argsort(ranked[places_of], kind="stable")]
+        heap, cuts = np.unique(ranked[places_of], return_index=True)
+        heap = heap.tolist()  # sorted, so a heap
+        index = {r: x.tolist() for r, x in zip(heap, np.split(places_of, cuts[1:]), strict=False)}
+        #: By position: the token there, the rank of its merge with the next, its neighbours.
+        tokens, possible, n = start.tolist(), ranked.tolist(), len(data)
+        after, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs.get
         while heap:
             rank = heapq.heappop(heap)
             places = index.pop(rank, None)
@@ -75,47 +76,45 @@ class Replay:
                 continue
             places.sort()
             for k, p in enumerate(places):
-                a, q = tokens[p], after[p]
-                if a < 0 or (b := tokens[q]) < 0 or pairs.get(a << 32 | b) != rank:
+                if possible[p] != rank:
                     continue
-                tokens[p], tokens[q] = rank, -2
+                q = after[p]
+                tokens[p], tokens[q], possible[q] = rank, -2, -1
                 q = after[p] = after[q]
                 before[q] = p
                 lowest, left, b = rank + 1, before[p], tokens[q]
                 if left >= 0 and (a := tokens[left]) >= 0:
-                    if (r := pairs.get(a << 32 | rank)) is None:
-                        r = make(a << 32 | rank)
-                    if r >= 0:
-                        lowest = r
+                    if (r := get(a << 32 | rank)) is None:
+                        possible[left] = -1
+                    else:
+                        lowest = possible[left] = r
                         if r in index:
                             index[r].append(left)
                         else:
                             index[r] = [left]
                             heapq.heappush(heap, r)
-                if b >= 0:
-                    if (r := pairs.get(rank << 32 | b)) is None:
-                        r = make(rank << 32 | b)
-                    if r >= 0:
-                        lowest = min(lowest, r)
-                        if r in index:
-                            index[r].append(p)
-                        else:
-                            index[r] = [p]
-                            heapq.heappush(heap, r)
+                if b < 0 or (r := get(rank << 32 | b)) is None:
+                    possible[p] = -1
+                else:
+                    possible[p] = r
+                    if r < lowest:
+                        lowest = r
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        heapq.heappush(heap, r)
                 if lowest <= rank and k + 1 < len(places):
                     if rank not in index:
                         index[rank] = []
                         heapq.heappush(heap, rank)
                     index[rank].extend(places[k + 1 :])
                     break
-        out = []
-        for s in starts:
-            ids = []
-            while tokens[s] >= 0:
-                ids.append(tokens[s])
-                s = after[s]
-            out.append(ids)
-        return out
+        left_over = np.array(tokens)
+        live = left_over >= 0
+        ids = left_over[live].astype("<u4").tobytes()
+        last = (4 * np.cumsum(live)[ends]).tolist()
+        return [ids[a:b] for a, b in zip([0, *last], last, strict=False)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -132,10 +131,10 @@ def coder(path: str, pat: str) -> tuple[Chunked, Replay]:
         replay, split = Replay(load_ranks(path)), pattern(pat)
 
         def encode(chunks: list[str]) -> list[bytes]:
-            parts = [[m.encode() for m in split.findall(c)] for c in chunks]
-            words = list({w for ws in parts for w in ws})
-            known = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(words, replay(words), strict=True)}
-            return [b"".join([known[w] for w in ws]) for ws in parts]
+            parts = list(map(split.findall, chunks))
+            words = list(set().union(*parts))
+            known = dict(zip(words, replay([w.encode() for w in words]), strict=True))
+            return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in parts]
 
         _CODERS[path, pat] = Chunked(encode), replay
     return _CODERS[path, pat]
@@ -153,9 +152,9 @@ def encode_documents(docs: DataFrame, path: str, pat: str, id_col: str = "doc_id
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = coder(path, pat)
         for frame in frames:
-            texts = frame.column(1).to_pylist()
-            for a, b in groups(texts):
-                yield pa.RecordBatch.from_arrays([frame.column(0).slice(a, b - a), pa.array(encode(texts[a:b]), pa.binary())], [id_col, "ids"])
+            for a, b in spans(frame.column(1)):
+                part = frame.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encode(part.column(1).to_pylist()), pa.binary())], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
@@ -170,8 +169,10 @@ def decode_documents(encoded: DataFrame, path: str, pat: str, ids_col: str = "id
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = coder(path, pat)[1].token
         for frame in frames:
-            made = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in frame.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(made, pa.binary())], names)
+            for a, b in spans(frame.column(at)):
+                part = frame.slice(a, b - a)
+                made = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 

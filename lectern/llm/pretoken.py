@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters with Unicode's White_Space property, as a regular expression's class.
 WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -50,3 +53,15 @@ def groups(texts: list[str | None], most: int = 1_000_000):
         size += len(t or "")
     if at < len(texts):
         yield at, len(texts)
+
+
+def spans(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes together, found without decoding; a longer row is alone."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(column):
+        yield at, len(column)
