@@ -34,15 +34,17 @@ class Replay:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)])
         #: Rank of the merge of two bytes, or -1.
         self.first = np.full((256, 256), -1)
-        #: Rank of each possible merge of tokens a and b, by a << 32 | b.
-        self.pairs: dict[int, int] = {}
+        #: Ranks of all possible merges, by first and then second token, and the other way round.
+        self.second: dict[int, dict[int, int]] = {}
+        self.before: dict[int, dict[int, int]] = {}
         for token, r in ranks.items():
             if len(token) == 2:
                 self.first[token[0], token[1]] = r
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = r
+                    self.second.setdefault(a, {})[b] = r
+                    self.before.setdefault(b, {})[a] = r
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         whole = [self.ranks.get(w) for w in words]
@@ -68,13 +70,15 @@ class Replay:
         index = {r: x.tolist() for r, x in zip(heap, np.split(places_of, cuts[1:]), strict=False)}
         #: By position: the token there, the rank of its merge with the next, its neighbours.
         tokens, possible, n = start.tolist(), ranked.tolist(), len(data)
-        after, before, get = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        nothing: dict[int, int] = {}
         while heap:
             rank = heapq.heappop(heap)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
+            with_second, with_before = self.second.get(rank, nothing).get, self.before.get(rank, nothing).get
             for k, p in enumerate(places):
                 if possible[p] != rank:
                     continue
@@ -82,18 +86,17 @@ class Replay:
                 tokens[p], tokens[q], possible[q] = rank, -2, -1
                 q = after[p] = after[q]
                 before[q] = p
-                lowest, left, b = rank + 1, before[p], tokens[q]
-                if left >= 0 and (a := tokens[left]) >= 0:
-                    if (r := get(a << 32 | rank)) is None:
-                        possible[left] = -1
+                lowest, left = rank + 1, before[p]  # before the first word is the last end
+                if (r := with_before(tokens[left])) is None:
+                    possible[left] = -1
+                else:
+                    lowest = possible[left] = r
+                    if r in index:
+                        index[r].append(left)
                     else:
-                        lowest = possible[left] = r
-                        if r in index:
-                            index[r].append(left)
-                        else:
-                            index[r] = [left]
-                            heapq.heappush(heap, r)
-                if b < 0 or (r := get(rank << 32 | b)) is None:
+                        index[r] = [left]
+                        heapq.heappush(heap, r)
+                if (r := with_second(tokens[q])) is None:
                     possible[p] = -1
                 else:
                     possible[p] = r
@@ -167,11 +170,11 @@ def decode_documents(encoded: DataFrame, path: str, pat: str, ids_col: str = "id
     names = schema.fieldNames()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = coder(path, pat)[1].token
+        token = coder(path, pat)[1].token.__getitem__
         for frame in frames:
             for a, b in spans(frame.column(at)):
                 part = frame.slice(a, b - a)
-                made = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in part.column(at).to_pylist()]
+                made = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
