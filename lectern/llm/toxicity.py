@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import prepare, table
+from .pretoken import spans
+from .shared import prepare, table, trim
 
 WINDOW, STEP = 32, 16
 #: Sizes of the word and character embeddings, of each direction's state, and of the attention layer.
@@ -171,7 +172,7 @@ class Network:
             g |= {f"u{d}": du, f"wx{d}": dwx, f"bx{d}": dbx}
         return g, dx
 
-    def window_logits(self, inputs: np.ndarray, first: np.ndarray, length: np.ndarray, most: int = 4096) -> np.ndarray:
+    def window_logits(self, inputs: np.ndarray, first: np.ndarray, length: np.ndarray, most: int = 1024) -> np.ndarray:
         out = np.empty(len(first), np.float32)
         for at in range(0, len(first), most):
             f, n = first[at : at + most], length[at : at + most]
@@ -279,7 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for frame in frames:
             texts += frame.column(0).to_pylist()
             labels_ += frame.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels_))], pa.binary())], ["net"])
+        net = pickle.dumps(train(texts, labels_))
+        del texts, labels_
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary())], ["net"])
 
     made = sample.repartition(1).mapInArrow(learn, "net binary").collect()
     return pickle.loads(made[0].net) if made else train([], [])
@@ -296,8 +300,12 @@ def toxicity(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            scores = shared.value.scores(frame.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(scores, pa.float64())], names)
+            for a, b in spans(frame.column(at)):
+                part = frame.slice(a, b - a)
+                scores = shared.value.scores(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names)
+        frame = part = None
+        trim()
 
     plain = docs.drop("score", "predicted")
     at, schema = plain.columns.index(text_col), plain.drop("score").schema.add("score", "double")
