@@ -5,6 +5,11 @@ at MOST lines, so an inserted line moves only the boundaries beside it. Chunks o
 text occurs more than once in the table stay in the document with the smallest id, at their first place
 there, and are removed everywhere else. Texts are grouped by their bytes, not by their hash alone, and a
 hash that two different texts share removes nothing.
+
+Chunks alone miss what stands around and between their boundaries, so the query takes whole passages: every
+two adjacent lines are a candidate, at every line. All lines of a repeated run of two lines or more go but
+at its first place, however it lies to any boundary. A pair is known by its two lines' hashes, and the lines
+of one hash are grouped by their bytes as chunks are. A line that repeats alone, beside others, stays.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, small, stored, table
+from .shared import BROADCAST_ROWS, prepare, small, stored, table
 
 SPAN, DIVISOR, MOST = 2, 4, 64
 _BASE, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
+#: Parts that the places of a common pair are dealt into where the repeated pairs are too many to broadcast.
+SALTS = 16
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
@@ -72,9 +79,58 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return texts.groupBy("hash").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("hash", "keeper")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_KINDS = {"id": pa.int64(), "key": pa.int64(), "hash": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "text": pa.string(), "first": pa.int32(), "end": pa.int32(), "again": pa.bool_()}
+
+
+def _line_rows(names: list[str], rows_of):
+    """One row for each that ``rows_of`` (id, key, lines, hashes of the lines) gives."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for at in range(0, frame.num_rows, 1000):
+                part, rows = frame.slice(at, 1000), []
+                for i, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    lines = (text or "").split("\n")
+                    if len(lines) > 1:
+                        rows += rows_of(i, key, lines, [xxhash.xxh3_64_intdigest(x.encode()) - 2**63 for x in lines])
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for c, n in zip(columns, names, strict=True)], names)
+
+    return run
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """Places of the repeated pairs of adjacent lines (id, key, first, end, again, keeper); docs has id, key, text.
+
+    ``again`` holds where the pair stands before in the text and doesn't share a line with its first place there.
+    """
+    texts = docs.mapInArrow(_line_rows(["hash", "text"], lambda i, key, lines, hashes: set(zip(hashes, lines, strict=True))), "hash long, text string").distinct()
+    shared = {r.hash for r in texts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").collect()}
+
+    def pairs(i, key, lines, hashes):
+        return [(i, a, b) for a, b in zip(hashes, hashes[1:], strict=False) if a not in shared and b not in shared]
+
+    def places(i, key, lines, hashes):
+        out, seen = [], {}
+        for k, pair in enumerate(zip(hashes, hashes[1:], strict=False)):
+            out.append((i, key, *pair, k, k + 2, k - seen.setdefault(pair, k) > 1))
+        return out
+
+    counted = docs.mapInArrow(_line_rows(["id", "h1", "h2"], pairs), "id long, h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+    found = stored(counted.where("n > 1").drop("n"), "repeated")
+    placed = docs.mapInArrow(_line_rows(["id", "key", "h1", "h2", "first", "end", "again"], places), "id long, key long, h1 long, h2 long, first int, end int, again boolean")
+    n = found.count()
+    if n <= BROADCAST_ROWS:
+        return placed.join(small(found, n), ["h1", "h2"])
+    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.withColumn("salt", F.pmod(F.xxhash64("id", "key", "first"), F.lit(SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """Rows of ``docs``, the text without its removed lines, and n_lines and n_removed (long).
 
+    By chunks, or, with ``whole``, all repeated passages of two lines or more.
+
     A null text stays null, with no lines; an empty one has one line. A text whose lines are all removed is
     empty. Rows that share an id are one document as to which stays; a null id is larger than all others,
     and where only null ids have a chunk, it stays in all of them. Columns named like the results are
@@ -83,10 +139,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = prepare(docs.sparkSession)
     plain = docs.drop("n_lines", "n_removed")
     keyed = plain.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = stored(repeated_chunks(keyed), "repeated")
-    places = keyed.mapInArrow(_chunk_rows(False), "id long, key long, hash long, first int, end int, nth int")
-    gone = places.join(small(found), "hash").where(~F.col("id").eqNullSafe(F.col("keeper")) | (F.col("id").isNotNull() & (F.col("nth") > 0)))
-    # Rows that repeat an id and its text have the same chunks.
+    if whole:
+        places = repeated_pairs(keyed)
+    else:
+        found = stored(repeated_chunks(keyed), "repeated")
+        places = keyed.mapInArrow(_chunk_rows(False), "id long, key long, hash long, first int, end int, nth int").join(small(found), "hash").withColumn("again", F.col("nth") > 0)
+    gone = places.where(~F.col("id").eqNullSafe(F.col("keeper")) | (F.col("id").isNotNull() & F.col("again")))
+    # Rows that repeat an id and its text have the same places.
     cuts = gone.select(F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), "first", "end").distinct().groupBy("cut_id", "cut_key").agg(F.collect_list(F.struct("first", "end")).alias("cuts"))
     names, at = plain.columns, plain.columns.index(text_col)
     joined = plain.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(text_col) == F.col("cut_key")), "left").select(*(plain[c] for c in names), "cuts")
@@ -112,4 +171,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
