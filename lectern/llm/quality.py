@@ -1,8 +1,12 @@
 """Quality classifier (10): a weak-label model and a hashed linear scorer.
 
 Heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of
-all vote patterns (a few thousand at most, however many texts) estimates each labeller's accuracy and the
-share of good texts; no label is read. The posterior of a text's votes then trains, on a bounded sample, a
+all vote patterns (a few thousand at most, however many texts) estimates the share of good texts and, for
+a small part, each labeller's accuracy; no label is read. Accuracies are mostly fixed: WEIGHT times all
+texts stand behind BELIEF, so an estimate is 1 part data in WEIGHT + 1 however large the input, and a
+labeller that is wrong for a whole source is hardly found out. With less weight the defects' labellers,
+which seldom fire together but for a few that fire on the same defect, are told apart by those few, and
+more than half of the bad texts count as good (figures in the README). The posterior of a text's votes then trains, on a bounded sample, a
 linear scorer over hashed words and word shapes, which scores every whole text.
 """
 
