@@ -228,6 +228,24 @@ def test_license_scan_against_brute_force(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == len(odd_rows()) and license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_finds_wrapped_and_embedded_notices(spark):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    by = {(n, len(t)): t for n, t in license_scan.TEMPLATES}
+    mit, gpl = max((t for n, t in by.items() if n[0] == "MIT"), key=len), next(t for n, t in by.items() if n[0] == "GPL-3.0" and n[1] > 200)
+    texts = {
+        1: "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(mit, 11),
+        2: prose(1, 150) + "\n# " + wrap(gpl, 10).replace("\n", "\n# ") + "\n" + prose(2, 150),
+        3: prose(3, 30) + " Released under the MIT License. " + prose(4, 30) + "\n" + prose(5, 9),
+        4: prose(6, 40) + "\n" + wrap(mit, 9) + "\n" + prose(7, 40) + " licensed under CC BY 4.0. " + prose(8, 40),
+        5: prose(9, 40) + "\n" + wrap(gpl.replace("redistribute", "pass on").replace("any later", "a newer"), 12) + "\n" + prose(10, 40),
+        6: prose(11, 40) + " the software is under the terms of no license at all\n" + prose(12, 40),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [(h.line, h.license) for h in r.hits] for r in license_scan.license_scan(docs).collect()}
+    own = {i: len(t.split("\n")) - 1 for i, t in texts.items()}
+    assert got == {1: [(-1, "MIT")], 2: [(1, "GPL-3.0")], 3: [(0, "MIT")], 4: [(1, "MIT"), (own[4], "CC-BY-4.0")], 5: [(1, "GPL-3.0")], 6: []}
+
+
 def test_embedding_dedup_against_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.standard_normal((40, 16))
