@@ -9,10 +9,12 @@ from __future__ import annotations
 import numpy as np
 
 _RNG = np.random.default_rng(20240229)
-_WEIGHTS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WEIGHTS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes that are hashed at once; a longer word is alone.
+BLOCK = 1_000_000
 
 #: The ASCII white space that ends a word, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -24,15 +26,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least; those of the last size are kept."""
+    size = max(BLOCK, -(-n // BLOCK) * BLOCK)
     if size not in _POWERS:
         out = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
-        _POWERS.clear()
+        if size > BLOCK:
+            return tuple(out)
         _POWERS[size] = tuple(out)
     return _POWERS[size]
 
@@ -46,30 +50,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' lower-cased bytes, a blank after each, and where each text starts (one more than texts)."""
-    data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+def join_texts(texts: list[bytes], gap: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' lower-cased bytes, ``gap`` blanks after each, and where each text starts (one more than texts)."""
+    blanks = b" " * gap
+    data = LOWER[np.frombuffer(blanks.join(texts) + blanks, np.uint8)]
     starts = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+    np.cumsum([len(t) + gap for t in texts], out=starts[1:])
     return data, starts
 
 
 def words(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word in order: first byte, end, 64-bit hash; and where each text's words start (one more than texts)."""
+    """Of each word in order: first byte, end, 64-bit hash; and where each text's words start (one more than texts).
+
+    Hashes are made of BLOCK bytes at a time, so that no array of 8 bytes a byte of text is longer.
+    """
     inside = np.empty(len(data) + 1, bool)
     inside[0] = False
     np.logical_not(breaks[data], out=inside[1:])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, end = edges[::2], edges[1::2]
-    forward, back = _powers(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_WEIGHTS[data] * forward[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[first]) * back[first])
+    hashes, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        low = first[at]
+        to = max(at + 1, int(np.searchsorted(end, low + BLOCK, "right")))
+        part = data[low : end[to - 1]]
+        forward, back = powers(len(part))
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(WEIGHTS[part] * forward[: len(part)], out=sums[1:])
+        hashes[at:to] = mix((sums[end[at:to] - low] - sums[first[at:to] - low]) * back[first[at:to] - low])
+        at = to
     return first, end, hashes, np.searchsorted(first, starts)
 
 
-def batches(texts: list[bytes], most: int = 4_000_000):
+def batches(texts: list[bytes], most: int = 1_000_000):
     """Index ranges of texts of at most so many bytes together; a longer text is alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

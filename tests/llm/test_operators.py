@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, minhash_dedup, packing, quality, secret_scan, toxicity
+from lectern.llm import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, minhash_dedup, packing, pretoken, quality, secret_scan, toxicity
 
 SCHEMA = "doc_id long, text string, kept string, score string, ids string"
 WORDS = "alpha beta gamma delta omega north south river stone cloud green seven eight light water field".split()
@@ -93,14 +94,39 @@ def test_minhash_against_brute_force(spark, odd, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+SPECIAL = ["x<|endoftext|>y", "a <|endoftext|>  <|endoftext|>\n b", "<|endoftext|>", "  \u3000\xa0\n x\u2003", "it's <|endof text|> 's"]
+
+
+def test_chunk_encoder_is_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, r = Tokenizer.from_file(path), random.Random(3)
+    some = "abcdeABC  \n\t'sltvre.,!?123é漢字 \u0301\x1c\x85\u2028\u3000\xa0😀ßſaaaaa"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 40))) for _ in range(1000)] + SPECIAL + ["", None, "a" * 3000]
+    texts += ["".join(r.choice([" ", "\n", "\xa0", "a", "<|endoftext|>", "."]) for _ in range(12)) for _ in range(300)]
+    encode = packing.coder(path)
+    for _ in range(2):  # new chunks, then known ones
+        ids, starts = encode(*pretoken.text_bytes(pa.array(texts, pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [x.ids for x in tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    few = pretoken.Chunked(encode.encode, most_chunks=10)
+    part = pa.array(texts, pa.string())
+    for a, b in pretoken.spans(part, 300):
+        ids, starts = few(*pretoken.text_bytes(part.slice(a, b - a)))
+        assert [ids[x:y].tolist() for x, y in zip(starts, starts[1:])] == [x.ids for x in tok.encode_batch_fast([t or "" for t in texts[a:b]], add_special_tokens=False)]
+
+
 def test_packing(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    want = sorted(tuple(tok.encode(t or "", add_special_tokens=False).ids + [0]) for _, t, *_ in odd_rows())
+    special = spark.createDataFrame([(100 + k, t, "k", "s", "i") for k, t in enumerate(SPECIAL)], SCHEMA)
+    want = sorted(tuple(tok.encode(t or "", add_special_tokens=False).ids + [0]) for t in [t for _, t, *_ in odd_rows()] + SPECIAL)
+    assert (87, 50256, 88, 0) in want
+    odd = odd.union(special)
     pieces = packing.pack(odd.repartition(3), path, window=64).collect()
     by = sorted(pieces, key=lambda p: (p.sequence_id, p.offset))
     stream = [x for p in by for x in np.frombuffer(p.ids, "<u4").tolist()]
@@ -121,20 +147,44 @@ def test_packing(spark, odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_bpe_is_that_of_the_library(spark, odd, empty):
+def test_bpe_is_that_of_the_library(spark, odd, empty, monkeypatch):
     import public_tokenizers
     import tiktoken
 
     path, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encode, replay = bpe.coder(path, pat)
-    lib = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=replay.ranks, special_tokens={})
+    ranks = bpe.load_ranks(path)
+    lib = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(5)
-    some = "abcdeABC  \n\t'sltvre.,!?123é漢字 ́\x1c\x85😀ßſaaaaa"
-    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 50))) for _ in range(800)] + ["a" * 3000, "abab" * 200]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [lib.encode_ordinary(t) for t in texts]
-    got = bpe.decode_documents(bpe.encode_documents(odd, path, pat), path, pat).collect()
-    assert sorted(bytes(x.decoded) for x in got) == sorted((t or "").encode() for _, t, *_ in odd_rows())
+    some = "abcdeABC  \n\t'sltvre.,!?123é漢字 ́\x1c\x85😀ßſaaaaa"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 50))) for _ in range(800)] + ["a" * 3000, "abab" * 200, "", None]
+    texts += [" ".join(r.choice(["the", "tion"]) + prose(k, 2) for k in range(30)) for _ in range(50)]
+    want = [lib.encode_ordinary(t or "") for t in texts]
+    encode = bpe.coder(path, pat)
+    ids, starts = encode(*pretoken.text_bytes(pa.array(texts, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+    # Every replay at once, by arrays as far as that goes, one position after the other, and cut by the regular expression.
+    replay, other = encode.encode.replay, bpe.Words(pat + "|never")
+    assert replay.rising and other.kinds is None and encode.encode.words.kinds is not None
+    for few in (0, 10**9):
+        monkeypatch.setattr(bpe, "FEW", few)
+        for words in (encode.encode.words, other):
+            encoder = bpe.Encoder(path, pat, replay)
+            encoder.words = words
+            ids, starts = pretoken.Chunked(encoder)(*pretoken.text_bytes(pa.array(texts, pa.string())))
+            assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
+def test_bpe_shares_the_corpus_words(spark, odd, empty, monkeypatch):
+    import public_tokenizers
+
+    path, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    for most in (bpe.SHARED, 3, 0):
+        monkeypatch.setattr(bpe, "SHARED", most)
+        got = bpe.decode_documents(bpe.encode_documents(odd.repartition(4), path, pat), path).collect()
+        assert sorted(bytes(x.decoded) for x in got) == sorted((t or "").encode() for _, t, *_ in odd_rows())
     assert bpe.encode_documents(empty, path, pat).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, bytearray(b"\x01\0\0\0")), (3, bytearray(b""))], "doc_id long, ids binary")
+    assert [r.decoded is None for r in bpe.decode_documents(nulls, path).orderBy("doc_id").collect()] == [True, False, False]
 
 
 def test_secret_scan(spark, odd, empty):
