@@ -20,16 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretoken import SLICE, Chunked, Table, binaries, chunk_starts, hashes, pattern, spans, stretches, text_bytes
+from .pretoken import Chunked, Table, binaries, chunk_starts, hashes, pattern, spans, stretches, text_bytes
 from .shared import prepare, stored, table, trim
 
 #: Most words whose ids every worker holds; about 50 bytes each.
-SHARED = 1_000_000
+SHARED = 500_000
 #: Most words beyond those that a worker keeps, and bytes of words that one replay takes.
-OWN, REPLAY = 500_000, 6_000_000
+OWN, REPLAY = 300_000, 4_000_000
+#: Bytes of text whose new words are replayed together, and most chunks whose ids a worker keeps.
+PART, CHUNKS = 4_000_000, 700_000
 #: Ranks are indexed in bands of so many (a power of two); with fewer positions a merge, merges are taken singly.
 BAND, FEW = 6, 6
 _NONE = 2**31 - 1
@@ -351,10 +354,12 @@ class Encoder:
             before = self.own.n
             self.own.add(keys[0][some], keys[1][some], ids, n)
             mine[mine < 0] = before + which.ravel()
-        at, size = self.base.at[found], self.base.size[found]
-        at[new], size[new] = self.own.at[mine] + self.base.used, self.own.size[mine]
-        ids = stretches(np.concatenate([self.base.ids[: self.base.used], self.own.ids[: self.own.used]]), at, size)
+        size = self.base.size[found]
+        size[new] = self.own.size[mine]
         ends = np.concatenate([[0], np.cumsum(size)])
+        ids, own = np.empty(int(ends[-1]), np.uint32), np.repeat(found < 0, size)
+        ids[own] = self.own.gather(mine)[0]
+        ids[~own] = self.base.gather(found[found >= 0])[0]
         return ids, np.diff(ends[np.searchsorted(first, starts)])
 
 
@@ -381,7 +386,7 @@ def coder(path: str, pat: str, model=None) -> Chunked:
         encoder = Encoder(path, pat, replay)
         if shared:
             Encoder.learn(encoder.base, *shared)
-        _CODERS[key] = Chunked(encoder)
+        _CODERS[key] = Chunked(encoder, CHUNKS)
     return _CODERS[key]
 
 
@@ -412,9 +417,9 @@ def corpus_words(docs: DataFrame, path: str, pat: str, text_col: str = "text") -
             fresh.append((stretches(data, first[some], sizes), np.concatenate([[0], np.cumsum(sizes)])))
             return np.zeros(0, np.uint32), np.zeros(len(starts) - 1, np.int64)
 
-        seen = Chunked(note)
+        seen = Chunked(note, CHUNKS)
         for frame in frames:
-            for a, b in spans(frame.column(0), SLICE):
+            for a, b in spans(frame.column(0), PART):
                 data, starts = text_bytes(frame.column(0).slice(a, b - a))
                 if seen.table.n > seen.most_chunks:
                     seen.table = Table()
@@ -473,26 +478,29 @@ def corpus_model(docs: DataFrame, path: str, pat: str, text_col: str = "text", m
     return spark.sparkContext.broadcast((replay, data.copy(), starts, np.frombuffer(raw.tobytes(), "<u4"), np.diff(at) // 4))
 
 
-def encode_documents(docs: DataFrame, path: str, pat: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pat: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id_col, ids): a row for each row of ``docs``; ids are little-endian unsigned 32-bit integers in a binary.
 
-    ``path`` names a file of ranks on every executor, ``pat`` the pattern that cuts texts into words. Special
-    tokens' strings are ordinary text. A null or empty text has empty ids. Repeated rows and null ids are rows
-    as any; other columns of ``docs`` are not read. An empty table gives none.
+    With ``decode`` also decoded, the bytes that the ids give. ``path`` names a file of ranks on every executor,
+    ``pat`` the pattern that cuts texts into words. Special tokens' strings are ordinary text. A null or empty
+    text has empty ids. Repeated rows and null ids are rows as any; other columns of ``docs`` are not read. An
+    empty table gives none.
     """
     prepare(docs.sparkSession)
     kind, model = docs.schema[id_col].dataType.simpleString(), corpus_model(docs, path, pat, text_col)
+    names = [id_col, "ids", "decoded"] if decode else [id_col, "ids"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             encode = coder(path, pat, model)
-            for a, b in spans(frame.column(1), SLICE):
+            for a, b in spans(frame.column(1), PART):
                 part = frame.slice(a, b - a)
                 ids, starts = encode(*text_bytes(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), binaries(ids.astype("<u4"), 4 * starts)], [id_col, "ids"])
-        trim()
+                ids = binaries(ids.astype("<u4"), 4 * starts)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded(ids, path)] if decode else [part.column(0), ids], names)
+            trim()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decode)
 
 
 _TOKENS: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -510,27 +518,29 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _TOKENS[path]
 
 
+def decoded(ids: pa.Array, path: str) -> pa.Array:
+    """The bytes of each row's ids, null for null ids."""
+    data, first, sizes = token_bytes(path)
+    raw, starts = text_bytes(ids)
+    flat = np.frombuffer(raw.tobytes(), "<u4")
+    ends = np.concatenate([[0], np.cumsum(sizes[flat])])
+    made = binaries(stretches(data, first[flat], sizes[flat]), ends[starts // 4])
+    return pc.if_else(ids.is_valid(), made, None) if ids.null_count else made
+
+
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with decoded (binary): the bytes of its ids, null for null ids; a column of that name is replaced."""
     prepare(encoded.sparkSession)
     plain = encoded.drop("decoded")
     at = plain.columns.index(ids_col)
     schema = encoded.drop("decoded").schema.add("decoded", "binary")
-    names = schema.fieldNames()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, first, sizes = token_bytes(path)
         for frame in frames:
-            for a, b in spans(frame.column(at), SLICE // 4):
+            for a, b in spans(frame.column(at), PART):
                 part = frame.slice(a, b - a)
-                raw, starts = text_bytes(part.column(at))
-                ids = np.frombuffer(raw.tobytes(), "<u4")
-                ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-                made = binaries(stretches(data, first[ids], sizes[ids]), ends[starts // 4])
-                if part.column(at).null_count:
-                    made = pa.array([None if x is None else y for x, y in zip(part.column(at).to_pylist(), made.to_pylist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names)
-        trim()
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column(at), path)], schema.fieldNames())
+            trim()
 
     return plain.mapInArrow(run, schema)
 
@@ -539,5 +549,5 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path, pat), path)
+    coded = encode_documents(table(spark, sf_dir, "documents"), path, pat, decode=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,8 +5,9 @@
    meets first (optimal densification: the sequence depends on the bin and the attempt alone).
    BANDS runs of ROWS bins are the buckets. At a similarity of 0.8, (1 - 0.8^5)^32 = 3e-6 of the pairs
    share no bucket.
-2. Stars. Texts with the same set are one class. In each bucket the member that meets most others over
-   all its buckets is the hub, and the only edges are those from hub to member, confirmed on full sets.
+2. Stars. Texts whose whole sets have the same 128-bit BLAKE2 digest are one class. In each bucket the class
+   that meets most others over all its buckets is the hub, and the only edges are those from hub to member,
+   confirmed on full sets.
 3. The rest, exactly. Members that aren't linked to their hub are compared with all members of that hub's
    buckets, in blocks of bounded bytes; only one edge from each text to its root in a block is passed on.
    So each pair that shares a bucket is either linked through its hub or compared.
@@ -15,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .shared import prepare, stored, table
+from .pretoken import spans
+from .shared import fresh, prepare, small, stored, table, text_or_empty, trim
 
 BINS, BANDS, ROWS = 160, 32, 5
 #: Bytes of shingle hashes in one side of a block of comparisons.
@@ -63,28 +66,31 @@ def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return tb.mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def _sets(texts: list[str | None], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw = [(t or "").encode() for t in texts]
-    for a, b in tb.batches(raw):
-        _, _, hashes, bounds = tb.words(*tb.join_texts(raw[a:b]))
-        yield a, b, *tb.shingles(hashes, bounds, width)
+def _sets(frame: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A megabyte of the frame's texts at a time: their rows, all sets' sorted hashes, and where each set starts."""
+    for a, b in spans(frame.column(column)):
+        part = frame.slice(a, b - a)
+        raw = [(t or "").encode() for t in part.column(column).to_pylist()]
+        _, _, hashes, bounds = tb.words(*tb.join_texts(raw))
+        yield part, *tb.shingles(hashes, bounds, width)
+
+
+def _pieces(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    data, at = values.tobytes(), (8 * starts).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def _signatures(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            ids, texts = frame.column(0), frame.column(1).to_pylist()
-            for a, b, values, starts in _sets(texts, width):
+            for part, values, starts in _sets(frame, 2, width):
                 sizes = np.diff(starts)
                 some = np.flatnonzero(sizes > 0)
                 keys = bands(values, np.concatenate([starts[some], starts[-1:]])) if len(some) else np.zeros((0, BANDS), np.uint64)
-                # Two independent sums over the mixed hashes name a set.
-                names = [np.zeros(b - a, np.uint64) for _ in range(2)]
-                for k, name in enumerate(names):
-                    if len(some):
-                        name[some] = np.add.reduceat(tb.mix(values + np.uint64(977 + k)), starts[some])
+                digests = pa.array([blake2b(x, digest_size=16).digest() for x in _pieces(values, starts)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in names), lists], ["id", "n_shingles", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), digests, lists], ["id", "key", "n_shingles", "digest", "bands"])
+            trim()
 
     return run
 
@@ -92,10 +98,9 @@ def _signatures(width: int):
 def _set_bytes(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            ids, texts = frame.column(0), frame.column(1).to_pylist()
-            for a, b, values, starts in _sets(texts, width):
-                data = values.tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([data[8 * s : 8 * e] for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())], ["id", "shingles"])
+            for part, values, starts in _sets(frame, 1, width):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_pieces(values, starts), pa.binary())], ["v", "shingles"])
+            trim()
 
     return run
 
@@ -113,10 +118,10 @@ def _from_hub(percent: int):
     """Each member with whether it links to its hub; a group has one row of the hub itself."""
 
     def run(frame: pa.Table) -> pa.Table:
-        ids, hubs, sets = frame["id"].to_pylist(), frame["hub"].to_pylist(), frame["shingles"].to_pylist()
+        ids, hubs, sets = frame["v"].to_pylist(), frame["hub"].to_pylist(), frame["shingles"].to_pylist()
         hub = next(np.frombuffer(s, np.uint64) for i, h, s in zip(ids, hubs, sets, strict=True) if i == h)
         keep = [k for k, (i, h) in enumerate(zip(ids, hubs, strict=True)) if i != h]
-        return pa.table({"hub": pa.array([hubs[k] for k in keep], pa.int64()), "id": pa.array([ids[k] for k in keep], pa.int64()), "linked": pa.array([_alike(hub, np.frombuffer(sets[k], np.uint64), percent) for k in keep], pa.bool_())})
+        return pa.table({"hub": pa.array([hubs[k] for k in keep], pa.int64()), "v": pa.array([ids[k] for k in keep], pa.int64()), "linked": pa.array([_alike(hub, np.frombuffer(sets[k], np.uint64), percent) for k in keep], pa.bool_())})
 
     return run
 
@@ -129,7 +134,7 @@ def _rest_links(percent: int):
     """
 
     def run(frame: pa.Table) -> pa.Table:
-        ids = np.array(frame["id"].to_pylist(), np.int64)
+        ids = np.array(frame["v"].to_pylist(), np.int64)
         rest = np.array(frame["rest"].to_pylist(), bool)
         sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"].to_pylist()]
         left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
@@ -168,52 +173,80 @@ def _rest_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id): a row for each row of ``docs``.
+def _classes_of_one_id(useful: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Edges between the classes of ids that occur with several sets, if there are any."""
+    each = useful.select("id", "digest").distinct()
+    several = stored(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "several")
+    if several.isEmpty():
+        return None
+    held = stored(each.join(several, "id").join(classes.select("digest", "v"), "digest").select("id", "v"), "several")
+    return held.join(held.groupBy("id").agg(F.min("v").alias("a")), "id").select("a", F.col("v").alias("b"))
 
-    Texts are lower-cased (A to Z) and split at ASCII white space; sets are of ``width``-word shingles, the
-    whole sequence where there are fewer words. Two texts link when 100 * shared >= percent * united.
-    component_id is the smallest id that links reach. A null, empty or blank text links with nothing, so its
-    component is its own id. Repeated rows, or rows that share an id, are one document of that id. A row
-    without id links with nothing and its component is null. An empty table gives none.
-    """
-    spark = prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signatures(width), "id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, key, n_shingles, component_id): a row for each row of ``docs``; key is a hash of the text."""
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), F.col(text_col).alias("text"))
+    signed = stored(texts.mapInArrow(_signatures(width), "id long, key long, n_shingles long, digest binary, bands array<long>"), "signatures")
     useful = signed.where("id is not null and n_shingles > 0")
-    classes = useful.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = useful.join(classes.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "rep"), F.expr("s1 = x1 and s2 = x2 and id = rep"), "left_semi").select("id", "n_shingles", "bands").dropDuplicates(["id"])
-    placed = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1")
-    placed = stored(placed.join(counts, "bucket"), "buckets")
-    popular = placed.groupBy("id").agg(F.sum("met").alias("popular"), F.first("n_shingles").alias("n_shingles"))
-    ranked = placed.select("bucket", "id").join(popular, "id")
-    best = ranked.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("id")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("hub"))
-    pairs = stored(placed.select("bucket", "id", "n_shingles").join(best, "bucket").groupBy("hub", "id").agg(F.first("n_shingles").alias("n_shingles")), "pairs")
-    wanted = texts.join(popular.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(wanted.mapInArrow(_set_bytes(width), "id long, shingles binary"), "sets")
-
-    # A hub's members in blocks; the hub's own set goes to each of them.
-    sizes = pairs.groupBy("hub").agg(F.count("*").alias("members"), F.max("n_shingles").alias("widest"))
+    grouped = useful.groupBy("digest").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    # Written before it is read, so a class keeps its number.
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("v"), "digest", F.col("first.id").alias("rep"), F.col("first.key").alias("rep_key"), "copies", "n_shingles", "bands"), "classes")
+    seats = classes.select("v", "n_shingles", F.explode("bands").alias("bucket"))
+    # Tables that rows are joined to by a key that may be hot are written first, so that the join can be split.
+    counts = stored(seats.groupBy("bucket").agg(F.count("*").alias("met")).where("met > 1"), "counts")
+    placed = stored(seats.join(small(counts), "bucket"), "buckets")
+    popular = stored(placed.groupBy("v").agg(F.sum("met").alias("popular")), "popular")
+    ranked = placed.select("bucket", "v").join(popular, "v")
+    best = ranked.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("v")).alias("v"))).alias("top")).select("bucket", (-F.col("top.v")).alias("hub"))
+    best = stored(best, "best")
+    pairs = stored(placed.select("bucket", "v", "n_shingles").join(small(best), "bucket").groupBy("hub", "v").agg(F.first("n_shingles").alias("n_shingles")), "pairs")
+    wanted = stored(classes.join(popular.select("v"), "v", "left_semi").select(F.col("rep").alias("id"), F.col("rep_key").alias("key"), "v"), "wanted")
+    n = wanted.count()
+    sets = stored(texts.join(small(wanted, n), ["id", "key"]).select("v", "text").mapInArrow(_set_bytes(width), "v long, shingles binary"), "sets")
+    if sets.count() > n:  # rows that repeat an id and its text
+        sets = stored(sets.groupBy("v").agg(F.any_value("shingles").alias("shingles")), "sets")
+
+    # A hub's members in blocks; the hub's own set goes to each of them. Only the large hubs have several.
     room = F.greatest(F.lit(8), F.least(F.lit(MEMBERS), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("widest"))))
-    hubs = sizes.select("hub", F.ceil(F.col("members") / room).cast("int").alias("blocks"))
-    dealt = pairs.where("id <> hub").join(hubs, "hub").select("hub", "id", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"))
-    centres = hubs.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    held = stored(dealt.union(centres).join(sets, "id").groupBy("hub", "block").applyInArrow(_from_hub(percent), "hub long, id long, linked boolean"), "held")
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("members"), F.max("n_shingles").alias("widest"))
+    sizes = stored(sizes.withColumn("columns", F.ceil(F.col("members") / room).cast("int")), "hubs")
+    large = small(sizes.where("columns > 1").select("hub", "columns"))
+    columns = F.coalesce("columns", F.lit(1))
+    dealt = pairs.where("v <> hub").join(large, "hub", "left").select("hub", "v", F.pmod(F.xxhash64("v"), columns).cast("int").alias("block"))
+    centres = sizes.select("hub", F.col("hub").alias("v"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("block"))
+    held = stored(dealt.union(centres).join(sets, "v").groupBy("hub", "block").applyInArrow(_from_hub(percent), "hub long, v long, linked boolean"), "held")
 
     loose = held.where("not linked")
     most = F.greatest(F.lit(8), F.least(F.lit(REST), F.floor(F.lit(BLOCK_BYTES / 8) / F.col("widest"))))
-    grid = loose.groupBy("hub").agg(F.count("*").alias("loose")).join(sizes, "hub").where("members > 2").select("hub", F.ceil(F.col("loose") / most).cast("int").alias("rows"), F.ceil(F.col("members") / room).cast("int").alias("columns"))
-    left = loose.join(grid, "hub").select("hub", "id", F.lit(True).alias("rest"), F.expr("cast(pmod(xxhash64(id, 1), rows) as int)").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-    right = held.join(grid, "hub").select("hub", "id", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.expr("cast(pmod(xxhash64(id), columns) as int)").alias("column"))
-    rest = left.union(right).join(sets, "id").groupBy("hub", "row", "column").applyInArrow(_rest_links(percent), "a long, b long")
-    links = held.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")).union(rest)
+    grid = loose.groupBy("hub").agg(F.count("*").alias("loose")).join(sizes, "hub").where("members > 2").select("hub", F.ceil(F.col("loose") / most).cast("int").alias("rows"), "columns")
+    grid = small(stored(grid, "grid"))
+    left = loose.join(grid, "hub").select("hub", "v", F.lit(True).alias("rest"), F.pmod(F.xxhash64("v", F.lit(1)), F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    right = held.join(grid, "hub").select("hub", "v", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(F.xxhash64("v"), F.col("columns")).cast("int").alias("column"))
+    rest = left.union(right).join(sets, "v").groupBy("hub", "row", "column").applyInArrow(_rest_links(percent), "a long, b long")
+    links = held.where("linked").select(F.col("hub").alias("a"), F.col("v").alias("b")).union(rest)
+    same = _classes_of_one_id(useful, classes)
+
+    grown = components(links if same is None else links.union(same))
+    roots = classes.select("v", "digest", "rep", "copies").join(grown.withColumnsRenamed({"id": "v", "component_id": "root"}), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    least = stored(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
+    changed = roots.join(least, "root").where("copies > 1 or component_id <> rep").select("digest", "component_id")
+    plain = signed.select("id", "key", "n_shingles", "digest")
+    found = plain.where("id is not null and n_shingles > 0").join(small(stored(changed, "changed")), "digest", "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return found.union(plain.where("id is null or n_shingles = 0").select("id", "key", "n_shingles", F.col("id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id): a row for each row of ``docs``.
 
-    grown = components(links)
-    roots = classes.join(grown.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"), "copies")
-    changed = stored(roots.where("copies > 1 or component_id <> rep") if "rep" in roots.columns else roots, "classes")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return signed.select("id", "n_shingles", "s1", "s2").join(changed.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    Texts are lower-cased (A to Z) and split at ASCII white space; sets are of ``width``-word shingles, the
+    whole sequence where there are fewer words. Two texts link when 100 * shared >= percent * united, so a
+    pair at exactly that share links. component_id is the smallest id that links reach. A null, empty or
+    blank text links with nothing, so its component is its own id. Rows that share an id are one document:
+    it links wherever any of its texts does, and each row has the number of its own text's shingles. A row
+    without id links with nothing and its component is null. An empty table gives none.
+    """
+    return _near_rows(docs, id_col, text_col, width, percent).select("id", "n_shingles", "component_id")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,10 +254,19 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns of ``docs`` with those names are replaced; a row without id is kept. See near_duplicates().
     """
-    key = "_near_id"
-    found = near_duplicates(docs, id_col, text_col, width, percent).withColumnRenamed("id", key).where(f"{key} is not null").groupBy(key).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     rows = docs.drop("n_shingles", "component_id", "kept")
-    return rows.join(found, F.col(id_col).cast("long") == F.col(key), "left").drop(key).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    near_id, near_key = fresh(rows, "near_id", "near_key")
+    found = _near_rows(docs, id_col, text_col, width, percent).distinct().withColumnsRenamed({"id": near_id, "key": near_key})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(near_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(near_key))
+    return rows.join(found, same, "left").drop(near_id, near_key).withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that minhash_dedup() keeps; only what goes is joined to them."""
+    near_id, near_key = fresh(docs, "near_id", "near_key")
+    gone = stored(_near_rows(docs, id_col, text_col, width, percent).where("id <> component_id").select(F.col("id").alias(near_id), F.col("key").alias(near_key)).distinct(), "gone")
+    same = (F.col(id_col).cast("long") == F.col(near_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(near_key))
+    return docs.join(small(gone), same, "left_anti")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

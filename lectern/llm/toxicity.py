@@ -1,8 +1,8 @@
 """Toxicity (1): a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as the embedding of the word beside the mean embedding of its character sequences (hashed
-runs of GRAM bytes, the break before the word included). The network reads windows of WINDOW words, each half over the next, that cover the whole text; a text's
-score is that of its highest window. Training is on a bounded sample of labelled rows: each round finds
+runs of GRAM bytes, the break before the word included). The network reads windows of WINDOW words, each half
+over the next, that cover the whole text; a text's score is that of its highest window. Training is on a bounded sample of labelled rows: each round finds
 the highest window of every sample text and fits the network to the text's label on it, so the windows
 of clean texts that look worst are what it learns from. The embeddings of words and of character sequences
 start with the smoothed log odds of their presence in toxic sample texts.
@@ -30,18 +30,30 @@ SAMPLE_ROWS, SAMPLE_CHARS, VOCABULARY = 4000, 20_000, 16_384
 EPOCHS, BATCH, RATE, SEED = 4, 128, 0.015, 1
 #: Bytes of a character sequence, the embeddings that sequences are hashed to, the rows that odds are smoothed with.
 GRAM, GRAMS, SMOOTH = 4, 16_384, 10
+#: Windows that are scored at once.
+PART = 8192
 #: A text with this score or more is rejected.
 THRESHOLD = 0.3
 
 
 def _split(texts: list[bytes]):
-    data, starts = tb.join_texts(texts)
-    first, end, hashes, bounds = tb.words(data, starts, tb.NOT_ALNUM)
-    plain = np.where(tb.NOT_ALNUM[data], np.uint32(0), data.astype(np.uint32))
+    """Bytes, each word's first byte, end and hash, where each text's words start, and where its bytes start.
+
+    Between texts stand as many blanks as a character sequence looks back over, so none reaches into another text.
+    """
+    data, starts = tb.join_texts(texts, GRAM - 1)
+    return data, *tb.words(data, starts, tb.NOT_ALNUM), starts
+
+
+def _codes(data: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The character sequence that ends at each of the bytes from a to b, as the number of its embedding."""
+    low = max(0, a - GRAM + 1)
+    part = data[low:b]
+    plain = np.where(tb.NOT_ALNUM[part], np.uint32(0), part.astype(np.uint32))
     code = plain.copy()
     for k in range(1, GRAM):
         code[k:] ^= np.left_shift(plain[:-k], np.uint32(8 * k))
-    return (code * np.uint32(2654435761) >> np.uint32(32 - GRAMS.bit_length() + 1)).astype(np.int32), first, end, hashes, bounds
+    return (code[a - low :] * np.uint32(2654435761) >> np.uint32(32 - GRAMS.bit_length() + 1)).astype(np.int32)
 
 
 def _odds(total: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
@@ -100,12 +112,13 @@ class Network:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
     def inputs(self, data: np.ndarray, first: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of words in order, from the bytes of all texts."""
         p, n = self.p, len(first)
         if not n:
             return np.zeros((0, WORD + CHAR), np.float32)
-        edges, low = np.empty(2 * n, np.int64), first[0]
+        edges, low = np.empty(2 * n, np.int64), int(first[0])
         edges[::2], edges[1::2] = first - low, end - low
-        chars = np.add.reduceat(p["chars"][data[low : end[-1] + 1]], edges, axis=0)[::2] / (end - first)[:, None].astype(np.float32)
+        chars = np.add.reduceat(p["chars"][_codes(data, low, int(end[-1]) + 1)], edges, axis=0)[::2] / (end - first)[:, None].astype(np.float32)
         return np.concatenate([p["words"][ids], chars], axis=1)
 
     def _run(self, x: np.ndarray, live: np.ndarray | None, d: str, keep: bool):
@@ -182,24 +195,31 @@ class Network:
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Of each whole text, from 0 to 1; a text without words has the share of toxic rows in the sample."""
+        """Of each whole text, from 0 to 1; a text without words has the share of toxic rows in the sample.
+
+        Scores are rounded, so that the texts that happen to be scored together make no difference in them.
+        """
         raw, out = [(t or "").encode() for t in texts], np.full(len(texts), self.prior, np.float64)
-        for a, b in tb.batches(raw, 1_000_000):
-            data, starts, end, hashes, bounds = _split(raw[a:b])
+        for a, b in tb.batches(raw):
+            data, starts, end, hashes, bounds, _ = _split(raw[a:b])
             first, length, text = _windows(bounds)
-            if len(first):
-                best = np.full(b - a, -np.inf)
-                np.maximum.at(best, text, self.window_logits(self.inputs(data, starts, end, self.word_ids(hashes)), first, length))
-                out[a:b] = np.where(np.isfinite(best), best, out[a:b])
-        return 1 / (1 + np.exp(-out))
+            ids, best = self.word_ids(hashes), np.full(b - a, -np.inf)
+            for w in range(0, len(first), PART):
+                some = slice(w, w + PART)
+                words = slice(first[some].min(), (first[some] + length[some]).max())
+                logits = self.window_logits(self.inputs(data, starts[words], end[words], ids[words]), first[some] - words.start, length[some])
+                np.maximum.at(best, text[some], logits)
+            out[a:b] = np.where(np.isfinite(best), best, out[a:b])
+        return np.round(1 / (1 + np.exp(-out)), 4)
 
 
 def train(texts: list[str], labels: list[int]) -> Network:
-    """Fit on the texts; with no text, or one class only, every score is near that class's share."""
+    """Fit on the texts; with one class only, every score is near that class's share, and with no text every
+    score is 0.05, so that nothing is rejected."""
     raw, y = [(t or "").encode() for t in texts], np.array(labels, np.float32)
-    prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    data, starts, end, hashes, bounds = _split(raw) if raw else _split([b""])
-    spots = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])]).astype(np.int64)
+    prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if raw else float(np.log(0.05 / 0.95))
+    plain, starts, end, hashes, bounds, spots = _split(raw or [b""])
+    data = _codes(plain, 0, len(plain))
     seen, which = np.unique(hashes, return_inverse=True)
     total, toxic = _presence(which, bounds, y, len(seen))
     common = np.flatnonzero(total >= 3)
@@ -219,7 +239,7 @@ def train(texts: list[str], labels: list[int]) -> Network:
         if epoch:
             for a in range(0, len(raw), 100):
                 words, some = slice(bounds[a], bounds[min(a + 100, len(raw))]), slice(*np.searchsorted(text, [a, a + 100]))
-                rank[some] = net.window_logits(net.inputs(data, starts[words], end[words], ids[words]), first[some] - words.start, length[some])
+                rank[some] = net.window_logits(net.inputs(plain, starts[words], end[words], ids[words]), first[some] - words.start, length[some])
         order = np.lexsort((rank, text))
         top = order[np.append(text[order][1:] != text[order][:-1], True)]
         top = rng.permutation(top)
@@ -293,7 +313,8 @@ def toxicity(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
     """Rows of ``docs`` with score (0 to 1) and predicted (1 from THRESHOLD up, else 0), over whole texts.
 
     Null, empty and wordless texts get the score of the sample's share of toxic rows. Columns of ``docs``
-    with those names are replaced. Rows stay where they are; repeated rows get the same score.
+    with those names are replaced. Rows stay where they are; repeated rows get the same score. An empty table
+    gives none.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(net)

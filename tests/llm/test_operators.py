@@ -182,6 +182,8 @@ def test_bpe_shares_the_corpus_words(spark, odd, empty, monkeypatch):
         monkeypatch.setattr(bpe, "SHARED", most)
         got = bpe.decode_documents(bpe.encode_documents(odd.repartition(4), path, pat), path).collect()
         assert sorted(bytes(x.decoded) for x in got) == sorted((t or "").encode() for _, t, *_ in odd_rows())
+    both = bpe.encode_documents(odd, path, pat, decode=True).collect()
+    assert sorted(bytes(x.decoded) for x in both) == sorted((t or "").encode() for _, t, *_ in odd_rows())
     assert bpe.encode_documents(empty, path, pat).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, bytearray(b"\x01\0\0\0")), (3, bytearray(b""))], "doc_id long, ids binary")
     assert [r.decoded is None for r in bpe.decode_documents(nulls, path).orderBy("doc_id").collect()] == [True, False, False]
