@@ -1,39 +1,67 @@
 """Embedding near-dedup (6): iterative quantisation, multi-index Hamming tables, rerank with the vectors.
 
 A rotation of the centred vectors' principal axes is learned on a bounded sample so that signs lose least;
-a vector's code is the signs of its rotated coordinates, and each bit halves the sample about evenly. Codes
-are cut into TABLES chunks. Two vectors meet in a table where their chunks differ in one bit at most: each
-vector is at home in its chunk's bucket and visits those that lie one set bit below. A pair counts in the
-first table where it meets, so no pair is looked at twice and none is ever a row: a bucket yields each
-vector's number of links in it and one edge to its root. Buckets are dealt in blocks of bounded size, and
-every meeting pair's cosine is taken of the original vectors in double precision.
+a vector's code is the signs of its rotated coordinates, and each bit halves the sample about evenly. Each
+table takes some of the code's bits, about as many as tell the table's vectors apart, so that buckets stay
+small as the input grows, and there are as many tables as the wanted recall needs at that width. Two vectors
+meet in a table where they differ in one of its bits at most: each vector is at home in its own bucket and
+visits those that lie one set bit below. A pair counts in the first table where it meets, so no pair is
+looked at twice and none is ever a row: a bucket yields each vector's number of links in it and one edge to
+its root. Buckets are dealt in blocks of bounded size, and every meeting pair's cosine is taken of the original
+vectors in double precision. Vectors of each length have a rotation and tables of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import prepare, small, stored, table
 
-#: Vectors that the rotation is learned on, and rounds of learning.
+#: Vectors that the rotations are learned on, all lengths together, and rounds of learning.
 SAMPLE, ROUNDS = 8192, 40
-#: Chunks of a code; a code has as many bits as vectors have components, 64 at most.
-TABLES = 4
+#: Share of the pairs at the least cosine that may meet in no table, most tables, and bits of a code at most.
+MISSED, MOST_TABLES, BITS = 0.04, 16, 64
 #: Most vectors at home in a block of a bucket, and most that they are held against in it.
 HOME, OTHERS = 512, 2048
 
 
+def masks(n: int, bits: int, cosine: float) -> list[int]:
+    """The bits of each table for n vectors with codes of so many bits.
+
+    A bit differs with the share angle / pi of pairs; bits are taken in turn from shuffles of all, so each is in
+    about as many tables.
+    """
+    # Fewer than half of a short code's bits, or pairs that differ in two bits would meet nowhere.
+    width = max(1, min(math.ceil(math.log2(max(n, 256))), bits // 2 if bits < 32 else bits - 1))
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    missed = 1 - (1 - p) ** width - width * p * (1 - p) ** (width - 1)
+    count = min(MOST_TABLES, max(4, math.ceil(math.log(MISSED) / math.log(missed)))) if missed > 1e-9 else 4
+    rng, queue, out = np.random.default_rng(11), [], []
+    for _ in range(count):
+        own: list[int] = []
+        while len(own) < width:
+            queue = queue or rng.permutation(bits).tolist()
+            at = next((k for k, x in enumerate(queue) if x not in own), None)
+            if at is None:
+                queue = rng.permutation(bits).tolist()
+                continue
+            own.append(queue.pop(at))
+        out.append(sum(1 << x for x in own))
+    return out
+
+
 def learn(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): sign((x - mean) @ projection) is the code."""
     mean = sample.mean(0)
     centred = sample - mean
-    bits = min(64, sample.shape[1])
+    bits = min(BITS, sample.shape[1])
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
     v = centred @ axes
@@ -51,19 +79,13 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(signs, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _chunks(bits: int, tables: int) -> list[tuple[int, int]]:
-    """Shift and width of each table's chunk."""
-    edges = [bits * t // tables for t in range(tables + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _links(data: np.ndarray, code: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray, chunks: list[tuple[int, int]], cosine: float) -> np.ndarray:
+def _links(data: np.ndarray, code: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray, tables: np.ndarray, cosine: float) -> np.ndarray:
     """Which of the pairs (left, right) meet first in the table that ``number`` names, and link."""
     good = ids[left] != ids[right]
     differ = code[left] ^ code[right]
-    for t, (shift, width) in enumerate(chunks[:-1]):
-        d = np.bitwise_count((differ >> np.uint64(shift)) & np.uint64(2**width - 1))
-        good &= (number <= t) | (d >= 2)
+    for t, mask in enumerate(tables):
+        near = np.bitwise_count(differ & mask) < 2
+        good &= np.where(number == t, near, (number < t) | ~near)
     at = np.flatnonzero(good)
     for a in range(0, len(at), 200_000):
         part = at[a : a + 200_000]
@@ -71,23 +93,28 @@ def _links(data: np.ndarray, code: np.ndarray, ids: np.ndarray, left: np.ndarray
     return good
 
 
-def _bucket_links(chunks: list[tuple[int, int]], cosine: float):
-    """Streams sorted (bucket, row, column) blocks; each gives (id, n, root) of its vectors that link."""
+def _bucket_links(tables: dict[int, np.ndarray], cosine: float):
+    """Streams sorted (size, bucket, row, column) blocks; each gives (id, n, root) of its vectors that link."""
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = rows["size"].to_numpy()
+        cuts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+            yield _solve(rows.slice(a, b - a).combine_chunks(), int(sizes[a]))
 
-    def solve(rows: pa.Table) -> pa.RecordBatch:
+    def _solve(rows: pa.Table, size: int) -> pa.RecordBatch:
         ids, code = rows["id"].to_numpy(), rows["code"].to_numpy().view(np.uint64)
         home, side = rows["home"].to_numpy(), rows["side"].to_numpy()
-        size = len(rows["vector"][0].as_py()) // 4
         data = np.frombuffer(b"".join(rows["vector"].to_pylist()), "<f4").reshape(-1, size).astype(np.float64)
         data /= np.linalg.norm(data, axis=1, keepdims=True)
-        block = np.stack([rows[c].to_numpy() for c in ("bucket", "row", "column")], 1)
+        block = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("tab", "bucket", "row", "column")], 1)
         cuts = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(1)))
-        number = block[:, 0] >> 32
+        number = rows["tab"].to_numpy()
         lefts, rights, found = [], [], []
 
         def take() -> None:
             left, right = np.concatenate(lefts), np.concatenate(rights)
-            good = _links(data, code, ids, left, right, number[left], chunks, cosine)
+            good = _links(data, code, ids, left, right, number[left], tables[size], cosine)
             found.append((left[good], right[good]))
             lefts.clear()
             rights.clear()
@@ -129,72 +156,89 @@ def _bucket_links(chunks: list[tuple[int, int]], cosine: float):
                 continue
             now = pa.Table.from_batches([frame])
             held = now if held is None else pa.concat_tables([held, now])
-            keys = [held[c].to_numpy() for c in ("bucket", "row", "column")]
+            keys = [held[c].to_numpy() for c in ("size", "tab", "bucket", "row", "column")]
             same = np.logical_and.reduce([k == k[-1] for k in keys])
             whole = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # rows before the last block
             if whole:
-                yield solve(held.slice(0, whole).combine_chunks())
+                yield from solve(held.slice(0, whole))
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield solve(held.combine_chunks())
+            yield from solve(held)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, tables: int = TABLES) -> DataFrame:
+def _models(able: DataFrame, cosine: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Mean, projection and tables' masks for each length that two vectors have; a bounded sample comes to the driver."""
+    counts = {r["size"]: r["count"] for r in able.groupBy("size").count().where("count > 1").collect()}
+    if not counts:
+        return {}
+    most = max(64, SAMPLE // len(counts))
+    order = Window.partitionBy("size").orderBy(F.xxhash64("id"), "id")
+    sample: dict[int, list] = {}
+    for r in able.where(F.col("size").isin(list(counts))).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("size", "vector").collect():
+        sample.setdefault(r["size"], []).append(r["vector"])
+    return {size: (*learn(np.array(x, np.float64)), np.array(masks(counts[size], min(BITS, size), cosine), np.uint64)) for size, x in sample.items()}
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """(id_col, n_links, component_id, kept): a row for each row of ``vectors``.
 
-    Vectors that are null or zero, hold null or non-finite components, or differ in length from most link
-    with nothing. Rows that share an id are one vector, the smallest of theirs; a row without id has no
-    links and no component, and is kept. An empty table gives none.
+    Vectors that are null or zero, or hold null or non-finite components, link with nothing; others link with
+    vectors of their own length. A pair whose cosine is exactly ``cosine`` links. Rows that share an id are
+    one vector, the smallest of theirs; a row without id has no links and no component, and is kept. Other
+    columns are not read. An empty table gives none. Pairs that meet in no table are missed: an expected
+    MISSED of those at ``cosine``, fewer of the closer ones.
     """
     spark = prepare(vectors.sparkSession)
     good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"))
     able = vectors.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
-    able = stored(able, "vectors")
-    lengths = able.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    able = stored(able.withColumn("size", F.size("vector")), "vectors")
+    models = _models(able, cosine)
     result = "id long, n long, root long"
-    if lengths is None:
+    if not models:
         found = spark.createDataFrame([], result)
     else:
-        size = lengths["size"]
-        able = able.where(F.size("vector") == size)
-        sample = able.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-        mean, projection = learn(np.array([r.vector for r in sample], np.float64))
-        chunks = _chunks(min(64, size), tables)
+        tables = {size: m[2] for size, m in models.items()}
 
         def coded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                x = frame.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, size)
-                code = codes(x.astype(np.float64), mean, projection)
-                keys: list[list[int]] = []
-                for c in code.tolist():
-                    own = []
-                    for t, (shift, width) in enumerate(chunks):
-                        chunk = c >> shift & (1 << width) - 1
-                        own.append((t << 32 | chunk) << 1 | 1)
-                        own += [(t << 32 | chunk ^ 1 << k) << 1 for k in range(width) if chunk >> k & 1]
-                    keys.append(own)
-                yield pa.RecordBatch.from_arrays([frame.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(code.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "vector", "code", "keys"])
-
-        placed = stored(able.mapInArrow(coded, "id long, vector binary, code long, keys array<long>"), "codes")
-        seats = placed.select("id", F.explode("keys").alias("key")).select("id", F.shiftright("key", 1).alias("bucket"), (F.col("key") % 2 == 1).alias("home"))
-        counts = seats.groupBy("bucket").agg(F.count_if("home").alias("at_home"), F.count("*").alias("all")).where("at_home > 0 and all > 1")
-        blocks = stored(counts.select("bucket", F.ceil(F.col("at_home") / HOME).cast("int").alias("rows"), F.ceil(F.col("all") / OTHERS).cast("int").alias("columns")), "blocks")
+                of = frame.column(2).to_numpy()
+                for size in np.unique(of).tolist():
+                    part = frame.filter(pa.array(of == size))
+                    mean, projection, own_tables = models[size]
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, size)
+                    code = codes(x.astype(np.float64), mean, projection)
+                    keys: list[list[dict]] = [[] for _ in range(len(code))]
+                    for t, mask in enumerate(own_tables):
+                        single = [1 << k for k in range(64) if int(mask) >> k & 1]
+                        for i, c in enumerate((code & mask).tolist()):
+                            keys[i].append((t, c - 2**63, True))
+                            keys[i] += [(t, (c ^ k) - 2**63, False) for k in single if c & k]
+                    seats = pa.array([[{"tab": t, "bucket": c, "home": h} for t, c, h in k] for k in keys], pa.list_(pa.struct([("tab", pa.int32()), ("bucket", pa.int64()), ("home", pa.bool_())])))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2), pa.array(code.view(np.int64)), seats], ["id", "vector", "size", "code", "seats"])
+
+        some = able.where(F.col("size").isin(list(models))).select("id", "vector", "size")
+        placed = stored(some.mapInArrow(coded, "id long, vector binary, size int, code long, seats array<struct<tab:int,bucket:long,home:boolean>>"), "codes")
+        where = ["size", "tab", "bucket"]
+        seats = placed.select("id", "size", F.explode("seats").alias("seat")).select("id", "size", "seat.*")
+        counts = seats.groupBy(*where).agg(F.count_if("home").alias("at_home"), F.count("*").alias("all")).where("at_home > 0 and all > 1")
+        blocks = stored(counts.select(*where, F.ceil(F.col("at_home") / HOME).cast("int").alias("rows"), F.ceil(F.col("all") / OTHERS).cast("int").alias("columns")), "blocks")
         large = blocks.where("rows > 1 or columns > 1")
         # Most buckets are one block; which are live is asked of all seats, how many blocks of the large ones.
-        live = seats.join(blocks.select("bucket"), "bucket", "left_semi").join(small(large), "bucket", "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+        live = seats.join(blocks.select(*where), where, "left_semi").join(small(large), where, "left").withColumns({"rows": F.coalesce("rows", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
         pick = lambda n, seed: F.expr(f"cast(pmod(xxhash64(id, {seed}), {n}) as int)")
-        left = live.where("home").select("id", "bucket", "home", F.lit(0).alias("side"), pick("rows", 1).alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"))
-        right = live.select("id", "bucket", "home", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), pick("columns", 2).alias("column"))
+        left = live.where("home").select("id", *where, "home", F.lit(0).alias("side"), pick("rows", 1).alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"))
+        right = live.select("id", *where, "home", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), pick("columns", 2).alias("column"))
         dealt = left.union(right).join(placed.select("id", "vector", "code"), "id")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = dealt.repartition(n, "bucket", "row", "column").sortWithinPartitions("bucket", "row", "column")
-        found = stored(dealt.mapInArrow(_bucket_links(chunks, cosine), result), "links")
+        order = ["size", "tab", "bucket", "row", "column"]
+        dealt = dealt.repartition(n, *order).sortWithinPartitions(*order)
+        found = stored(dealt.mapInArrow(_bucket_links(tables, cosine), result), "links")
     degree = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     grown = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("id").join(degree, "id", "left").join(grown, "id", "left")
+    out = rows.join(degree, "id", "left").join(grown, "id", "left")
     own = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_or_empty
+from .shared import fresh, table, text_or_empty
 
 LEAST = 0.8
 #: Public licence notices, by SPDX identifier.
@@ -145,16 +145,18 @@ def license_scan(docs: DataFrame, text_col: str = "text", least: float = LEAST,
     key = lambda s, w: F.contains(s, F.lit(w)) if len(w) > 4 else F.contains(s, F.lit(w)) & s.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])")
     has_key = lambda s: functools.reduce(operator.or_, (key(s, w) for w in keys), F.lit(False))
     text = _let(F.lower(text_or_empty(text_col)), lambda s: F.when(has_key(s), s).otherwise(F.lit("")))
-    split = docs.drop("hits").withColumn("_text", text)
-    text = F.col("_text")
+    plain = docs.drop("hits")
+    lower, held = fresh(plain, "lower_text", "passages")
+    split = plain.withColumn(lower, text)
+    text = F.col(lower)
     words = lambda s: F.filter(F.split(F.regexp_replace(s, "[^a-z0-9]+", " "), " "), lambda w: w != "")
     lines = F.split(text, "\n", -1)
     # A passage of n bigrams has n + 1 words, and so 2n + 1 characters at least; its distinct bigrams may be fewer.
     passages = F.filter(F.transform(F.concat(lines, F.when(F.size(lines) > 1, F.array(text)).otherwise(F.expr("cast(array() as array<string>)"))), lambda s, i: F.struct(F.when(i < F.size(lines), i).otherwise(-1).alias("line"), s.alias("s"))), lambda p: (F.length(p["s"]) >= 2 * low + 1) & has_key(p["s"]))
-    split = split.withColumn("_passages", F.transform(passages, lambda p: F.struct(p["line"].alias("line"), words(p["s"]).alias("words"))))
-    able = F.filter("_passages", lambda p: F.size(p["words"]) > low)
+    split = split.withColumn(held, F.transform(passages, lambda p: F.struct(p["line"].alias("line"), words(p["s"]).alias("words"))))
+    able = F.filter(held, lambda p: F.size(p["words"]) > low)
     grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda k: F.concat_ws(" ", F.element_at(w, k), F.element_at(w, k + 1))))
-    split = split.withColumn("_passages", F.transform(able, lambda p: F.struct(p["line"].alias("line"), grams(p["words"]).alias("grams"))))
+    split = split.withColumn(held, F.transform(able, lambda p: F.struct(p["line"].alias("line"), grams(p["words"]).alias("grams"))))
 
     def best(p: Column) -> Column:
         n = F.size(p["grams"])
@@ -168,14 +170,14 @@ def license_scan(docs: DataFrame, text_col: str = "text", least: float = LEAST,
 
     none = F.expr("cast(array() as array<struct<line:int,license:string,dice:double>>)")
     if not table_:
-        return split.drop("_passages", "_text").withColumn("hits", none)
-    in_reach = F.filter("_passages", lambda p: F.size(p["grams"]).between(low, high))
+        return split.drop(held, lower).withColumn("hits", none)
+    in_reach = F.filter(held, lambda p: F.size(p["grams"]).between(low, high))
     found = F.transform(in_reach, lambda p: F.struct(p["line"].alias("line"), best(p).alias("best")))
-    split = split.withColumn("_passages", F.filter(found, lambda x: x["best"]["dice"] >= least))
-    hits = F.transform("_passages", lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), F.round(x["best"]["dice"], 6).alias("dice")))
+    split = split.withColumn(held, F.filter(found, lambda x: x["best"]["dice"] >= least))
+    hits = F.transform(held, lambda x: F.struct(x["line"].alias("line"), x["best"]["license"].alias("license"), F.round(x["best"]["dice"], 6).alias("dice")))
     split = split.withColumn("hits", F.coalesce(hits, none))
     more = F.when(text != "", F.concat("hits", _windows(F.transform(F.split(text, "\n", -1), words), F.col("hits"), table_, least)))
-    return split.withColumn("hits", F.coalesce(more, "hits")).drop("_passages", "_text")
+    return split.withColumn("hits", F.coalesce(more, "hits")).drop(held, lower)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ hash that two different texts share removes nothing.
 
 Chunks alone miss what stands around and between their boundaries, so the query takes whole passages: every
 two adjacent lines are a candidate, at every line. All lines of a repeated run of two lines or more go but
-at its first place, however it lies to any boundary. A pair is known by its two lines' hashes, and the lines
-of one hash are grouped by their bytes as chunks are. A line that repeats alone, beside others, stays.
+at its first place, however it lies to any boundary. A pair is known by the 128-bit hash of its bytes; the
+bytes of all places of a repeated pair are then compared, and where two differ all is done again with another
+seed of the hash. A line that repeats alone, beside others, stays.
 """
 
 from __future__ import annotations
@@ -21,12 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, prepare, small, stored, table
+from .shared import BROADCAST_ROWS, dealt_join, fresh, prepare, stored, table, text_or_empty
 
 SPAN, DIVISOR, MOST = 2, 4, 64
 _BASE, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
-#: Parts that the places of a common pair are dealt into where the repeated pairs are too many to broadcast.
-SALTS = 16
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
@@ -48,82 +47,78 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _chunk_rows(with_text: bool):
-    """One row for each chunk of two lines or more; ``nth`` counts the same chunk within the document."""
-    names = ["id", "key", "hash", "text"] if with_text else ["id", "key", "hash", "first", "end", "nth"]
+#: Rows of a frame that are cut into lines at once.
+ROWS = 1000
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for at in range(0, frame.num_rows, 1000):
-                part = frame.slice(at, 1000)
-                rows = []
-                for i, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    lines, seen = (text or "").split("\n"), {}
-                    for a, b in chunks(text or ""):
-                        if b - a > 1:
-                            body = "\n".join(lines[a:b])
-                            h = xxhash.xxh3_64_intdigest(body.encode()) - 2**63
-                            nth = seen[h] = seen.get(h, -1) + 1
-                            rows.append((i, key, h, body) if with_text else (i, key, h, a, b, nth))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] if with_text else [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return run
+def pair_hash(lines: tuple[bytes, ...], seed: int) -> int:
+    """128 bits of lines on end; of a chunk's or of two adjacent lines'."""
+    return xxhash.xxh3_128_intdigest(b"\n".join(lines), seed)
+
+
+def _signed(h: int) -> tuple[int, int]:
+    return (h >> 64) - 2**63, (h & _MASK) - 2**63
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(hash, keeper): chunks whose one text occurs more than once; docs has id, key, text."""
-    bodies = docs.mapInArrow(_chunk_rows(True), "id long, key long, hash long, text string")
-    texts = bodies.groupBy("hash", "text").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).drop("text")
-    return texts.groupBy("hash").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("hash", "keeper")
+def _parts(text: str, whole: bool) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """A text's lines, and (first, end) of its candidates: adjacent lines, or chunks of two lines or more."""
+    lines = text.encode().split(b"\n")
+    return lines, [(k, k + 2) for k in range(len(lines) - 1)] if whole else [(a, b) for a, b in chunks(text) if b - a > 1]
 
 
-_KINDS = {"id": pa.int64(), "key": pa.int64(), "hash": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "text": pa.string(), "first": pa.int32(), "end": pa.int32(), "again": pa.bool_()}
+_KINDS = {"id": pa.int64(), "key": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "first": pa.int32(), "end": pa.int32(), "again": pa.bool_(), "body": pa.binary()}
 
 
-def _line_rows(names: list[str], rows_of):
-    """One row for each that ``rows_of`` (id, key, lines, hashes of the lines) gives."""
+def _rows(names: list[str], rows_of):
+    """One row for each that ``rows_of`` gives for a frame's row."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for at in range(0, frame.num_rows, 1000):
-                part, rows = frame.slice(at, 1000), []
-                for i, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    lines = (text or "").split("\n")
-                    if len(lines) > 1:
-                        rows += rows_of(i, key, lines, [xxhash.xxh3_64_intdigest(x.encode()) - 2**63 for x in lines])
+            for at in range(0, frame.num_rows, ROWS):
+                part, rows = frame.slice(at, ROWS), []
+                for values in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    rows += rows_of(*values)
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[n]) for c, n in zip(columns, names, strict=True)], names)
 
     return run
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """Places of the repeated pairs of adjacent lines (id, key, first, end, again, keeper); docs has id, key, text.
+def repeated_places(docs: DataFrame, whole: bool, seed: int) -> DataFrame:
+    """(id, key, h1, h2, first, end, again, keeper): all places of the candidates that repeat; docs has id, key, text.
 
-    ``again`` holds where the pair stands before in the text and doesn't share a line with its first place there.
+    ``again`` holds where the candidate stands before in the text, and doesn't share a line with its first
+    place there; keeper is the smallest id that has it.
     """
-    texts = docs.mapInArrow(_line_rows(["hash", "text"], lambda i, key, lines, hashes: set(zip(hashes, lines, strict=True))), "hash long, text string").distinct()
-    shared = {r.hash for r in texts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").collect()}
 
-    def pairs(i, key, lines, hashes):
-        return [(i, a, b) for a, b in zip(hashes, hashes[1:], strict=False) if a not in shared and b not in shared]
+    def seen(i, key, text):
+        return [(i, *_signed(pair_hash(tuple(lines[a:b]), seed))) for lines, parts in [_parts(text or "", whole)] for a, b in parts]
 
-    def places(i, key, lines, hashes):
-        out, seen = [], {}
-        for k, pair in enumerate(zip(hashes, hashes[1:], strict=False)):
-            out.append((i, key, *pair, k, k + 2, k - seen.setdefault(pair, k) > 1))
+    def places(i, key, text):
+        (lines, parts), first, out = _parts(text or "", whole), {}, []
+        for a, b in parts:
+            h = pair_hash(tuple(lines[a:b]), seed)
+            out.append((i, key, *_signed(h), a, b, a >= first.setdefault(h, b if whole else a + 1)))
         return out
 
-    counted = docs.mapInArrow(_line_rows(["id", "h1", "h2"], pairs), "id long, h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+    counted = docs.mapInArrow(_rows(["id", "h1", "h2"], seen), "id long, h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
     found = stored(counted.where("n > 1").drop("n"), "repeated")
-    placed = docs.mapInArrow(_line_rows(["id", "key", "h1", "h2", "first", "end", "again"], places), "id long, key long, h1 long, h2 long, first int, end int, again boolean")
-    n = found.count()
-    if n <= BROADCAST_ROWS:
-        return placed.join(small(found, n), ["h1", "h2"])
-    dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return placed.withColumn("salt", F.pmod(F.xxhash64("id", "key", "first"), F.lit(SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"])
+    placed = docs.mapInArrow(_rows(["id", "key", "h1", "h2", "first", "end", "again"], places), "id long, key long, h1 long, h2 long, first int, end int, again boolean")
+    return stored(dealt_join(placed, found, ["h1", "h2"], "inner", limit=BROADCAST_ROWS), "places")
+
+
+def differing(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(h1, h2) of places whose bytes differ. Only texts with such places are read, each place's bytes are sent
+    as the smallest and largest of a task."""
+    at = places.groupBy(F.col("id").alias("place_id"), F.col("key").alias("place_key")).agg(F.collect_set(F.struct("h1", "h2", "first", "end")).alias("places"))
+    with_text = docs.join(at, F.col("id").eqNullSafe(F.col("place_id")) & (F.col("key") == F.col("place_key"))).select("text", "places")
+
+    def bodies(text, places):
+        lines = (text or "").encode().split(b"\n")
+        return [(p["h1"], p["h2"], b"\n".join(lines[p["first"] : p["end"]])) for p in places]
+
+    made = with_text.mapInArrow(_rows(["h1", "h2", "body"], bodies), "h1 long, h2 long, body binary")
+    return made.groupBy("h1", "h2").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("h1", "h2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
@@ -134,38 +129,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null, with no lines; an empty one has one line. A text whose lines are all removed is
     empty. Rows that share an id are one document as to which stays; a null id is larger than all others,
     and where only null ids have a chunk, it stays in all of them. Columns named like the results are
-    replaced. An empty table gives none.
+    replaced, others stay whatever their names. An empty table gives none.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     plain = docs.drop("n_lines", "n_removed")
-    keyed = plain.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    if whole:
-        places = repeated_pairs(keyed)
-    else:
-        found = stored(repeated_chunks(keyed), "repeated")
-        places = keyed.mapInArrow(_chunk_rows(False), "id long, key long, hash long, first int, end int, nth int").join(small(found), "hash").withColumn("again", F.col("nth") > 0)
+    cut_id, cut_key, cuts_col = fresh(plain, "cut_id", "cut_key", "cuts")
+    text_key = F.xxhash64(text_or_empty(text_col))
+    keyed = plain.select(F.col(id_col).cast("long").alias("id"), text_key.alias("key"), F.col(text_col).alias("text"))
+    seed = 0
+    while True:
+        places = repeated_places(keyed, whole, seed)
+        if differing(keyed, places).isEmpty():
+            break
+        seed += 1
     gone = places.where(~F.col("id").eqNullSafe(F.col("keeper")) | (F.col("id").isNotNull() & F.col("again")))
     # Rows that repeat an id and its text have the same places.
-    cuts = gone.select(F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), "first", "end").distinct().groupBy("cut_id", "cut_key").agg(F.collect_list(F.struct("first", "end")).alias("cuts"))
+    cuts = gone.select(F.col("id").alias(cut_id), F.col("key").alias(cut_key), "first", "end").distinct().groupBy(cut_id, cut_key).agg(F.collect_list(F.struct("first", "end")).alias(cuts_col))
     names, at = plain.columns, plain.columns.index(text_col)
-    joined = plain.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(text_col) == F.col("cut_key")), "left").select(*(plain[c] for c in names), "cuts")
-    schema = plain.schema.add("n_lines", "long").add("n_removed", "long")
+    joined = plain.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(cut_id)) & (text_key == F.col(cut_key)), "left").select(*(F.col(c) for c in names), cuts_col)
+    schema = docs.drop("n_lines", "n_removed").schema.add("n_lines", "long").add("n_removed", "long")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            texts, total, removed = [], [], []
-            for text, cut in zip(frame.column(at).to_pylist(), frame.column(frame.num_columns - 1).to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
-                total.append(len(lines))
-                if cut:
-                    drop = {i for c in cut for i in range(c["first"], c["end"])}
-                    lines = [x for i, x in enumerate(lines) if i not in drop]
-                    text = "\n".join(lines)
-                texts.append(text)
-                removed.append(total[-1] - len(lines))
-            columns = frame.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+        for whole_frame in frames:
+            for start in range(0, whole_frame.num_rows, ROWS):
+                frame, texts, total, removed = whole_frame.slice(start, ROWS), [], [], []
+                for text, cut in zip(frame.column(at).to_pylist(), frame.column(frame.num_columns - 1).to_pylist(), strict=True):
+                    lines = [] if text is None else text.split("\n")
+                    total.append(len(lines))
+                    if cut:
+                        drop = {i for c in cut for i in range(c["first"], c["end"])}
+                        lines = [x for i, x in enumerate(lines) if i not in drop]
+                        text = "\n".join(lines)
+                    texts.append(text)
+                    removed.append(total[-1] - len(lines))
+                columns = frame.columns[:-1]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
 
     return joined.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small, stored, table, text_or_empty
+from .shared import fresh, small, stored, table, text_or_empty
 
 #: The base kinds in their order, as given. Group 1 is what stands before the value.
 ASSIGN = r"""((?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -42,22 +42,43 @@ SCOPE = 200
 _OPEN, _MID = "\x01", "\x02"
 
 
+#: Items that a running value is carried over at a time.
+RUN = 128
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda inside refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, join) -> Column:
+    """For each of an array's ints the ``join`` of all before it, from 0 on. Arrays are grown by RUN items at a
+    time, blocks of items first and then their totals, so that a long array isn't copied once for each item."""
+
+    def grown(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(items, start, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    count = F.ceil(F.size(values) / RUN).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: grown(F.slice(values, k * RUN + 1, RUN)))).otherwise(F.expr("cast(array() as array<struct<at:int,out:array<int>>>)"))
+    return _let(blocks, lambda b: _let(grown(F.transform(b, lambda x: x["at"]))["out"], lambda ahead: F.flatten(F.transform(b, lambda x, k: F.transform(x["out"], lambda y: join(F.get(ahead, k), y))))))
+
+
 def _spans(text: Column, pattern: str, least: int, kind: int, needs: list[str] | str) -> Column:
     """Array of (start, end, kind): the matches whose value has ``least`` characters or more."""
     has = functools.reduce(operator.or_, (F.contains(text, F.lit(x)) for x in needs), F.lit(not needs))
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$1{_MID}$2{_OPEN}"))
-    parts = F.split(marked, _OPEN, -1)
     # Odd parts are matches; each is its two groups with a mark between.
-    sizes = F.transform(parts, lambda x, i: F.struct(F.when(i % 2 == 1, F.length(x) - 1).otherwise(F.length(x)).alias("n"), ((i % 2 == 1) & (F.length(x) - F.locate(_MID, x) >= least)).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    walk = F.aggregate(
-        sizes,
-        start,
-        lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.when(x["hit"], F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), (s["at"] + x["n"]).alias("end"), F.lit(kind).alias("kind"))))).otherwise(s["found"]).alias("found")),
-        lambda s: s["found"],
-    )
-    return F.when(has, walk).otherwise(none)
+    sizes = F.transform(F.split(marked, _OPEN, -1), lambda x, i: F.struct(F.when(i % 2 == 1, F.length(x) - 1).otherwise(F.length(x)).alias("n"), ((i % 2 == 1) & (F.length(x) - F.locate(_MID, x) >= least)).alias("hit")))
+
+    def placed(parts: Column) -> Column:
+        starts = _running(F.transform(parts, lambda x: x["n"]), lambda a, b: a + b)
+        rows = F.transform(F.arrays_zip(parts.alias("part"), starts.alias("start")), lambda z: F.struct(z["start"].alias("start"), (z["start"] + z["part"]["n"]).alias("end"), F.lit(kind).alias("kind"), z["part"]["hit"].alias("hit")))
+        return F.transform(F.filter(rows, lambda r: r["hit"]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind")))
+
+    # A text without a match is one part.
+    return F.when(has, _let(sizes, lambda parts: F.when(F.size(parts) > 1, placed(parts)).otherwise(none))).otherwise(none)
 
 
 def _sorted(spans: Column) -> Column:
@@ -91,7 +112,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     identifier, secret = [kinds["access"], kinds["weak_id"]], [kinds["assign"], kinds["hex"], kinds["weak_secret"]]
     role = F.when(F.col("kind").isin(identifier), 1).when(F.col("kind").isin(secret), 2).otherwise(4)
     parts = parts.withColumn("role", role)
-    weak = parts.where(F.col("kind") >= len(BASE)).withColumn("cell", F.explode(F.expr(f"sequence(start div {scope} - 1, (end - 1) div {scope} + 1)")))
+    weak = parts.where(F.col("kind") >= len(BASE)).withColumn("cell", F.explode(F.expr(f"sequence(greatest(0, start - {scope} - 1) div {scope}, (end + {scope}) div {scope})")))
     others = parts.where("role <> 4").select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.col("kind").alias("kind2")).withColumn("c2", F.explode(F.expr(f"sequence(s2 div {scope}, (e2 - 1) div {scope})")))
     near = (F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope)
     apart = (F.col("s2") >= F.col("end")) | (F.col("start") >= F.col("e2"))
@@ -100,7 +121,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     added = confirmed.select(id_col, "key", F.struct("start", "end", "kind").alias("p")).groupBy(id_col, "key").agg(F.collect_set("p").alias("more"))
     added = added.select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), "more")
     out = found.join(added, F.col(id_col).eqNullSafe(F.col("i2")) & (F.col("key") == F.col("k2")), "left")
-    more = F.filter(F.coalesce("more", F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    more = F.filter(F.coalesce(F.col("more"), F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return out.select(id_col, "key", "base", F.when(F.size(more) > 0, _sorted(F.concat("base", more))).otherwise(F.col("base")).alias("spans"))
 
 
@@ -114,22 +135,28 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with each stretch of spans (overlapping ones as one) replaced by ``mark``; all rows stay.
 
-    A null text stays null. A column n_chars, if there is one, is counted anew where the text changed.
+    A null text stays null. A column n_chars, if there is one, is counted anew where the text changed. Other
+    columns stay as they are, whatever their names. An empty table gives none.
     """
-    found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).distinct()
+    own_id, own_key, own_spans, clean = fresh(docs, "secret_id", "secret_key", "secret_spans", "clean_text")
+    found = secret_spans(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col(id_col).alias(own_id), F.col("key").alias(own_key), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(own_spans)).distinct()
     found = stored(found, "secrets")
-    joined = docs.join(small(found), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key")), "left")
-    text = F.col(text_col)
-
-    def step(done: Column, span: Column) -> Column:
-        ahead = F.substring(text, done["at"] + 1, F.greatest(F.lit(0), span["start"] - done["at"]))
-        more = F.when(span["start"] >= done["at"], F.concat(done["out"], ahead, F.lit(mark))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], span["end"]).alias("at"), more.alias("out"))
-
-    whole = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    changed = F.col("_spans").isNotNull()
-    out = joined.withColumn("_new", F.when(changed, whole).otherwise(text))
-    columns = [F.col("_new").alias(c) if c == text_col else F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    joined = docs.join(small(found, weight=F.size(own_spans) + 1), F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(own_key)), "left")
+    # Four bytes a code point, so that a place is found without walking to it.
+    letters = F.encode(F.col(text_col), "UTF-32")
+    part = lambda whole, a, b: F.decode(whole.substr((4 * a + 1).cast("int"), (4 * F.greatest(b - a, F.lit(0))).cast("int")), "UTF-32")
+
+    def replaced(whole: Column, spans: Column, done: Column) -> Column:
+        # ``done`` holds how far the spans before reach; a span that begins there or later begins a stretch.
+        rows = F.filter(F.transform(F.arrays_zip(spans.alias("span"), done.alias("done")), lambda z: F.struct(z["span"]["start"].alias("start"), z["done"].alias("done"))), lambda r: r["start"] >= r["done"])
+        ahead = F.transform(rows, lambda r: part(whole, r["done"], r["start"]))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(ahead, mark), F.lit(mark), part(whole, last, F.length(F.col(text_col))))
+
+    new = _let(letters, lambda whole: _let(_running(F.transform(own_spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda done: replaced(whole, F.col(own_spans), done)))
+    changed = F.col(own_spans).isNotNull()
+    out = joined.withColumn(clean, F.when(changed, new).otherwise(F.col(text_col)))
+    columns = [F.col(clean).alias(c) if c == text_col else F.when(changed, F.length(clean).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*columns)
 
 

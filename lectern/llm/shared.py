@@ -54,12 +54,30 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has few enough rows, else as it is."""
+def small(df: DataFrame, rows: int | None = None, weight: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has few enough rows, else as it is. ``weight`` is a row's weight in
+    rows of a few numbers, where rows hold arrays."""
+    if weight is not None:
+        rows = df.agg(F.sum(weight)).first()[0] or 0
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Parts that the rows of one key are dealt into where a table is too large to broadcast.
+SALTS = 16
+
+
+def dealt_join(rows: DataFrame, found: DataFrame, keys: list[str], how: str, n: int | None = None, limit: int | None = None) -> DataFrame:
+    """``rows`` joined to ``found`` by ``keys``: by broadcast if ``found`` is small, else with the rows of each key
+    dealt into SALTS parts, so that a key with a third of all rows doesn't come to one task."""
+    n = found.count() if n is None else n
+    if n <= (BROADCAST_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(found), keys, how)
+    (salt,) = fresh(rows, "salt")
+    dealt = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(dealt, [*keys, salt], how).drop(salt)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
