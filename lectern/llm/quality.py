@@ -1,13 +1,12 @@
 """Quality classifier (10): a weak-label model and a hashed linear scorer.
 
-Heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of
-all vote patterns (a few thousand at most, however many texts) estimates the share of good texts and, for
-a small part, each labeller's accuracy; no label is read. Accuracies are mostly fixed: WEIGHT times all
-texts stand behind BELIEF, so an estimate is 1 part data in WEIGHT + 1 however large the input, and a
-labeller that is wrong for a whole source is hardly found out. With less weight the defects' labellers,
-which seldom fire together but for a few that fire on the same defect, are told apart by those few, and
-more than half of the bad texts count as good (figures in the README). The posterior of a text's votes then trains, on a bounded sample, a
-linear scorer over hashed words and word shapes, which scores every whole text.
+Overlapping heuristic labellers each look for one defect and call a text bad or stay silent; each defect is
+seen by two or three of them. Expectation-maximisation over the counts of all vote patterns (at most 2 to the
+number of labellers, however many texts) estimates the share of bad texts and each labeller's accuracy, how often
+it speaks on bad and on good texts; no label is read. A labeller that speaks where no other does is so found
+wrong, one that others confirm is found right. Beliefs count as much as PSEUDO texts, so data outvote them. The
+posterior of a text's votes then trains, on a bounded sample, a linear scorer over hashed words and word
+shapes, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -20,25 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import prepare, stored, table
+from .pretoken import spans
+from .shared import prepare, stored, table, trim
 
-#: Labeller, feature's value up to which it votes bad (from which, where larger is worse), and value from which
-#: it votes good, if it ever does: each of these knows one defect and has nothing to say of a text without it.
+#: Labeller, and the value of its feature from which (or down to which) it calls a text bad.
 LABELLERS = [
-    ("symbols", 0.03, None, "above"),
-    ("upper", 0.30, None, "above"),
-    ("repeats", 0.20, None, "above"),
-    ("digits", 0.15, None, "above"),
-    ("breaks", 0.30, None, "below"),
-    ("variety", 0.15, None, "below"),
-    ("words", 1.0, None, "below"),
-    ("length", 2.0, None, "below"),
+    ("symbols", 0.03, "above"),
+    ("marked", 0.20, "above"),
+    ("letters", 0.72, "below"),
+    ("upper", 0.30, "above"),
+    ("shouted", 0.30, "above"),
+    ("repeats", 0.20, "above"),
+    ("variety", 0.15, "below"),
+    ("common", 0.30, "above"),
+    ("breaks", 0.30, "below"),
+    ("digits", 0.15, "above"),
+    ("words", 1.0, "below"),
+    ("length", 2.0, "below"),
 ]
-#: Beliefs about any labeller, as shares of bad, good and no votes on bad and on good texts, and their weight
-#: as a multiple of all texts: a defect's labeller is seldom wrong, and each finds a part of the bad texts;
-#: a good vote says little, since one virtue doesn't rule out another defect.
-BELIEF = np.array([[0.20, 0.30, 0.50], [0.003, 0.497, 0.50]])
-WEIGHT = 10
+#: Beliefs about any labeller: how often it speaks on bad and on good texts, and the texts that they count for.
+BELIEF, PSEUDO = (0.2, 0.02), 20.0
 #: Hashed features; bounds of the training sample; passes over it; a text with this score or more is kept.
 FEATURES, SAMPLE_ROWS, SAMPLE_CHARS, PASSES, THRESHOLD = 4096, 3000, 20_000, 60, 0.5
 
@@ -82,22 +82,33 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     variety = np.bincount(owner[order][new], minlength=len(texts)) / np.sqrt(count) / 10
     stops = _per_text(_STOP[data], starts) / np.maximum(count / 25, 1)
+    last = data[np.maximum(end - 1, 0)]
+    shape = _UPPER[data[first]] + 2 * _UPPER[last] + 4 * _DIGIT[last] + 8 * _SYMBOL[last] + 16 * _STOP[last] + 32 * again + 64 * _SYMBOL[data[first]]
+    shape = shape + 128 * np.minimum(end - first, 15)
+    # How often each text's most common word occurs; one of few words says nothing.
+    group = np.cumsum(new) - 1
+    often = np.zeros(len(texts))
+    if len(group):
+        np.maximum.at(often, owner[order][new], np.bincount(group))
+    many = np.diff(bounds) >= 10
+    inner = data[np.minimum(first + 1, np.maximum(end - 1, 0))]
     values = np.stack(
         [
             _per_text(_SYMBOL[data], starts) / size,
+            _per_text(_SYMBOL[last], bounds) / count,
+            letters / np.maximum(size - count, 1) + ~many,
             _per_text(_UPPER[data], starts) / letters,
+            _per_text(_UPPER[data[first]] & _UPPER[inner], bounds) / count,
             _per_text(again, bounds) / count,
-            _per_text(_DIGIT[data], starts) / size,
-            np.minimum(stops, 1),
             variety + (np.diff(bounds) < 30),
+            often / count * many,
+            np.minimum(stops, 1),
+            _per_text(_DIGIT[data], starts) / size,
             np.diff(bounds).astype(np.float64),
             letters / count,
         ],
         axis=1,
     )
-    last = data[np.maximum(end - 1, 0)]
-    shape = _UPPER[data[first]] + 2 * _UPPER[last] + 4 * _DIGIT[last] + 8 * _SYMBOL[last] + 16 * _STOP[last] + 32 * again + 64 * _SYMBOL[data[first]]
-    shape = shape + 128 * np.minimum(end - first, 15)
     half = np.uint64(FEATURES // 2)
     shaped = (tb.mix(shape.astype(np.uint64) + np.uint64(99)) % half).astype(np.int64)
     worded = (hashes % half).astype(np.int64) + FEATURES // 2
@@ -105,36 +116,36 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def votes(values: np.ndarray) -> np.ndarray:
-    """0 for bad, 1 for good, 2 for neither, by text and labeller; as one number in base 3 by pattern()."""
-    out = np.full(values.shape, 2)
-    for k, (_, bad, good, side) in enumerate(LABELLERS):
-        x = values[:, k]
-        if good is not None:
-            out[x >= good, k] = 1
-        out[x >= bad if side == "above" else x <= bad, k] = 0
-    return out
+    """Whether each labeller calls each text bad."""
+    bad = np.array([x for _, x, _ in LABELLERS])
+    return np.where(np.array([side == "above" for *_, side in LABELLERS]), values >= bad, values <= bad)
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
-    return v @ 3 ** np.arange(v.shape[1])
+    """A text's votes as one number, a bit for each labeller."""
+    return v @ (1 << np.arange(v.shape[1]))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Posterior that a text with each pattern is good: two classes, labellers independent within each."""
-    v = patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    posterior = np.where((v == 0).any(1), 0.1, 0.95)
-    # A labeller that never votes good has the shares of good and no votes for none.
-    speaks = np.array([good is not None for _, _, good, _ in LABELLERS])
-    whole = np.stack([BELIEF[:, 0], np.zeros(2), BELIEF[:, 1:].sum(1)], 1)
-    believed = [[np.where(speaks[k], BELIEF[c], whole[c]) * WEIGHT * counts.sum() for k in range(v.shape[1])] for c in range(2)]
+def estimate(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posterior that a text with each pattern is good; how often each labeller speaks on bad texts and on good
+    ones; the share of bad texts. Two classes, labellers independent within each.
+
+    At first two voices count as bad, one as undecided. Where no pattern has two voices nothing tells the
+    accuracies apart, and beliefs decide.
+    """
+    v = (patterns[:, None] >> np.arange(labellers) & 1).astype(np.float64)
+    voices = v.sum(1)
+    bad = np.where(voices >= 2, 0.95, np.where(voices == 1, 0.5, 0.02))
+    believed = np.array(BELIEF)[:, None] * PSEUDO
+    speaks, share = np.zeros((2, labellers)), 0.0
     for _ in range(rounds):
-        w = np.stack([1 - posterior, posterior]) * counts
-        prior = (w.sum(1) + 1) / (counts.sum() + 2)
-        table_ = np.stack([[[(w[c] * (v[:, k] == x)).sum() + 0.5 + believed[c][k][x] * prior[c] for x in range(3)] for k in range(v.shape[1])] for c in range(2)])
-        table_ /= table_.sum(2, keepdims=True)
-        logs = np.log(prior)[:, None] + np.stack([np.log(table_[c][np.arange(v.shape[1]), v]).sum(1) for c in range(2)])
-        posterior = 1 / (1 + np.exp(logs[0] - logs[1]))
-    return posterior
+        weights = np.stack([bad, 1 - bad]) * counts
+        total = weights.sum(1)
+        share = float((total[0] + 1) / (total.sum() + 2))
+        speaks = (weights @ v + believed) / (total[:, None] + PSEUDO)
+        logs = np.log([share, 1 - share])[:, None] + np.log(speaks) @ v.T + np.log1p(-speaks) @ (1 - v).T
+        bad = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
+    return 1 - bad, speaks, share
 
 
 def train(texts: list[bytes], posterior: np.ndarray) -> np.ndarray:
@@ -160,43 +171,56 @@ def train(texts: list[bytes], posterior: np.ndarray) -> np.ndarray:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with weak (the votes' posterior), score (0 to 1, higher is better) and keep (int).
 
-    Null and empty texts have no words and are bad by votes; their score is the scorer's bias alone. Columns
-    of ``docs`` named like the results are replaced. Rows stay where they are; repeated rows are scored alike.
+    Null and empty texts have no words; their score is the scorer's bias alone. Columns of ``docs`` named like
+    the results are replaced. Rows stay where they are; repeated rows are scored alike. An empty table gives none.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.drop("weak", "score", "keep")
 
-    def cast(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(frames: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         for frame in frames:
-            raw = [(t or "").encode() for t in frame.column(0).to_pylist()]
-            for a, b in tb.batches(raw):
-                seen, n = np.unique(pattern(votes(features(raw[a:b])[0])), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n, pa.int64())], ["pattern", "n"])
+            for a, b in spans(frame.column(column)):
+                part = frame.slice(a, b - a)
+                yield part, [(t or "").encode() for t in part.column(column).to_pylist()]
+        trim()
+
+    def cast(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw in parts(frames, 0):
+            seen, n = np.unique(pattern(votes(features(raw)[0])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n, pa.int64())], ["pattern", "n"])
 
     counted = stored(plain.select(text_col).mapInArrow(cast, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")), "votes").collect()
     known = np.array(sorted((r.pattern, r.n) for r in counted) or [(0, 1)], np.int64)
-    posterior = estimate(known[:, 0], known[:, 1].astype(np.float64))
-    hashed = plain.select(text_col, F.xxhash64(text_col, id_col).alias("h")).where(F.length(text_col) <= SAMPLE_CHARS)
-    # The sample's last hash comes first, so that no partition sends more texts than the sample takes of it.
+    posterior = estimate(known[:, 0], known[:, 1].astype(np.float64))[0]
+
+    def learn(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, found = [], []
+        for _, texts in parts(frames, 0):
+            raw += texts
+            found.append(pattern(votes(features(texts)[0])))
+        if raw:
+            weights = train(raw, posterior[np.searchsorted(known[:, 0], np.concatenate(found))])
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
+    hashed = plain.select(F.col(text_col).alias("text"), F.xxhash64(text_col, id_col).alias("h")).where(F.length("text") <= SAMPLE_CHARS)
+    # The sample's last hash comes first, so that no partition sends more texts than the sample takes of it. One
+    # task reads the sample and trains; only the weights come to the driver.
     last = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    picked = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", text_col).limit(SAMPLE_ROWS).collect()
-    raw = [(r[0] or "").encode() for r in picked]
-    found = np.concatenate([pattern(votes(features(raw[a:b])[0])) for a, b in tb.batches(raw)] or [np.zeros(0, np.int64)])
-    weights = train(raw, posterior[np.searchsorted(known[:, 0], found)])
+    picked = hashed.where(F.col("h") <= F.lit(last)).orderBy("h", "text").limit(SAMPLE_ROWS).select("text")
+    made = picked.repartition(1).mapInArrow(learn, "weights binary").collect()
+    weights = np.frombuffer(made[0].weights, np.float32) if made else train([], np.zeros(0))
     model = spark.sparkContext.broadcast((known[:, 0], posterior, weights))
-    at, schema = plain.columns.index(text_col), plain.drop("weak").schema.add("weak", "double").add("score", "double")
+    at, schema = plain.columns.index(text_col), docs.drop("weak", "score", "keep").schema.add("weak", "double").add("score", "double")
     names = schema.fieldNames()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, post, w = model.value
-        for frame in frames:
-            raw = [(t or "").encode() for t in frame.column(at).to_pylist()]
-            for a, b in tb.batches(raw):
-                values, hashed, bounds = features(raw[a:b])
-                n = np.maximum(np.diff(bounds), 1)
-                score = 1 / (1 + np.exp(-(_per_text(w[hashed].sum(1), bounds) / n + w[-1])))
-                own = post[np.minimum(np.searchsorted(seen, pattern(votes(values))), len(seen) - 1)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in frame.columns), pa.array(own, pa.float64()), pa.array(score, pa.float64())], names)
+        for part, raw in parts(frames, at):
+            values, hashed, bounds = features(raw)
+            n = np.maximum(np.diff(bounds), 1)
+            score = 1 / (1 + np.exp(-(_per_text(w[hashed].sum(1), bounds) / n + w[-1])))
+            own = post[np.minimum(np.searchsorted(seen, pattern(votes(values))), len(seen) - 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.float64()), pa.array(score, pa.float64())], names)
 
     return plain.mapInArrow(run, schema).withColumn("keep", (F.col("score") >= THRESHOLD).cast("int"))
 
