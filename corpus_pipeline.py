@@ -18,23 +18,32 @@ from lectern.llm.shared import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts stay unless a third of the sample is toxic; repeated rows go or stay together; without
+    labels all rows stay; an empty table gives none."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, net).where("predicted = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null counts as empty, so one null or empty text stays. Rows that repeat the id that stays, with its text,
+    are that document and all stay. Rows without id go beside one that has an id. An empty table gives none."""
     return exact_dedup.exact_dedup(docs, keep="max").where("kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.minhash_dedup(docs, width=5, percent=80).where("kept").select(docs.columns)
+    """Null, empty and blank texts link with nothing and stay, as do rows without id. Rows that share an id are
+    one document and go or stay together. An empty table gives none."""
+    return minhash_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; null texts stay null; n_chars is counted anew where a text changed. An empty table gives none."""
     return secret_scan.redact(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are their separator; repeated rows are packed as often as they occur. An empty table
+    gives none."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
