@@ -1,0 +1,14 @@
+"""Broadcasts only of what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows, of a few numbers or short strings each, that are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit((most := BROADCAST_ROWS if most is None else most) + 1).count() <= most else df

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions.text import span_form
 
 CUTS = (1, 3, 5, 10)
+#: Drops of recall and of faithfulness that still pass.
+RECALL_DROP, FAITH_DROP = 0.02, 0.05
 
 
 def first_ranks(hits: DataFrame, spans: DataFrame) -> DataFrame:
@@ -34,11 +36,15 @@ def summary() -> list[Column]:
 
 
 def by_position(rows: DataFrame, by: str, value: str, p: float, name: str, rounded: bool = True) -> DataFrame:
-    """(by, name): the value at 0-based position round(p * (n - 1)), or min(n - 1, floor(p * n)) if not ``rounded``."""
+    """(by, name): the value at 0-based position round(p * (n - 1)), or min(n - 1, floor(p * n)) if not ``rounded``.
+
+    From counts of distinct values: no sort of all rows. Nulls don't count.
+    """
+    each = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(by)
-    numbered = rows.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    run = each.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
     at = F.bround(p * (F.col("_n") - 1)) if rounded else F.least(F.col("_n") - 1, F.floor(p * F.col("_n")))
-    return numbered.where(F.col("_i") == at).select(by, F.col(value).alias(name))
+    return run.where((at >= F.col("_upto") - F.col("_c")) & (at < F.col("_upto"))).select(by, F.col(value).alias(name))
 
 
 def tau_grid(rows: DataFrame, score: str = "score") -> DataFrame:
@@ -47,6 +53,11 @@ def tau_grid(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.where(F.col(score).isNotNull()).select(F.col(score).alias("tau")).union(ends).distinct()
 
 
+def combined_abstained(abstained: Column, score: Column, tau: Column) -> Column:
+    """Whether the answer abstains or its score is under tau; a null score never is."""
+    return abstained | F.coalesce(score < tau, F.lit(False))
+
+
 def tau_sweep(rows: DataFrame) -> DataFrame:
     """Per tau, of rows (score, answerable, abstained, correct): rates with answers under tau withheld.
 
@@ -78,7 +89,7 @@ def apportion(groups: DataFrame, quota: DataFrame, by: str, size: str = "n") ->
     return base.withColumn("quota", F.col("base") + F.when(turn <= left, 1).otherwise(0)).select("qtype", by, "quota")
 
 
-def regression(baseline: DataFrame, now: DataFrame, recall_drop: float = 0.02, faith_drop: float = 0.05) -> DataFrame:
+def regression(baseline: DataFrame, now: DataFrame, recall_drop: float = RECALL_DROP, faith_drop: float = FAITH_DROP) -> DataFrame:
     """One row: both tables' recall_at_5 and faithfulness, and passed. A drop of just the tolerance passes."""
     b = baseline.select(F.col("recall_at_5").alias("base_recall"), F.col("faithfulness").alias("base_faithfulness"))
     both = now.select("recall_at_5", "faithfulness").crossJoin(b)

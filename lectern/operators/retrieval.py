@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokens
+from lectern.functions.text import tokens, word_counts
+from lectern.operators.joins import small
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -15,32 +16,43 @@ K_RRF = 60
 
 
 def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, term, tf, dl)."""
+    """(keys, dl, term, tf), counted within rows; a chunk also has a row without term."""
     t = chunks.select(*keys, tokens(F.col(text)).alias("_t"))
-    return t.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(*keys, "term", "dl").agg(F.count("*").alias("tf"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    return t.select(*keys, F.size("_t").alias("dl"), F.explode(F.concat(none, word_counts(F.col("_t")))).alias("p")).select(*keys, "dl", "p.term", "p.tf")
 
 
-def idf(posts: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """(term, df, idf): a negative idf becomes EPSILON times the mean over all terms. n_chunks has one row, n."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_chunks.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def idf(posts: DataFrame) -> DataFrame:
+    """(term, df, idf, n, avgdl): a negative idf becomes EPSILON times the mean over all terms.
+
+    One aggregation: the rows without term count the chunks and their lengths.
+    """
+    by = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"))
+    whole = by.agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("n"), F.max(F.when(F.col("term").isNull(), F.col("_dl") / F.col("df"))).alias("avgdl"))
+    raw = by.where(F.col("term").isNotNull()).crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n", "avgdl")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b: float = B) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b: float = B, pad: bool = False) -> DataFrame:
     """(qid, keys, score, rank): the ``k`` best chunks with a term of the query; scores rounded to 6 places.
 
-    Repeated query terms count as often as they occur. Ties are in the order of keys.
+    Repeated query terms count as often as they occur. Ties are in the order of keys. With ``pad`` chunks
+    without such a term follow with score 0, the first by keys, so that every query has ``k`` hits if there
+    are as many chunks. Postings are counted within chunks; only those of the query's terms are kept.
     """
     posts = postings(chunks, keys)
-    stats = chunks.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    # Only the query's terms meet the postings; the idf's floor is of all terms.
-    hit = posts.join(terms, "term").join(idf(posts, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    terms = small(asked.join(idf(posts), "term"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("qid", *keys).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, "qid", k, F.desc("score"), *keys)
+    scored = posts.where(F.col("term").isNotNull()).join(terms, "term").groupBy("qid", *keys).agg(F.round(F.sum(part), 6).alias("score"))
+    best = top_k(scored, "qid", k, F.desc("score"), *keys)
+    if not pad:
+        return best
+    # A query lacks at most k hits, and at most k of the first chunks are hits of its own.
+    first = chunks.select(*keys).orderBy(*keys).limit(2 * k)
+    zero = queries.select("qid").distinct().crossJoin(F.broadcast(first)).join(best.select("qid", *keys), ["qid", *keys], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.drop("rank").unionByName(zero), "qid", k, F.desc("score"), *keys)
 
 
 def top_k(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
@@ -83,7 +95,10 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, other_label: bool
                     s[np.array(r.q_labels)[:, None] == np.array(r.v_labels)[None, :]] = -np.inf
                 out = []
                 for i, qid in enumerate(r.q_ids):
-                    best = np.lexsort((ids, -s[i]))[:k]
+                    some = np.arange(len(ids))
+                    if len(ids) > 4 * k:  # all that score as high as the k-th, then the order of ids
+                        some = np.flatnonzero(s[i] >= np.partition(s[i], len(ids) - k)[len(ids) - k])
+                    best = some[np.lexsort((ids[some], -s[i][some]))[:k]]
                     out += [(int(qid), int(ids[j]), float(s[i, j])) for j in best if np.isfinite(s[i, j])]
                 yield pd.DataFrame(out, columns=["qid", "vec_id", "score"])
 
@@ -108,3 +123,29 @@ def rerank_by_overlap(hits: DataFrame, queries: DataFrame, chunks: DataFrame, ke
     scored = hits.select("qid", *keys, F.col("rank").alias("prior_rank")).join(q, "qid").join(c, keys)
     scored = scored.withColumn("score", F.round(F.size(F.array_intersect("_q", "_c")) / F.greatest(F.size("_q"), F.lit(1)), 6))
     return top_k(scored, "qid", k, F.desc("score"), "prior_rank").select("qid", *keys, "score", "prior_rank", "rank", (F.col("prior_rank") - F.col("rank")).alias("moved"))
+
+
+def no_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
+    """The first ``k`` hits, as they stand."""
+    return hits.where(F.col("rank") <= k).withColumn("prior_rank", F.col("rank"))
+
+
+def retrievers(chunks: DataFrame, vectors: DataFrame, keys: list[str], encode_queries, candidates: int = 50) -> dict:
+    """dense, bm25 and hybrid over one strategy's chunks: each takes (queries, k) and gives ranked hits.
+
+    ``vectors`` has vec_id, label, embedding and keys for the same chunks; ``encode_queries`` gives queries
+    (qid, text) as (vec_id, label, embedding) with vec_id below zero, -1 - qid.
+    """
+    ids = vectors.select("vec_id", *keys)
+
+    def by_vector(queries: DataFrame, k: int = 10) -> DataFrame:
+        found = dense(vectors.select("vec_id", "label", "embedding"), encode_queries(queries), k)
+        return found.withColumn("qid", -1 - F.col("qid")).join(ids, "vec_id").select("qid", *keys, "score", "rank")
+
+    def lexical(queries: DataFrame, k: int = 10) -> DataFrame:
+        return bm25(chunks, queries, keys, k)
+
+    def hybrid(queries: DataFrame, k: int = 10) -> DataFrame:
+        return fuse(by_vector(queries, candidates), lexical(queries, candidates), keys, k)
+
+    return {"dense": by_vector, "bm25": lexical, "hybrid": hybrid}
