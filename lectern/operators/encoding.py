@@ -74,11 +74,11 @@ register(Encoder("hash64", hashed()))
 
 
 def _encoded(text: Column, name: str, prefix: str) -> Column:
-    spec = encoder(name)
+    load = encoder(name).load
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = spec.load()
+        encode = load()
         for part in parts:
             yield pd.Series(list(encode([prefix + (t or "") for t in part])), index=part.index)
 
