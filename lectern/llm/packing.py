@@ -23,6 +23,8 @@ from .shared import prepare, small, stored, table, trim
 
 #: Partitions whose totals one task sums up.
 BLOCK = 4096
+#: Most chunks that a worker keeps the ids of.
+CHUNKS = 750_000
 
 _CODERS: dict[str, Chunked] = {}
 
@@ -92,7 +94,7 @@ def coder(path: str) -> Chunked:
             ids = np.concatenate([np.fromiter(chain.from_iterable(single), np.uint32), joined.astype(np.uint32)])
             return ids[np.argsort(owner, kind="stable")], counts
 
-        _CODERS[path] = Chunked(encode)
+        _CODERS[path] = Chunked(encode, CHUNKS)
     return _CODERS[path]
 
 

@@ -22,7 +22,7 @@ _CODES = np.array(sorted(int(x, 16) for x in WIDE_WHITE))
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Bytes of text whose chunks are hashed at once, and that one call of an encoder takes new chunks of.
-BLOCK, SLICE = 1_000_000, 8_000_000
+BLOCK, SLICE = 1_000_000, 1_000_000
 #: Most chunks and ids that a table keeps; a full one is begun anew.
 MOST_CHUNKS, MOST_IDS = 1_500_000, 8_000_000
 
