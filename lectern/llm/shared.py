@@ -12,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of rows that Spark sends a Python worker at once, where the session names no limit; a longer row is alone.
+FRAME, FRAME_BYTES = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most rows of a table of a few numbers or digests each that may be broadcast; at most about 20 MB.
 BROADCAST_ROWS = 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, whatever their working folder."""
+    """Let Python workers import this package, whatever their working folder, and bound their frames by bytes."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    if spark.conf.get(FRAME_BYTES, None) is None:
+        spark.conf.set(FRAME_BYTES, FRAME)
     return spark
 
 

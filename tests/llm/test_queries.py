@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +280,14 @@ def test_estimation_recovers_planted_accuracies():
     assert np.abs(found - speaks).max() < 0.05 and abs(share - 0.2) < 0.02
     own = posterior[np.searchsorted(seen, quality.pattern(v))]
     assert ((own < 0.5) == bad).mean() > 0.95
+
+
+def test_frames_are_bounded_by_bytes(spark):
+    def sizes(frames):
+        for f in frames:
+            yield pa.RecordBatch.from_arrays([pa.array([f.num_rows]), pa.array([f.nbytes])], ["n", "bytes"])
+
+    shared.prepare(spark)
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("long line "), 400).alias("text"))
+    got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 6000 and max(r.bytes for r in got) <= shared.FRAME + 100_000
