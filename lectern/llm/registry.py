@@ -17,6 +17,7 @@ QUERIES = [
     ("exact_dedup", "op9_exact_dedup"),
     ("quality", "op10_quality"),
     ("zorder_layout", "op12_zorder_layout"),
+    ("collocations", "op13_collocations"),
 ]
 
 
