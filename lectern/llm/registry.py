@@ -16,6 +16,7 @@ QUERIES = [
     ("minhash_dedup", "op8_minhash_dedup"),
     ("exact_dedup", "op9_exact_dedup"),
     ("quality", "op10_quality"),
+    ("suffix_lm", "op11_suffix_lm"),
     ("zorder_layout", "op12_zorder_layout"),
     ("collocations", "op13_collocations"),
 ]
