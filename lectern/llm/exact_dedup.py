@@ -38,12 +38,12 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     merged = docs.select(F.spark_partition_id().alias("run"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("check"), F.lit(1).cast("long").alias("copies"), F.col(id_col).alias("keep_id"))
     if keep == "min":  # structs put nulls first
         merged = merged.withColumn("keep_id", F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id").alias("id")))
-    highest = docs.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0
-    while True:
+    # The first round is written before its runs are counted: another job over ``docs`` may have other partitions.
+    merged = stored(_merge(merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), keep == "max"), "runs")
+    highest = merged.agg(F.max("run")).first()[0] or 0
+    while highest:
         merged = _merge(merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), keep == "max")
         highest //= fan_in
-        if not highest:
-            break
     if keep == "min":
         merged = merged.withColumn("keep_id", F.col("keep_id.id"))
     return merged.drop("run")

@@ -4,7 +4,7 @@ The base kinds (assign, access, hex) are reported as they match. The method adds
 alone: login names (weak_id), long random-looking strings (weak_secret) and endpoints (endpoint). Each is
 reported if a part that complements it lies within SCOPE code points of it in the same text: an
 identifier (access or weak_id) and a secret (assign, hex or weak_secret) complement each other, and an
-endpoint needs one of either. Parts meet in an equi-join on text and cell of SCOPE code points, the
+endpoint needs one of either that is a base part or a weak one that is itself reported. Parts meet in an equi-join on text and cell of SCOPE code points, the
 neighbouring cells included, with the distance as the rest of the condition; a cell holds few parts, so
 a text full of secrets makes no quadratic join.
 
@@ -113,11 +113,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     role = F.when(F.col("kind").isin(identifier), 1).when(F.col("kind").isin(secret), 2).otherwise(4)
     parts = parts.withColumn("role", role)
     weak = parts.where(F.col("kind") >= len(BASE)).withColumn("cell", F.explode(F.expr(f"sequence(greatest(0, start - {scope} - 1) div {scope}, (end + {scope}) div {scope})")))
-    others = parts.where("role <> 4").select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.col("kind").alias("kind2")).withColumn("c2", F.explode(F.expr(f"sequence(s2 div {scope}, (e2 - 1) div {scope})")))
+
+    def facing(some: DataFrame) -> DataFrame:
+        return some.select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2")).withColumn("c2", F.explode(F.expr(f"sequence(s2 div {scope}, (e2 - 1) div {scope})")))
+
     near = (F.col("s2") - F.col("end") <= scope) & (F.col("start") - F.col("e2") <= scope)
     apart = (F.col("s2") >= F.col("end")) | (F.col("start") >= F.col("e2"))
-    same = F.col(id_col).eqNullSafe(F.col("i2")) & (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2"))
-    confirmed = weak.join(others, same & near & apart & (F.col("role") != F.col("r2")), "left_semi")
+    meets = F.col(id_col).eqNullSafe(F.col("i2")) & (F.col("key") == F.col("k2")) & (F.col("cell") == F.col("c2")) & near & apart & (F.col("role") != F.col("r2"))
+    credentials = stored(weak.where("role <> 4").join(facing(parts.where("role <> 4")), meets, "left_semi").drop("cell").distinct(), "confirmed")
+    sure = parts.where(F.col("kind") < len(BASE)).unionByName(credentials)
+    confirmed = credentials.unionByName(weak.where("role = 4").join(facing(sure), meets, "left_semi").drop("cell"))
     added = confirmed.select(id_col, "key", F.struct("start", "end", "kind").alias("p")).groupBy(id_col, "key").agg(F.collect_set("p").alias("more"))
     added = added.select(F.col(id_col).alias("i2"), F.col("key").alias("k2"), "more")
     out = found.join(added, F.col(id_col).eqNullSafe(F.col("i2")) & (F.col("key") == F.col("k2")), "left")
