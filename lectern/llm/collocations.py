@@ -1,8 +1,10 @@
 """Phrase collocations (13): frequent phrases by merged count-min sketches and an exact second pass, then scores.
 
-1. Every task counts the 64-bit hashes of its phrases of one to four words in a count-min sketch; sketches are merged
-   by blocks of counters. A counter is never below a phrase's count, so no phrase of at least ``least`` is lost.
-2. A second pass over the texts keeps the occurrences of phrases whose counters reach ``least``, sums them up in the
+1. Every task counts the 64-bit hashes of its words and pairs of words in a count-min sketch; sketches are merged by
+   blocks of counters. A counter is never below a phrase's count, so no phrase of at least ``least`` is lost. As no
+   phrase is more frequent than the pairs inside it, a second sketch counts the longer phrases whose pairs may all
+   be frequent.
+2. A last pass over the texts keeps the occurrences of phrases whose counters reach ``least``, sums them up in the
    task, and Spark sums up the (lang, phrase) rows of all tasks exactly.
 3. Each candidate's cuts look up their two parts among the same counts (a part is at least as frequent as the whole);
    lookups are dealt, as a common first word belongs to many phrases. Longer candidates report their frequency to
@@ -38,6 +40,8 @@ _END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 SLICE = 1_000_000
 #: Phrases whose counts a task holds before it passes them on, and occurrences that it sums up at once.
 HELD, AT_ONCE = 1_000_000, 2_000_000
+#: Bytes of text for each counter of a sketch, where its width isn't given.
+BYTES_EACH = 32
 #: Parts of a language in the first of the two steps to its best phrases.
 SALTS = 64
 
@@ -79,16 +83,24 @@ class Slice:
         self.seed = seeds[self.code]
         self.piece = np.cumsum(ENDS[data], dtype=np.int64)[self.first] + owner if len(owner) else owner
 
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of words, hashes, first words) of the phrases in each number of words."""
+    def phrases(self, longest: int, pairs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of words, hashes, first words) of the phrases in each number of words; of more than two words,
+        those whose pairs may all be frequent by the bits of ``pairs``."""
         n = len(self.hashes)
         rolled = self.seed.copy()
         for k in range(1, longest + 1):
             if n < k:
                 return
             rolled = rolled[: n - k + 1] + tb.mix(self.hashes[k - 1 :] + _STEP[k - 1])
-            at = np.flatnonzero(self.piece[: n - k + 1] == self.piece[k - 1 :])
-            yield k, tb.mix(rolled[at] + np.uint64(k)), at
+            inside = self.piece[: n - k + 1] == self.piece[k - 1 :]
+            if k > 2 and pairs is not None:
+                inside = frequent[: n - k + 1] & frequent[k - 2 :] & (frequent[1 : n - k + 2] if k > 3 else True)
+            at = np.flatnonzero(inside)
+            keys = tb.mix(rolled[at] + np.uint64(k))
+            if k == 2 and pairs is not None:
+                frequent = np.zeros(n - 1, bool)
+                frequent[at] = sketch.may_be_heavy(keys, pairs)
+            yield k, keys, at
 
     def check(self, k: int, at: np.ndarray) -> np.ndarray:
         """A second hash of phrases, independent of the first one's steps."""
@@ -130,12 +142,13 @@ def _slices(frames: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator
             yield Slice(texts, np.array(codes, np.int64), _seeds(langs))
 
 
-def _sketched(width: int, longest: int):
+def _sketched(width: int, longest: int, pairs: Broadcast | None = None):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.Sketcher(width)
         for part in _slices(frames, {}):
-            for _, keys, _ in part.phrases(longest):
-                yield from counts.add(keys)
+            for k, keys, _ in part.phrases(longest, pairs.value if pairs else None):
+                if k > 2 or not pairs:
+                    yield from counts.add(keys)
         yield from counts.rows()
         trim()
 
@@ -182,7 +195,7 @@ def _summed(part: Slice, k: int, keys: np.ndarray, at: np.ndarray, names: np.nda
     return pa.table({"lang": pa.array(names[part.code[at]], pa.string()), "phrase": part.written(k, at), "words": pa.array(np.full(len(at), k, np.int32)), "n": pa.array(n)})
 
 
-def _survivors(bits: Broadcast, longest: int):
+def _survivors(pairs: Broadcast, bits: Broadcast, longest: int):
     """(lang, phrase, words, n) of a task's phrases that may be frequent; a language's words in all have no phrase."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +204,8 @@ def _survivors(bits: Broadcast, longest: int):
             names = np.array([*langs], object)
             for code, n in zip(*np.unique(part.code, return_counts=True), strict=True):
                 totals[names[code]] = totals.get(names[code], 0) + int(n)
-            for k, keys, at in part.phrases(longest):
-                some = np.flatnonzero(sketch.may_be_heavy(keys, bits.value))
+            for k, keys, at in part.phrases(longest, pairs.value):
+                some = np.flatnonzero(sketch.may_be_heavy(keys, (bits if k > 2 else pairs).value))
                 for a in range(0, len(some), AT_ONCE):
                     yield from tally.add(_summed(part, k, keys[some[a : a + AT_ONCE]], at[some[a : a + AT_ONCE]], names))
         yield from tally.flush()
@@ -204,14 +217,16 @@ def _survivors(bits: Broadcast, longest: int):
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, width: int | None = None) -> DataFrame:
-    """(lang, phrase, words, n): all phrases of up to ``longest`` words with at least ``least`` occurrences within
+    """(lang, phrase, words, n, id): all phrases of up to ``longest`` words with at least ``least`` occurrences within
     pieces, and for each language a row without phrase that counts all its words."""
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    width = width or sketch.width_for(sketch.text_bytes(docs, text_col), each=16)
-    bits = sketch.heavy_counters(texts.mapInArrow(_sketched(width, longest), sketch.SCHEMA), width, least)
-    counted = texts.mapInArrow(_survivors(bits, longest), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return stored(counted.where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases")
+    width = width or sketch.width_for(sketch.text_bytes(docs, text_col), each=BYTES_EACH)
+    pairs = sketch.heavy_counters(texts.mapInArrow(_sketched(width, min(longest, 2)), sketch.SCHEMA), width, least)
+    bits = sketch.heavy_counters(texts.mapInArrow(_sketched(width, longest, pairs), sketch.SCHEMA), width, least)
+    counted = texts.mapInArrow(_survivors(pairs, bits, longest), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    kept = counted.where(F.col("phrase").isNull() | (F.col("n") >= least))
+    return stored(kept.withColumn("id", F.monotonically_increasing_id()), "phrases")
 
 
 def _part(words: Column, a, n) -> Column:
@@ -231,16 +246,17 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     phrases = found.where(F.col("phrase").isNotNull())
     whole = found.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("total"))
     candidates = phrases.where("words > 1").withColumn("w", F.split("phrase", " "))
-    # Parts of each cut: both sides of one are looked up, then met again by (lang, phrase).
-    cuts = candidates.select("lang", "phrase", F.col("n").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    # Parts of each cut: both sides are looked up by (lang, part) and come back to the phrase by its number.
+    cuts = candidates.select("lang", "id", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     sides = F.array(F.struct(F.lit(0).alias("side"), _part(F.col("w"), F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(1).alias("side"), _part(F.col("w"), F.col("k") + 1, F.size("w") - F.col("k")).alias("part")))
-    asked = cuts.select("lang", "phrase", "a", "k", F.explode(sides).alias("s")).select("lang", "phrase", "a", "k", "s.side", "s.part")
+    asked = cuts.select("lang", "id", "k", F.explode(sides).alias("s")).select("lang", "id", "k", "s.side", "s.part")
     told = dealt_join(asked, phrases.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"], "inner")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("f")))
-    scored = told.groupBy("lang", "phrase", "a", "k").agg(side(0).alias("l"), side(1).alias("r"))
+    scored = told.groupBy("id", "k").agg(side(0).alias("l"), side(1).alias("r")).join(candidates.select("id", F.col("n").alias("a")), "id")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     scored = scored.withColumn("big_a", wide("a") * F.lit(2_000_000).cast("decimal(7,0)")).withColumn("sum", wide("l") + wide("r"))
-    best = scored.withColumn("score", F.expr("big_a div sum")).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    least_of = scored.withColumn("score", F.expr("big_a div sum")).groupBy("id").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    best = candidates.select("id", "lang", "phrase", F.col("n").alias("a")).join(least_of, "id")
     # The largest frequency of a longer candidate around each phrase.
     longer = candidates.where("words > 2").select("lang", "n", "w", "words", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("m"))
     inside = longer.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1), lambda i: _part(F.col("w"), i, F.col("m")))).alias("phrase"))
