@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from lectern.functions.text import tokens, word_counts
-from lectern.operators.joins import small
+from lectern.sources.scratch import written
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 K_RRF = 60
+#: Scores of chunks and queries that a task holds at once.
+MATRIX = 400_000
 
 
 def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -22,16 +29,44 @@ def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return t.select(*keys, F.size("_t").alias("dl"), F.explode(F.concat(none, word_counts(F.col("_t")))).alias("p")).select(*keys, "dl", "p.term", "p.tf")
 
 
-def idf(posts: DataFrame) -> DataFrame:
-    """(term, df, idf, n, avgdl): a negative idf becomes EPSILON times the mean over all terms.
+def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, dl), written: in how many chunks a term is; the row without term counts the chunks and their tokens."""
+    t = chunks.select(tokens(F.col(text)).alias("_t"))
+    rows = t.select(F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_t"))).alias("term"))
+    lengths = F.sum(F.when(F.col("term").isNull(), F.col("dl")))
+    return written(rows.groupBy("term").agg(F.count("*").alias("df"), lengths.alias("dl")), "terms")
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Chunks, mean tokens of a chunk, and the mean of the idf of all terms before negative ones are replaced."""
+
+    n: int
+    avgdl: float
+    mean: float
+
+    def raw(self, df: Column) -> Column:
+        return F.log(self.n - df + 0.5) - F.log(df + 0.5)
+
+    def idf(self, df: Column) -> Column:
+        """A negative idf becomes EPSILON times the mean over all terms."""
+        return F.when(self.raw(df) < 0, F.lit(EPSILON * self.mean)).otherwise(self.raw(df))
+
+
+def totals(terms: DataFrame) -> Totals:
+    whole = terms.where("term is null").agg(F.max("df").alias("n"), F.max("dl").alias("dl")).first()
+    n = whole.n or 0
+    mean = terms.where("term is not null").agg(F.avg(Totals(n, 0, 0).raw(F.col("df")))).first()[0]
+    return Totals(n, (whole.dl or 0) / max(n, 1), mean or 0.0)
+
+
+def idf(terms: DataFrame) -> DataFrame:
+    """(term, df, idf) of a term table."""
+    return terms.where("term is not null").select("term", "df", totals(terms).idf(F.col("df")).alias("idf"))
 
-    One aggregation: the rows without term count the chunks and their lengths.
-    """
-    by = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("_dl"))
-    whole = by.agg(F.max(F.when(F.col("term").isNull(), F.col("df"))).alias("n"), F.max(F.when(F.col("term").isNull(), F.col("_dl") / F.col("df"))).alias("avgdl"))
-    raw = by.where(F.col("term").isNotNull()).crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n", "avgdl")
+
+#: Most (query, term) weights that are sent to all tasks, 20 bytes each and the terms; more are joined.
+SENT_WEIGHTS = 1_000_000
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b: float = B, pad: bool = False) -> DataFrame:
@@ -39,14 +74,28 @@ def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b:
 
     Repeated query terms count as often as they occur. Ties are in the order of keys. With ``pad`` chunks
     without such a term follow with score 0, the first by keys, so that every query has ``k`` hits if there
-    are as many chunks. Postings are counted within chunks; only those of the query's terms are kept.
+    are as many chunks. One pass over the texts makes the term table, one scores the terms of the queries;
+    null and empty texts have no terms, and an empty table gives no hits.
     """
-    posts = postings(chunks, keys)
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    terms = small(asked.join(idf(posts), "term"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = posts.where(F.col("term").isNotNull()).join(terms, "term").groupBy("qid", *keys).agg(F.round(F.sum(part), 6).alias("score"))
-    best = top_k(scored, "qid", k, F.desc("score"), *keys)
+    terms = term_table(chunks)
+    return bm25_over(chunks, queries, keys, terms, totals(terms), k, b, pad)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, times)."""
+    return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+
+
+def bm25_over(chunks: DataFrame, queries: DataFrame, keys: list[str], terms: DataFrame, whole: Totals, k: int = 10, b: float = B, pad: bool = False) -> DataFrame:
+    """bm25() with the term table (term, df) and totals that are there already."""
+    weights = written(asked_terms(queries).join(terms.select("term", "df"), "term").select("qid", "term", (F.col("times") * whole.idf(F.col("df"))).alias("weight")), "weights")
+    some = weights.limit(SENT_WEIGHTS + 1).toPandas()
+    if len(some) <= SENT_WEIGHTS:
+        best = top_k(_scored_in_blocks(chunks, some, queries.schema["qid"].dataType, keys, whole.avgdl, k, b).withColumn("score", F.round("score", 6)), "qid", k, F.desc("score"), *keys)
+    else:
+        part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / whole.avgdl))
+        scored = postings(chunks, keys).join(weights, "term").groupBy("qid", *keys).agg(F.round(F.sum(part), 6).alias("score"))
+        best = top_k(scored, "qid", k, F.desc("score"), *keys)
     if not pad:
         return best
     # A query lacks at most k hits, and at most k of the first chunks are hits of its own.
@@ -55,6 +104,53 @@ def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b:
     return top_k(best.drop("rank").unionByName(zero), "qid", k, F.desc("score"), *keys)
 
 
+def _scored_in_blocks(chunks: DataFrame, weights: pd.DataFrame, qid: DataType, keys: list[str], avgdl: float, k: int, b: float) -> DataFrame:
+    """(qid, keys, score): of each frame of chunks the ``k`` best for each query, in the order of keys where even.
+
+    Only the tokens that a query has are counted, by place, and each adds to its queries' column of a matrix."""
+    sent = {}
+    if len(weights):
+        term, names = pd.factorize(weights["term"])
+        query, qids = pd.factorize(weights["qid"])
+        order = np.argsort(term, kind="stable")
+        sent = {"names": pa.array(names, pa.string()), "qids": qids, "query": query[order], "weight": weights["weight"].to_numpy()[order], "starts": np.searchsorted(term[order], np.arange(len(names) + 1))}
+    shared = chunks.sparkSession.sparkContext.broadcast(sent)
+    schema = StructType([StructField("qid", qid), *(chunks.schema[c] for c in keys), StructField("score", DoubleType())])
+
+    def run(frames):
+        w = shared.value
+        for frame in frames:
+            if not w or not frame.num_rows:
+                continue
+            q, columns = len(w["qids"]), list(frame.columns[:-1])
+            per = max(1, MATRIX // q)
+            for at in range(0, frame.num_rows, per):
+                part = frame.slice(at, per)
+                part = part.take(pc.sort_indices(part.select(keys), [(c, "ascending") for c in keys]))
+                lists = part.column(len(columns))
+                dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(part.num_rows), dl)
+                found = pc.fill_null(pc.index_in(lists.flatten(), w["names"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = found >= 0
+                pairs, tf = np.unique(owner[hit] * len(w["names"]) + found[hit], return_counts=True)
+                row, term = np.divmod(pairs, len(w["names"]))
+                part_of = tf * (K1 + 1) / (tf + K1 * (1 - b + b * dl[row] / avgdl))
+                each = w["starts"][term + 1] - w["starts"][term]
+                place = np.repeat(w["starts"][term] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                cell = np.repeat(row, each) * q + w["query"][place]
+                scores = np.bincount(cell, np.repeat(part_of, each) * w["weight"][place], part.num_rows * q).reshape(-1, q)
+                met = np.bincount(cell, minlength=part.num_rows * q).reshape(-1, q) > 0
+                shown = np.where(met, np.round(scores, 6), -np.inf)
+                best = np.argsort(-shown, axis=0, kind="stable")[:k]
+                rows, cols = best.ravel(), np.tile(np.arange(q), len(best))
+                keep = met[rows, cols]
+                rows, cols = rows[keep], cols[keep]
+                picked = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(w["qids"][cols]), *picked.columns[:-1], pa.array(scores[rows, cols])], ["qid", *keys, "score"])
+
+    return chunks.select(*keys, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("_t")).mapInArrow(run, schema)
+
+
 def top_k(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 

@@ -62,7 +62,7 @@ def token_truncation(spark, sf_dir):
 
 def bm25_idf(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    return retrieval.idf(retrieval.postings(c, KEYS)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.idf(retrieval.term_table(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark, sf_dir, k=10, b=retrieval.B):
