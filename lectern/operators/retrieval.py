@@ -178,6 +178,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, other_label: bool
     ``other_label`` leaves out vectors with the query's label. Zero vectors have a cosine of 0.
     """
     pairs = _blocks(queries, 512, "q").crossJoin(_blocks(vectors, 4096, "v"))
+    return best_of_blocks(pairs, k, other_label)
+
+
+def best_of_blocks(pairs: DataFrame, k: int, other_label: bool = False) -> DataFrame:
+    """dense() over pairs of blocks (q_ids, q_labels, q_x, v_ids, v_labels, v_x); a query and a vector meet once."""
 
     def run(frames):
         for f in frames:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, metrics, retrieval, sampling
-from lectern.sources import files
+from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, metrics, retrieval, sampling, vector_index
+from lectern.sources import files, scratch
 
 KEYS = ["doc_id", "chunk_index"]
 
@@ -109,6 +109,13 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense(v, v.where("vec_id % 50 = 0")).select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def dense_ann(spark, sf_dir):
+    """dense_topk by an index of all vectors: the lists nearest to each query. Approximate, so without SQL."""
+    v, path = _t(spark, sf_dir, "embeddings"), scratch.new_path(spark, "index")
+    vector_index.build(v, path)
+    return vector_index.search(v.where("vec_id % 50 = 0"), path).select("qid", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def cross_pairs(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings")
     return retrieval.dense(v, v.where("vec_id % 50 = 0"), 3, other_label=True).select("qid", "vec_id", F.col("rank").cast("long").alias("rank"))
@@ -453,7 +460,7 @@ def hourly_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, cross_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
 ]
