@@ -31,7 +31,7 @@ def postings(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFram
 
 def term_table(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(term, df, dl), written: in how many chunks a term is; the row without term counts the chunks and their tokens."""
-    t = chunks.select(tokens(F.col(text)).alias("_t"))
+    t = chunks.select(tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     rows = t.select(F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_t"))).alias("term"))
     lengths = F.sum(F.when(F.col("term").isNull(), F.col("dl")))
     return written(rows.groupBy("term").agg(F.count("*").alias("df"), lengths.alias("dl")), "terms")
@@ -75,7 +75,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, b:
     Repeated query terms count as often as they occur. Ties are in the order of keys. With ``pad`` chunks
     without such a term follow with score 0, the first by keys, so that every query has ``k`` hits if there
     are as many chunks. One pass over the texts makes the term table, one scores the terms of the queries;
-    null and empty texts have no terms, and an empty table gives no hits.
+    a null or empty text is a chunk without terms, and an empty table gives no hits.
     """
     terms = term_table(chunks)
     return bm25_over(chunks, queries, keys, terms, totals(terms), k, b, pad)

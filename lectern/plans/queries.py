@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, metrics, retrieval, sampling, vector_index
 from lectern.sources import files, scratch
+from lectern.streaming import postings
 
 KEYS = ["doc_id", "chunk_index"]
 
@@ -77,6 +78,15 @@ def bm25_topk(spark, sf_dir):
     return _hits(_bm25(spark, sf_dir))
 
 
+def bm25_incremental(spark, sf_dir):
+    """bm25_topk over an index that a stream of the documents' files has filled."""
+    docs, path = _t(spark, sf_dir, "documents"), scratch.new_path(spark, "postings")
+    # A pattern, as the table is one file or a folder of them.
+    filled = postings.index_stream(spark, f"{sf_dir}/documents.parque[t]", docs.schema, path, scratch.new_path(spark, "checkpoint"))
+    filled.awaitTermination()
+    return _hits(postings.bm25(spark, path, _queries(spark, sf_dir), KEYS))
+
+
 def bm25_padded(spark, sf_dir):
     """Queries of one word; where fewer than ten chunks have it, chunks without it follow with score 0."""
     q = _queries(spark, sf_dir).select("qid", F.substring_index("text", " ", -1).alias("text"))
@@ -460,7 +470,7 @@ def hourly_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
 ]
@@ -576,6 +586,7 @@ ORACLE_SQL = {
           (SELECT a[least(k - 1, floor(0.5 * k))::BIGINT + 1] FROM s)::BIGINT AS p50, (SELECT a[least(k - 1, floor(0.9 * k))::BIGINT + 1] FROM s)::BIGINT AS p90, (SELECT a[least(k - 1, floor(0.95 * k))::BIGINT + 1] FROM s)::BIGINT AS p95 FROM t""",
     "bm25_idf": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT term, df, round(idf, 6) AS idf FROM hits_idf",
     "bm25_topk": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT qid, doc_id, chunk_index, score, rank FROM hits",
+    "bm25_incremental": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT qid, doc_id, chunk_index, score, rank FROM hits",
     "bm25_padded": f"""WITH {_CHUNKS}, {_bm25_sql('hits', 10, query="string_split(text, ' ')[-1]")}, f AS (SELECT doc_id, chunk_index FROM chunks ORDER BY 1, 2 LIMIT 20),
         z AS (SELECT qid, doc_id, chunk_index, score FROM hits UNION ALL SELECT item_id, doc_id, chunk_index, 0.0 FROM benchmark, f WHERE NOT EXISTS (FROM hits h WHERE h.qid = item_id AND h.doc_id = f.doc_id AND h.chunk_index = f.chunk_index))
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS rank FROM z) WHERE rank <= 10""",
