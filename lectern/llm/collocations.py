@@ -6,13 +6,14 @@
    be frequent.
 2. A last pass over the texts keeps the occurrences of phrases whose counters reach ``least``, sums them up in the
    task, and Spark sums up the (lang, phrase) rows of all tasks exactly.
-3. Each candidate's cuts look up their two parts among the same counts (a part is at least as frequent as the whole);
-   lookups are dealt, as a common first word belongs to many phrases. Longer candidates report their frequency to
-   all phrases inside them, folded to the largest, and the best of each language are found in two steps.
+3. A part of a candidate is at least as frequent as the whole, so its count is there too: from the shortest on, each
+   phrase takes the counts of its first and last parts from the two phrases one word shorter. From the longest on,
+   each tells those two the largest frequency around them. The best of each language are found in two steps.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -20,7 +21,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch
@@ -42,6 +43,7 @@ SLICE = 1_000_000
 HELD, AT_ONCE = 1_000_000, 2_000_000
 #: Bytes of text for each counter of a sketch, where its width isn't given.
 BYTES_EACH = 32
+TASK_BYTES = 128_000_000
 #: Parts of a language in the first of the two steps to its best phrases.
 SALTS = 64
 
@@ -217,20 +219,47 @@ def _survivors(pairs: Broadcast, bits: Broadcast, longest: int):
 
 
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, width: int | None = None) -> DataFrame:
-    """(lang, phrase, words, n, id): all phrases of up to ``longest`` words with at least ``least`` occurrences within
+    """(lang, phrase, words, n): all phrases of up to ``longest`` words with at least ``least`` occurrences within
     pieces, and for each language a row without phrase that counts all its words."""
     spark = prepare(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    width = width or sketch.width_for(sketch.text_bytes(docs, text_col), each=BYTES_EACH)
+    size = sketch.text_bytes(docs, text_col)
+    # The longer a task, the fewer times a phrase is sent: a few tasks a core, or TASK_BYTES each of a large table.
+    tasks = max(3 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).coalesce(tasks)
+    width = width or sketch.width_for(size, each=BYTES_EACH)
     pairs = sketch.heavy_counters(texts.mapInArrow(_sketched(width, min(longest, 2)), sketch.SCHEMA), width, least)
     bits = sketch.heavy_counters(texts.mapInArrow(_sketched(width, longest, pairs), sketch.SCHEMA), width, least)
     counted = texts.mapInArrow(_survivors(pairs, bits, longest), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("phrase").isNull() | (F.col("n") >= least))
-    return stored(kept.withColumn("id", F.monotonically_increasing_id()), "phrases")
-
-
-def _part(words: Column, a, n) -> Column:
-    return F.array_join(F.slice(words, a, n), " ")
+    return stored(counted.where(F.col("phrase").isNull() | (F.col("n") >= least)), "phrases")
+
+
+def _levels(phrases: DataFrame, longest: int) -> list[DataFrame]:
+    """For each number of words (lang, phrase, n, pre, suf, lefts, rights): the phrase without its last and first word,
+    and the frequencies of its first 1, 2, .. words and of its last 1, 2, .. words, itself the last of both.
+
+    A phrase takes them from the two phrases one word shorter, so it is looked up twice however many cuts it has."""
+    own = phrases.withColumn("pre", F.regexp_replace("phrase", " [^ ]+$", "")).withColumn("suf", F.regexp_replace("phrase", "^[^ ]+ ", ""))
+    out = [own.where("words = 1").select("lang", "phrase", "n", "pre", "suf", F.array("n").alias("lefts"), F.array("n").alias("rights"))]
+    for k in range(2, longest + 1):
+        first = out[-1].select("lang", F.col("phrase").alias("pre"), "lefts")
+        last = out[-1].select("lang", F.col("phrase").alias("suf"), "rights")
+        rows = own.where(F.col("words") == k).select("lang", "phrase", "n", "pre", "suf").join(first, ["lang", "pre"]).join(last, ["lang", "suf"])
+        out.append(stored(rows.select("lang", "phrase", "n", "pre", "suf", F.concat("lefts", F.array("n")).alias("lefts"), F.concat("rights", F.array("n")).alias("rights")), "level"))
+    return out
+
+
+def _unsubsumed(levels: list[DataFrame], percent: int) -> list[DataFrame]:
+    """Of each level, the phrases in no longer candidate of ``percent`` of their frequency. A phrase hears from those one
+    word longer of the largest frequency around, theirs included; what is inside a phrase is inside one of them."""
+    out, around = [levels[-1]], None
+    for k in range(len(levels) - 2, 0, -1):
+        longer = levels[k + 1]
+        longer = longer.withColumn("around", F.col("n")) if around is None else longer.join(around, ["lang", "phrase"], "left").withColumn("around", F.greatest("n", F.coalesce("around", F.lit(0))))
+        around = longer.select("lang", "around", F.explode(F.array("pre", "suf")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("around").alias("around"))
+        around = stored(around, "around")
+        wide = lambda c: F.col(c).cast("decimal(20,0)")
+        out.append(levels[k].join(around, ["lang", "phrase"], "left").where(F.col("around").isNull() | (wide("around") * 100 < wide("n") * percent)).drop("around"))
+    return out
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, percent: int = PERCENT, longest: int = LONGEST, width: int | None = None) -> DataFrame:
@@ -243,25 +272,15 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     of a task, two phrases agree in two 64-bit hashes; a false candidate of the sketch is counted exactly and goes.
     """
     found = frequent_phrases(docs, lang_col, text_col, least, longest, width)
-    phrases = found.where(F.col("phrase").isNotNull())
+    levels = _levels(found.where(F.col("phrase").isNotNull()), longest)
     whole = found.where(F.col("phrase").isNull()).select("lang", F.col("n").alias("total"))
-    candidates = phrases.where("words > 1").withColumn("w", F.split("phrase", " "))
-    # Parts of each cut: both sides are looked up by (lang, part) and come back to the phrase by its number.
-    cuts = candidates.select("lang", "id", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), _part(F.col("w"), F.lit(1), F.col("k")).alias("part")), F.struct(F.lit(1).alias("side"), _part(F.col("w"), F.col("k") + 1, F.size("w") - F.col("k")).alias("part")))
-    asked = cuts.select("lang", "id", "k", F.explode(sides).alias("s")).select("lang", "id", "k", "s.side", "s.part")
-    told = dealt_join(asked, phrases.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f")), ["lang", "part"], "inner")
-    side = lambda k: F.max(F.when(F.col("side") == k, F.col("f")))
-    scored = told.groupBy("id", "k").agg(side(0).alias("l"), side(1).alias("r")).join(candidates.select("id", F.col("n").alias("a")), "id")
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    scored = scored.withColumn("big_a", wide("a") * F.lit(2_000_000).cast("decimal(7,0)")).withColumn("sum", wide("l") + wide("r"))
-    least_of = scored.withColumn("score", F.expr("big_a div sum")).groupBy("id").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
-    best = candidates.select("id", "lang", "phrase", F.col("n").alias("a")).join(least_of, "id")
-    # The largest frequency of a longer candidate around each phrase.
-    longer = candidates.where("words > 2").select("lang", "n", "w", "words", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("m"))
-    inside = longer.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1), lambda i: _part(F.col("w"), i, F.col("m")))).alias("phrase"))
-    around = inside.groupBy("lang", "phrase").agg(F.max("n").alias("around"))
-    kept = best.join(around, ["lang", "phrase"], "left").where(F.col("around").isNull() | (wide("around") * 100 < wide("a") * percent))
+    kept = functools.reduce(DataFrame.unionByName, _unsubsumed(levels, percent))
+    wide = lambda c: c.cast("decimal(20,0)")
+    words = F.size("lefts")
+    left, right = lambda k: F.element_at("lefts", k), lambda k: F.element_at("rights", words - k)
+    score = lambda k: F.call_function("div", wide(F.col("n")) * F.lit(2_000_000).cast("decimal(7,0)"), wide(left(k)) + wide(right(k)))
+    cuts = F.transform(F.sequence(F.lit(1), words - 1), lambda k: F.struct(score(k).alias("score"), k.alias("k"), left(k).alias("l"), right(k).alias("r")))
+    kept = kept.select("lang", "phrase", F.col("n").alias("a"), F.array_min(cuts).alias("c"))
     rows = kept.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
