@@ -6,7 +6,6 @@ A drafter is a function from passages to their JSON answers; calls to a model st
 from __future__ import annotations
 
 import time
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,26 +43,6 @@ def fill_in_order(pool: DataFrame, quotas: list[tuple[str, DataFrame]], by: str)
     return taken
 
 
-def greedy_pairs(pairs: DataFrame, most: int = 3, top: int = 10_000) -> list[tuple]:
-    """The best pairs (a, b, group_a, group_b, score) in turn, no passage twice and at most ``most`` of two groups.
-
-    Sequential by nature: a pair of groups can lend at most ``most`` pairs, each of which rules out the other pairs
-    of two passages, so of each pair of groups the best ``top`` come to the driver.
-    """
-    low, high = F.least("group_a", "group_b"), F.greatest("group_a", "group_b")
-    rank = F.row_number().over(Window.partitionBy(low, high).orderBy(F.desc("score"), "a", "b"))
-    some = pairs.withColumn("_r", rank).where(F.col("_r") <= top).orderBy(F.desc("score"), "a", "b").collect()
-    used, lent, out = set(), Counter(), []
-    for r in some:
-        groups = frozenset((r.group_a, r.group_b))
-        if r.a in used or r.b in used or lent[groups] == most:
-            continue
-        used |= {r.a, r.b}
-        lent[groups] += 1
-        out.append((r.a, r.b, r.score))
-    return out
-
-
 def draft_reason(draft: Column, text: Column) -> Column:
     """Why a draft (JSON) for a passage is turned down, the first reason that holds; null for a good one."""
     field = lambda name: F.get_json_object(draft, f"$.{name}")

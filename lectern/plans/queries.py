@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, metrics, retrieval, sampling, vector_index
+from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, retrieval, sampling, vector_index
 from lectern.sources import files, scratch
 from lectern.streaming import postings
 
@@ -453,13 +453,18 @@ def quota_fill(spark, sf_dir):
     return sampling.with_qids(got.join(lacking, "source"), "source", "chunk_id").select("qid", "source", "chunk_id", F.col("missing").cast("long").alias("missing"))
 
 
+#: Least cosine of two passages that may be asked about together.
+PAIR_COSINE = 0.4
+
+
+def similar_pairs(spark, sf_dir):
+    """All pairs of vectors of different labels above a cosine, between classes of equal vectors."""
+    return matching.similar_pairs(_t(spark, sf_dir, "embeddings"), PAIR_COSINE).select("a", "b", "members_a", "members_b", "score")
+
+
 def greedy_pairs(spark, sf_dir):
     """Passages of different labels, each used once, three pairs of two labels at most, the closest first."""
-    v = _t(spark, sf_dir, "embeddings")
-    hits = retrieval.dense(v, v.where("vec_id % 50 = 0"), 10, other_label=True)
-    group = v.select("vec_id", F.col("label").alias("g"))
-    pairs = hits.select(F.col("qid").alias("a"), F.col("vec_id").alias("b"), "score").join(group.withColumnsRenamed({"vec_id": "a", "g": "group_a"}), "a").join(group.withColumnsRenamed({"vec_id": "b", "g": "group_b"}), "b")
-    return spark.createDataFrame(sampling.greedy_pairs(pairs), "a long, b long, score double")
+    return matching.match_in_rounds(matching.similar_pairs(_t(spark, sf_dir, "embeddings"), PAIR_COSINE)).select("a", "b", "score")
 
 
 def hourly_events(spark, sf_dir):
@@ -470,7 +475,7 @@ def hourly_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
 ]
@@ -510,6 +515,10 @@ _EVAL = f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)}, {_RANKS}"
 _DENSE = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id, v.label <> q.label AS other, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
+_SIMILAR = f"""
+WITH v AS (SELECT min(vec_id) AS id, label, e, count(*) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) GROUP BY label, e),
+sp AS (SELECT * FROM (SELECT x.id AS a, y.id AS b, x.label AS ga, y.label AS gb, x.n AS members_a, y.n AS members_b, round(list_cosine_similarity(x.e, y.e), 6) AS score
+    FROM v x JOIN v y ON x.id < y.id AND (x.label <> y.label OR x.label IS NULL OR y.label IS NULL)) WHERE score >= {PAIR_COSINE})"""
 #: A term's place is its MD5's first two digits modulo 64, its sign the third.
 _DIGIT = "(instr('0123456789abcdef', substr(md5(term), {0}, 1)) - 1)"
 _HASHED = rf"""
@@ -604,6 +613,14 @@ ORACLE_SQL = {
         SELECT qid, doc_id, chunk_index, score, rank, prior_rank, prior_rank - rank AS moved FROM r WHERE rank <= 10""",
     "dense_topk": f"{_DENSE} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10",
     "cross_pairs": f"{_DENSE} SELECT qid, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s WHERE other) WHERE rank <= 3",
+    "similar_pairs": f"{_SIMILAR} SELECT a, b, members_a, members_b, score FROM sp",
+    # The walk in turn, a fold over the ordered pairs that carries what has been used, lent and taken.
+    "greedy_pairs": f"""{_SIMILAR},
+        o AS (SELECT list({{'a': a, 'b': b, 'score': score, 'g': least(ga, gb) || '-' || greatest(ga, gb), 'used': []::BIGINT[], 'lent': []::VARCHAR[], 'taken': []::STRUCT(a BIGINT, b BIGINT, score DOUBLE)[]}} ORDER BY score DESC, a, b) AS l FROM sp),
+        w AS (SELECT list_reduce(list_prepend({{'a': -1, 'b': -1, 'score': 0.0, 'g': '', 'used': []::BIGINT[], 'lent': []::VARCHAR[], 'taken': []::STRUCT(a BIGINT, b BIGINT, score DOUBLE)[]}}, l),
+            lambda s, x: CASE WHEN list_contains(s.used, x.a) OR list_contains(s.used, x.b) OR len(list_filter(s.lent, lambda g: g = x.g)) >= 3 THEN s
+                ELSE {{'a': x.a, 'b': x.b, 'score': x.score, 'g': x.g, 'used': list_concat(s.used, [x.a, x.b]), 'lent': list_append(s.lent, x.g), 'taken': list_append(s.taken, {{'a': x.a, 'b': x.b, 'score': x.score}})}} END).taken AS t FROM o)
+        SELECT r.a, r.b, r.score FROM (SELECT unnest(t) AS r FROM w)""",
     "span_first_rank": f"{_EVAL} SELECT qid, rank_found FROM ranks",
     "recall_mrr": _EVAL + " SELECT " + ", ".join(f"round(avg(CASE WHEN rank_found <= {k} THEN 1.0 ELSE 0 END), 6) AS recall_at_{k}" for k in metrics.CUTS) + ", round(avg(CASE WHEN rank_found <= 10 THEN 1.0::DOUBLE / rank_found ELSE 0 END), 6) AS mrr_at_10, count(*) AS n_questions, count(rank_found) AS n_hits FROM ranks",
     "context_chars": f"""WITH {_CHUNKS}, {_bm25_sql('hits', 5)}, e AS (SELECT item_id, sum(len(c.text)) AS chars FROM benchmark LEFT JOIN hits ON qid = item_id LEFT JOIN chunks c ON c.doc_id = hits.doc_id AND c.chunk_index = hits.chunk_index GROUP BY item_id)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern import cli
 from lectern.functions import text as T
-from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, metrics, sampling
+from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, sampling
 from lectern.plans import queries as Q
 from lectern.sources import files, runs
 from lectern.streaming.incremental import chunk_stream
@@ -161,7 +161,7 @@ def test_generation_and_judges(spark):
 
 def test_sampling(spark):
     pairs = spark.createDataFrame([(1, 5, "x", "y", 0.9), (1, 6, "x", "y", 0.8), (2, 6, "x", "y", 0.8), (3, 7, "x", "y", 0.7), (4, 8, "y", "x", 0.6), (2, 9, "x", "z", 0.5), (10, 9, "x", "z", 0.4)], "a int, b int, group_a string, group_b string, score double")
-    assert [p[:2] for p in sampling.greedy_pairs(pairs)] == [(1, 5), (2, 6), (3, 7), (10, 9)]
+    assert sorted((r.a, r.b) for r in matching.match_in_rounds(pairs).collect()) == [(1, 5), (2, 6), (3, 7), (10, 9)]
     pool = spark.createDataFrame([(k, "s", f"c{i}", i, i != 1) for k in ("one", "two") for i in range(5)], "kind string, source string, chunk_id string, rank int, accepted boolean")
     quota = spark.createDataFrame([("s", 2)], "source string, quota int")
     assert sorted((r.kind, r.chunk_id) for r in sampling.fill_in_order(pool, [("one", quota), ("two", quota)], "source").collect()) == [("one", "c0"), ("one", "c2"), ("two", "c3"), ("two", "c4")]
