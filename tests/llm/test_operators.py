@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, embedding_dedup, exact_dedup, license_scan, line_dedup, minhash_dedup, packing, pretoken, quality, secret_scan, toxicity
+from lectern.llm import bpe, embedding_dedup, exact_dedup, license_scan, minhash_dedup, packing, pretoken, quality, secret_scan, toxicity
 
 SCHEMA = "doc_id long, text string, kept string, score string, ids string"
 WORDS = "alpha beta gamma delta omega north south river stone cloud green seven eight light water field".split()
@@ -244,48 +244,6 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.secret_report(empty).count() == 0 and secret_scan.redact(empty).count() == 0
 
 
-def test_line_dedup_against_brute_force(spark, odd, empty):
-    passage = "\n".join(prose(900 + k, 12) for k in range(30))
-    texts = {i: "\n".join(prose(i * 50 + k, 9) for k in range(6)) + "\n" + passage + f"\nend {i}" for i in range(8)}
-    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    seen, count, want = set(), {}, {}
-    cut = {i: ["\n".join(t.split("\n")[a:b]) for a, b in line_dedup.chunks(t)] for i, t in texts.items()}
-    for cs in cut.values():
-        for c in cs:
-            count[c] = count.get(c, 0) + 1
-    for i in sorted(texts):
-        keep = [c for c in cut[i] if "\n" not in c or count[c] == 1 or c not in seen]
-        seen |= set(cut[i])
-        want[i] = "\n".join(keep)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    assert {i: r.text for i, r in got.items()} == want
-    assert got[0].n_removed == 0 and got[5].n_removed >= 15
-    assert line_dedup.dedup_lines(odd).count() == len(odd_rows())
-    assert line_dedup.dedup_lines(empty).count() == 0
-
-
-def test_line_dedup_takes_whole_passages(spark, tmp_path, monkeypatch):
-    passages = ["\n".join(prose(7000 + 50 * k + j, 6) for j in range(n)) for k, n in enumerate((2, 2, 2, 3, 5, 10))]
-    own = lambda i, k: "\n".join(prose(9000 + 400 * i + 10 * k + j, 8) for j in range(1 + (i + k) % 3))
-    texts = {i: "\n".join(own(i, k) + "\n" + p for k, p in enumerate(passages)) + f"\nend {i}\none line" for i in range(20)}
-    texts |= {30: "a\na\na\na\na", 31: "b\nc\nx\nb\nc", 32: None, 33: "", 34: "one line"}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    # By the lines alone: every later place of two adjacent lines goes, in the order of ids.
-    seen, want = {}, {}
-    for i, t in texts.items():
-        lines, gone = [] if t is None else t.split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:])):
-            at = seen.setdefault(pair, (i, k))
-            if at[0] != i or k - at[1] > 1:
-                gone |= {k, k + 1}
-        want[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
-    assert all(want[i][1] == 24 for i in range(1, 20)) and want[30] == ("a\na", 3) and want[31] == ("b\nc\nx", 2)
-    for most in (line_dedup.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
-        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
-        assert got == want
-
-
 def test_license_scan_against_brute_force(spark, odd, empty):
     def grams(t):
         w = re.findall("[a-z0-9]+", t.lower())

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import embedding_dedup, exact_dedup, line_dedup, minhash_dedup, quality, registry, secret_scan, shared, toxicity
+from lectern.llm import embedding_dedup, exact_dedup, minhash_dedup, quality, registry, secret_scan, shared, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,17 +68,6 @@ def test_op3(spark, texts):
         assert set(filter(None, line.split(","))) <= set(got[i].spans.split(","))
 
 
-def test_op4(spark, texts):
-    seen, got = {}, run(spark, "op4_line_dedup")
-    for i in sorted(texts):
-        lines, gone = texts[i].split("\n"), set()
-        for k, pair in enumerate(zip(lines, lines[1:])):
-            at = seen.setdefault(pair, (i, k))
-            if at[0] != i or k - at[1] > 1:
-                gone |= {k, k + 1}
-        assert (got[i].text or "", got[i].n_removed) == ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
-
-
 def test_op5(spark, texts):
     import public_tokenizers
     import tiktoken
@@ -250,26 +239,6 @@ def test_exact_dedup_without_broadcast(spark, monkeypatch):
     assert exact_dedup.exact_dedup(docs).where("text = 'text 1'").agg(F.min("keep_id"), F.max("keep_id")).first()[:] == (1, 1)
 
 
-def test_line_dedup_after_a_clash_of_hashes(spark, monkeypatch):
-    body = "one line\ntwo line\nthree line"
-    rows = [(1, body + "\nend a"), (2, "begin\n" + body), (3, "other a\nother b"), (4, None), (5, "x\ny\nx\ny")]
-    docs = spark.createDataFrame([(i, t, "c", "k") for i, t in rows], "doc_id long, text string, cuts string, cut_id string")
-    real = line_dedup.pair_hash
-
-    def weak(lines, seed):
-        return real(lines, seed) if seed else len(lines[0]) % 2
-
-    out = line_dedup.dedup_lines(docs, whole=True)
-    want = {1: body + "\nend a", 2: "begin", 3: "other a\nother b", 4: None, 5: "x\ny"}
-    assert {r.doc_id: r.text for r in out.collect()} == want and out.columns == [*docs.columns, "n_lines", "n_removed"]
-    places = line_dedup.repeated_places
-    monkeypatch.setattr(line_dedup, "pair_hash", weak)
-    seeds = []
-    monkeypatch.setattr(line_dedup, "repeated_places", lambda d, w, s: (seeds.append(s), places(d, w, s))[1])
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, whole=True).collect()} == want and seeds == [0, 1]
-
-
 def test_estimation_recovers_planted_accuracies():
     r = np.random.default_rng(4)
     n, speaks = 40_000, np.array([[0.8, 0.6, 0.7, 0.4, 0.05, 0.5], [0.02, 0.05, 0.01, 0.1, 0.05, 0.2]])
