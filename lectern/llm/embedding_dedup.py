@@ -8,7 +8,8 @@ meet in a table where they differ in one of its bits at most: each vector is at
 visits those that lie one set bit below. A pair counts in the first table where it meets, so no pair is
 looked at twice and none is ever a row: a bucket yields each vector's number of links in it and one edge to
 its root. Buckets are dealt in blocks of bounded size, and every meeting pair's cosine is taken of the original
-vectors in double precision. Vectors of each length have a rotation and tables of their own.
+vectors in double precision. Vectors of each length have a rotation and tables of their own. Equal vectors are one
+class, which links once for all its members.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import prepare, small, stored, table
+from .shared import dealt_join, prepare, small, stored, table
 
 #: Vectors that the rotations are learned on, all lengths together, and rounds of learning.
 SAMPLE, ROUNDS = 8192, 40
-#: Share of the pairs at the least cosine that may meet in no table, most tables, and bits of a code at most.
-MISSED, MOST_TABLES, BITS = 0.04, 16, 64
+#: Share of the pairs at the least cosine that may meet in no table, whatever the number of vectors, and bits of a
+#: code at most.
+MISSED, BITS = 0.04, 64
 #: Most vectors at home in a block of a bucket, and most that they are held against in it.
 HOME, OTHERS = 512, 2048
 
@@ -42,7 +44,7 @@ def masks(n: int, bits: int, cosine: float) -> list[int]:
     width = max(1, min(math.ceil(math.log2(max(n, 256))), bits // 2 if bits < 32 else bits - 1))
     p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
     missed = 1 - (1 - p) ** width - width * p * (1 - p) ** (width - 1)
-    count = min(MOST_TABLES, max(4, math.ceil(math.log(MISSED) / math.log(missed)))) if missed > 1e-9 else 4
+    count = max(4, math.ceil(math.log(MISSED) / math.log(missed))) if missed > 1e-9 else 4
     rng, queue, out = np.random.default_rng(11), [], []
     for _ in range(count):
         own: list[int] = []
@@ -73,6 +75,13 @@ def learn(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
     return mean, axes @ rotation
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in doubles; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
     signs = np.zeros((len(x), 64), np.uint8)
     signs[:, : projection.shape[1]] = (x - mean) @ projection >= 0
@@ -93,8 +102,9 @@ def _links(data: np.ndarray, code: np.ndarray, ids: np.ndarray, left: np.ndarray
     return good
 
 
-def _bucket_links(tables: dict[int, np.ndarray], cosine: float):
-    """Streams sorted (size, bucket, row, column) blocks; each gives (id, n, root) of its vectors that link."""
+def _bucket_links(tables: dict[int, np.ndarray], cosine: float, kind: str):
+    """Streams sorted (size, bucket, row, column) blocks; each gives (id, n, root) of its vectors that link, n being the
+    members of the classes that they link to."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes = rows["size"].to_numpy()
@@ -105,8 +115,8 @@ def _bucket_links(tables: dict[int, np.ndarray], cosine: float):
     def _solve(rows: pa.Table, size: int) -> pa.RecordBatch:
         ids, code = rows["id"].to_numpy(), rows["code"].to_numpy().view(np.uint64)
         home, side = rows["home"].to_numpy(), rows["side"].to_numpy()
-        data = np.frombuffer(b"".join(rows["vector"].to_pylist()), "<f4").reshape(-1, size).astype(np.float64)
-        data /= np.linalg.norm(data, axis=1, keepdims=True)
+        data = unit(np.frombuffer(b"".join(rows["vector"].to_pylist()), kind).reshape(-1, size))
+        members = rows["members"].to_numpy()
         block = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("tab", "bucket", "row", "column")], 1)
         cuts = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(1)))
         number = rows["tab"].to_numpy()
@@ -134,9 +144,11 @@ def _bucket_links(tables: dict[int, np.ndarray], cosine: float):
                 waiting = 0
         if lefts:
             take()
-        left = ids[np.concatenate([x for x, _ in found])] if found else np.zeros(0, np.int64)
-        right = ids[np.concatenate([x for _, x in found])] if found else np.zeros(0, np.int64)
-        some, n = np.unique(np.concatenate([left, right]), return_counts=True)
+        at_left, at_right = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        left, right = ids[at_left], ids[at_right]
+        some, which = np.unique(np.concatenate([left, right]), return_inverse=True)
+        n = np.zeros(len(some), np.int64)
+        np.add.at(n, which, np.concatenate([members[at_right], members[at_left]]))
         l_, r_, root = np.searchsorted(some, left), np.searchsorted(some, right), np.arange(len(some))
         while len(l_):
             low = np.minimum(root[l_], root[r_])
@@ -178,7 +190,7 @@ def _models(able: DataFrame, cosine: float) -> dict[int, tuple[np.ndarray, np.nd
     sample: dict[int, list] = {}
     for r in able.where(F.col("size").isin(list(counts))).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("size", "vector").collect():
         sample.setdefault(r["size"], []).append(r["vector"])
-    return {size: (*learn(np.array(x, np.float64)), np.array(masks(counts[size], min(BITS, size), cosine), np.uint64)) for size, x in sample.items()}
+    return {size: (*learn(unit(np.array(x))), np.array(masks(counts[size], min(BITS, size), cosine), np.uint64)) for size, x in sample.items()}
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -193,8 +205,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = prepare(vectors.sparkSession)
     good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"))
-    able = vectors.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
-    able = stored(able.withColumn("size", F.size("vector")), "vectors")
+    # Floats stay floats, all else is compared as doubles.
+    kind, own = ("<f4", "array<float>") if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else ("<f8", "array<double>")
+    valid = stored(vectors.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(own).alias("vector")).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
+    # Equal vectors under their smallest id: they link with each other, and all with what one links with.
+    able = stored(valid.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("members")).withColumn("size", F.size("vector")), "classes")
+    several = able.where("members > 1").select("vector", F.col("id").alias("class_id"), "members")
+    classes = stored(dealt_join(valid, several, ["vector"], "inner").select("id", "class_id", "members"), "members")
     models = _models(able, cosine)
     result = "id long, n long, root long"
     if not models:
@@ -208,8 +225,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 for size in np.unique(of).tolist():
                     part = frame.filter(pa.array(of == size))
                     mean, projection, own_tables = models[size]
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, size)
-                    code = codes(x.astype(np.float64), mean, projection)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, size)
+                    code = codes(unit(x), mean, projection)
                     keys: list[list[dict]] = [[] for _ in range(len(code))]
                     for t, mask in enumerate(own_tables):
                         single = [1 << k for k in range(64) if int(mask) >> k & 1]
@@ -217,10 +234,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                             keys[i].append((t, c - 2**63, True))
                             keys[i] += [(t, (c ^ k) - 2**63, False) for k in single if c & k]
                     seats = pa.array([[{"tab": t, "bucket": c, "home": h} for t, c, h in k] for k in keys], pa.list_(pa.struct([("tab", pa.int32()), ("bucket", pa.int64()), ("home", pa.bool_())])))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2), pa.array(code.view(np.int64)), seats], ["id", "vector", "size", "code", "seats"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), part.column(2), pa.array(code.view(np.int64)), part.column(3), seats], ["id", "vector", "size", "code", "members", "seats"])
 
-        some = able.where(F.col("size").isin(list(models))).select("id", "vector", "size")
-        placed = stored(some.mapInArrow(coded, "id long, vector binary, size int, code long, seats array<struct<tab:int,bucket:long,home:boolean>>"), "codes")
+        some = able.where(F.col("size").isin(list(models))).select("id", "vector", "size", "members")
+        placed = stored(some.mapInArrow(coded, "id long, vector binary, size int, code long, members long, seats array<struct<tab:int,bucket:long,home:boolean>>"), "codes")
         where = ["size", "tab", "bucket"]
         seats = placed.select("id", "size", F.explode("seats").alias("seat")).select("id", "size", "seat.*")
         counts = seats.groupBy(*where).agg(F.count_if("home").alias("at_home"), F.count("*").alias("all")).where("at_home > 0 and all > 1")
@@ -231,16 +248,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         pick = lambda n, seed: F.expr(f"cast(pmod(xxhash64(id, {seed}), {n}) as int)")
         left = live.where("home").select("id", *where, "home", F.lit(0).alias("side"), pick("rows", 1).alias("row"), F.explode(F.expr("sequence(0, columns - 1)")).alias("column"))
         right = live.select("id", *where, "home", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, rows - 1)")).alias("row"), pick("columns", 2).alias("column"))
-        dealt = left.union(right).join(placed.select("id", "vector", "code"), "id")
+        dealt = left.union(right).join(placed.select("id", "vector", "code", "members"), "id")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = ["size", "tab", "bucket", "row", "column"]
         dealt = dealt.repartition(n, *order).sortWithinPartitions(*order)
-        found = stored(dealt.mapInArrow(_bucket_links(tables, cosine), result), "links")
+        found = stored(dealt.mapInArrow(_bucket_links(tables, cosine, kind), result), "links")
     degree = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     grown = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = rows.join(degree, "id", "left").join(grown, "id", "left")
-    own = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
+    # A class's links and component are its members'; alike vectors link whatever the least cosine up to 1.
+    of_class = degree.join(grown, "id", "full").select(F.col("id").alias("class_id"), "n_links", "component_id")
+    out = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    out = dealt_join(out, of_class, ["class_id"], "left")
+    own = F.coalesce("component_id", "class_id")
+    alike = F.when(F.lit(cosine <= 1), F.coalesce(F.col("members") - 1, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), (F.coalesce("n_links", F.lit(0).cast("long")) + alike).alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,3 +346,25 @@ def test_quality(spark, odd, empty):
     assert sum(r.keep == (r.doc_id < 300) for r in got) / len(got) > 0.95
     assert quality.quality(odd).where("score between 0 and 1").count() == len(odd_rows())
     assert quality.quality(empty).count() == 0
+
+
+def test_embedding_dedup_of_copies_and_of_components_beyond_floats(spark):
+    r = np.random.default_rng(12)
+    one, near_one = r.standard_normal(24), None
+    near_one = one + 0.02 * r.standard_normal(24)
+    rows = [(i, one.tolist()) for i in range(3000)] + [(i, near_one.tolist()) for i in range(3000, 3010)] + [(i, r.standard_normal(24).tolist()) for i in range(4000, 4300)]
+    rows += [(9000, [1e300] * 24), (9001, [1e-300] * 24), (9002, [1.0] * 24), (9003, [1e300, -1e300] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"class_id": F.lit(1), "members": F.lit(2)}).repartition(4)
+    got = {q.vec_id: q for q in embedding_dedup.near_vectors(df).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i].n_links, got[i].component_id) == (3009, 0) for i in range(3010))
+    assert [(got[i].n_links, got[i].component_id) for i in range(9000, 9004)] == [(2, 9000), (2, 9000), (2, 9000), (0, 9003)]
+    assert [i for i in range(3010) if got[i].kept] == [0]
+
+
+def test_embedding_tables_hold_the_share_missed_at_any_size():
+    for n in (10**3, 10**6, 10**9, 10**12):
+        own = embedding_dedup.masks(n, 64, 0.95)
+        width, p = own[0].bit_count(), np.arccos(0.95) / np.pi
+        missed = 1 - (1 - p) ** width - width * p * (1 - p) ** (width - 1)
+        assert missed ** len(own) <= embedding_dedup.MISSED
