@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.vector_index import usable
 from lectern.sources.scratch import written
+from lectern.sources.workers import importable
 
 #: Share of the pairs at exactly the threshold that may meet in no table; vectors of a block; tasks of one bucket.
 MISSED, BLOCK, DEALT = 1e-5, 1024, 16
@@ -86,6 +87,7 @@ def similar_pairs(vectors: DataFrame, cosine: float, across: bool = True, missed
     that are null or hold null or non-finite components are in no pair; vectors of unlike lengths don't meet. An
     empty table gives none.
     """
+    importable(vectors.sparkSession)
     classes = written(vector_classes(vectors), "classes")
     bits, tables = tables_for(max(1, classes.count()), cosine, missed)
     blocks = written(_in_blocks(_coded(classes, bits, tables, seed)), "blocks")

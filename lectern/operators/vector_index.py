@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.retrieval import best_of_blocks, dense
+from lectern.sources.workers import importable
 
 #: Most lists; vectors that centroids are learned from, and queries that probes are measured with, at most.
 MOST_LISTS, SAMPLE, ASKED = 4096, 65_536, 256
@@ -95,7 +96,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, recall: float
     is indexed. Null vectors and those with null or non-finite components are not; a zero vector is, with a cosine of
     0 to all. A null label is -1. Rows that repeat an id are indexed each. An empty table makes an empty index.
     """
-    spark = vectors.sparkSession
+    spark = importable(vectors.sparkSession)
     rows = _vectors(vectors)
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     n = rows.count()
@@ -130,7 +131,7 @@ def read_centroids(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
 
 def add(vectors: DataFrame, path: str) -> None:
     """Append vectors to their lists; centroids stay."""
-    centroids, _ = read_centroids(vectors.sparkSession, path)
+    centroids, _ = read_centroids(importable(vectors.sparkSession), path)
     _blocks(_nearest(_vectors(vectors), centroids, 1), BLOCK, "v").write.partitionBy("list").mode("append").parquet(f"{path}/lists")
 
 
@@ -140,7 +141,7 @@ def search(queries: DataFrame, path: str, k: int = 10, probes: int | None = None
     ``probes`` is the number of lists; by default, what reached the recall of the build. With all lists the result
     is exact. Queries that can't be searched have no hits.
     """
-    spark = queries.sparkSession
+    spark = importable(queries.sparkSession)
     centroids, measured = read_centroids(spark, path)
     if not len(centroids):
         return spark.createDataFrame([], "qid long, vec_id long, score double, rank int")

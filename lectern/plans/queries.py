@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, retrieval, sampling, vector_index
 from lectern.sources import files, scratch
+from lectern.sources import html_blocks as html
 from lectern.streaming import postings
 
 KEYS = ["doc_id", "chunk_index"]
@@ -241,6 +242,18 @@ def layout_audit(spark, sf_dir):
     return made.select("doc", "layout", "n_single", "n_double", "n_unclear")
 
 
+def html_blocks(spark, sf_dir):
+    """Blocks of the raw pages, in the order of their source."""
+    made = html.html_blocks(_t(spark, sf_dir, "pages"))
+    return made.select(F.col("doc").cast("long").alias("page_id"), "block_no", "text")
+
+
+def html_pages(spark, sf_dir):
+    """Sheets of the raw pages, their blocks in reading order."""
+    made = html.page_texts(_t(spark, sf_dir, "pages"))
+    return made.select(F.col("doc").cast("long").alias("page_id"), F.col("page").cast("long").alias("sheet"), F.md5("text").alias("text_md5"), "is_toc")
+
+
 def _headed(spark, sf_dir):
     """Lines of documents, some of them headers."""
     k = F.col("line_no")
@@ -477,7 +490,7 @@ QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
     bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
-    reading_order, page_assembly, toc_drop, layout_audit, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
+    reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
 ]
 
 _CHUNKS = r"""
@@ -515,6 +528,7 @@ _EVAL = f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)}, {_RANKS}"
 _DENSE = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id, v.label <> q.label AS other, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
+_HTML_BREAKS = "|".join(sorted(html.BREAKS, key=lambda t: (-len(t), t)))
 _SIMILAR = f"""
 WITH v AS (SELECT min(vec_id) AS id, label, e, count(*) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) GROUP BY label, e),
 sp AS (SELECT * FROM (SELECT x.id AS a, y.id AS b, x.label AS ga, y.label AS gb, x.n AS members_a, y.n AS members_b, round(list_cosine_similarity(x.e, y.e), 6) AS score
@@ -644,6 +658,11 @@ ORACLE_SQL = {
     "metrics_rollup": "SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS mean_quality FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)",
     "context_blocks": "SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn, role, text) AS prompt, count(*) AS n_blocks FROM conversations GROUP BY conv_id",
     "regression_gate": f"{_EVAL}, r AS (SELECT round(avg(CASE WHEN rank_found <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5 FROM ranks) SELECT recall_at_5, 0.45::DOUBLE AS base_recall, faithfulness::DOUBLE AS faithfulness, round(0.45 - recall_at_5, 9) <= 0.02 AND coalesce(round(0.98 - faithfulness, 9) <= 0.05, true) AS passed FROM r, (VALUES (NULL), (0.93), (0.92)) t(faithfulness)",
+    # What breaks a block becomes a mark, all other tags go; blocks are what stands between marks.
+    "html_blocks": rf"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '<p>', 'g'), '(?i)</?(?:{_HTML_BREAKS})(?:\s[^>]*)?/?>', chr(1), 'g') AS h FROM pages),
+        p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM (SELECT page_id, string_split(regexp_replace(h, '<[^>]*>', '', 'g'), chr(1)) AS parts FROM h)),
+        b AS (SELECT page_id, n, trim(regexp_replace(replace(replace(replace(replace(replace(replace(part, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM p)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS block_no, text FROM b WHERE text <> ''""",
     "reading_order": f"WITH {_BLOCKS} SELECT doc, page, block_no, layout, ord FROM b3",
     "page_assembly": f"WITH {_BLOCKS} SELECT doc, page, string_agg(trim(text), chr(10) ORDER BY ord) AS text, page <= 6 AND lower(min_by(trim(text), ord)) IN ('contents', 'table of contents') AS is_toc FROM b3 GROUP BY doc, page",
     "toc_drop": f"""WITH {_BLOCKS}, p AS (SELECT doc, page, string_agg(trim(text), chr(10) ORDER BY ord) AS text, page <= 6 AND lower(min_by(trim(text), ord)) IN ('contents', 'table of contents') AS is_toc FROM b3 GROUP BY doc, page),
