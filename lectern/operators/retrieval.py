@@ -247,6 +247,7 @@ def retrievers(chunks: DataFrame, vectors: DataFrame, keys: list[str], encode_qu
         return bm25(chunks, queries, keys, k)
 
     def hybrid(queries: DataFrame, k: int = 10) -> DataFrame:
-        return fuse(by_vector(queries, candidates), lexical(queries, candidates), keys, k)
+        # Both lists are as long as there are chunks for: those without a term of the query follow with score 0.
+        return fuse(by_vector(queries, candidates), bm25(chunks, queries, keys, candidates, pad=True), keys, k)
 
     return {"dense": by_vector, "bm25": lexical, "hybrid": hybrid}

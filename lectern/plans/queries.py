@@ -110,6 +110,12 @@ def rrf_fusion(spark, sf_dir):
     return _hits(_hybrid(spark, sf_dir)["hybrid"](_queries(spark, sf_dir), 10))
 
 
+def rrf_padded(spark, sf_dir):
+    """Queries of one word, fused: a list by terms goes on with chunks without the term."""
+    q = _queries(spark, sf_dir).select("qid", F.substring_index("text", " ", -1).alias("text"))
+    return _hits(_hybrid(spark, sf_dir)["hybrid"](q, 10))
+
+
 def rerank_standin(spark, sf_dir):
     made = retrieval.rerank_by_overlap(_bm25(spark, sf_dir, 20), _queries(spark, sf_dir), _chunks(spark, sf_dir), KEYS)
     return _hits(made).join(made.select("qid", *KEYS, F.col("prior_rank").cast("long").alias("prior_rank"), F.col("moved").cast("long").alias("moved")), ["qid", *KEYS])
@@ -284,6 +290,28 @@ def section_aware_1500(spark, sf_dir):
     return chunking.STRATEGIES["section_aware_1500"](_headed_texts(spark, sf_dir))
 
 
+def section_aware_pages(spark, sf_dir):
+    """Chunks of sections with the pages of their first and last character."""
+    made = chunking.section_aware_chunks(_headed_texts(spark, sf_dir))
+    return chunking.page_ranges(made, chunking.line_spans(_headed(spark, sf_dir)))
+
+
+def _line_pieces(spark, sf_dir):
+    """Lines of documents as pieces, every third with a section."""
+    spans = chunking.line_spans(_lines(spark, sf_dir))
+    return spans.select("doc_id", F.col("line_no").alias("chunk_index"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.col("line").alias("text"), F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("s"), "line_no")).alias("section"), F.col("page_number").alias("start_page"), F.col("page_number").alias("end_page"))
+
+
+def stitched_pieces(spark, sf_dir):
+    made = chunking.stitch_rows(_line_pieces(spark, sf_dir), 30, ["doc_id"])
+    return made.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("text").alias("text_md5"))
+
+
+def merged_pieces(spark, sf_dir):
+    made = chunking.merge_tiny_rows(_line_pieces(spark, sf_dir))
+    return made.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "start_page", "end_page")), "section", F.md5("text").alias("text_md5"))
+
+
 def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_t(spark, sf_dir, "documents"))
 
@@ -488,9 +516,9 @@ def hourly_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
-    reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, recursive_chunks, merged_chunks, hourly_events,
+    reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events,
 ]
 
 _CHUNKS = r"""
@@ -528,6 +556,11 @@ _EVAL = f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)}, {_RANKS}"
 _DENSE = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS qid, v.vec_id, v.label <> q.label AS other, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
+_PIECES = _LINES + """,
+pieces AS (SELECT doc_id, line_no, line, coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM lines)"""
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+#: Two chunks as one.
+_JOINED = "{{'a': least({0}.a, {1}.a), 'z': greatest({0}.z, {1}.z), 't': " + _STRIPPED.format("{0}.t || chr(10) || {1}.t") + ", 's': CASE WHEN coalesce({0}.s, '') <> '' THEN {0}.s ELSE {1}.s END, 'p': least({0}.p, {1}.p), 'q': greatest({0}.q, {1}.q)}}"
 _HTML_BREAKS = "|".join(sorted(html.BREAKS, key=lambda t: (-len(t), t)))
 _SIMILAR = f"""
 WITH v AS (SELECT min(vec_id) AS id, label, e, count(*) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) GROUP BY label, e),
@@ -535,6 +568,26 @@ sp AS (SELECT * FROM (SELECT x.id AS a, y.id AS b, x.label AS ga, y.label AS gb,
     FROM v x JOIN v y ON x.id < y.id AND (x.label <> y.label OR x.label IS NULL OR y.label IS NULL)) WHERE score >= {PAIR_COSINE})"""
 #: A term's place is its MD5's first two digits modulo 64, its sign the third.
 _DIGIT = "(instr('0123456789abcdef', substr(md5(term), {0}, 1)) - 1)"
+_LAST_WORD = "string_split(text, ' ')[-1]"
+
+
+def _padded_sql(k: int) -> str:
+    """z: ranked hits of one-word queries, chunks without the word last."""
+    return f"""{_bm25_sql("hits", k, query=_LAST_WORD)}, zf AS (SELECT doc_id, chunk_index FROM chunks ORDER BY 1, 2 LIMIT {2 * k}),
+        z0 AS (SELECT qid, doc_id, chunk_index, score FROM hits UNION ALL SELECT item_id, doc_id, chunk_index, 0.0 FROM benchmark, zf WHERE NOT EXISTS (FROM hits h WHERE h.qid = item_id AND h.doc_id = zf.doc_id AND h.chunk_index = zf.chunk_index)),
+        z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS rank FROM z0) WHERE rank <= {k})"""
+
+
+def _fused_sql(lexical: str) -> str:
+    """Ten hits of d's first fifty and of a ranked list, fused."""
+    return f"""x AS (SELECT * FROM d WHERE rank <= 50),
+        f AS (SELECT coalesce(x.qid, y.qid) AS qid, coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.chunk_index, y.chunk_index) AS chunk_index, x.rank AS r1, y.rank AS r2,
+          round(coalesce(1.0::DOUBLE / (60 + x.rank), 0) + coalesce(1.0::DOUBLE / (60 + y.rank), 0), 9) AS score
+          FROM x FULL JOIN {lexical} y ON x.qid = y.qid AND x.doc_id = y.doc_id AND x.chunk_index = y.chunk_index),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank FROM f)
+        SELECT qid, doc_id, chunk_index, score, rank FROM r WHERE rank <= 10"""
+
+
 _HASHED = rf"""
 ht AS (SELECT doc_id AS a, chunk_index AS b, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks UNION ALL SELECT -1 - item_id, 0, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark),
 hp AS (SELECT a, b, (16 * {_DIGIT.format(1)} + {_DIGIT.format(2)}) % 64 AS pos, sum(CASE WHEN {_DIGIT.format(3)} < 8 THEN 1.0 ELSE -1.0 END) AS x FROM ht GROUP BY ALL),
@@ -610,16 +663,10 @@ ORACLE_SQL = {
     "bm25_idf": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT term, df, round(idf, 6) AS idf FROM hits_idf",
     "bm25_topk": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT qid, doc_id, chunk_index, score, rank FROM hits",
     "bm25_incremental": f"WITH {_CHUNKS}, {_bm25_sql('hits', 10)} SELECT qid, doc_id, chunk_index, score, rank FROM hits",
-    "bm25_padded": f"""WITH {_CHUNKS}, {_bm25_sql('hits', 10, query="string_split(text, ' ')[-1]")}, f AS (SELECT doc_id, chunk_index FROM chunks ORDER BY 1, 2 LIMIT 20),
-        z AS (SELECT qid, doc_id, chunk_index, score FROM hits UNION ALL SELECT item_id, doc_id, chunk_index, 0.0 FROM benchmark, f WHERE NOT EXISTS (FROM hits h WHERE h.qid = item_id AND h.doc_id = f.doc_id AND h.chunk_index = f.chunk_index))
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) AS rank FROM z) WHERE rank <= 10""",
+    "bm25_padded": f"WITH {_CHUNKS}, {_padded_sql(10)} SELECT qid, doc_id, chunk_index, score, rank FROM z",
     "hashed_dense": f"WITH {_CHUNKS}, {_HASHED} SELECT qid, doc_id, chunk_index, score, rank FROM d WHERE rank <= 10",
-    "rrf_fusion": f"""WITH {_CHUNKS}, {_bm25_sql('y', 50)}, {_HASHED}, x AS (SELECT * FROM d WHERE rank <= 50),
-        f AS (SELECT coalesce(x.qid, y.qid) AS qid, coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.chunk_index, y.chunk_index) AS chunk_index, x.rank AS r1, y.rank AS r2,
-          round(coalesce(1.0::DOUBLE / (60 + x.rank), 0) + coalesce(1.0::DOUBLE / (60 + y.rank), 0), 9) AS score
-          FROM x FULL JOIN y ON x.qid = y.qid AND x.doc_id = y.doc_id AND x.chunk_index = y.chunk_index),
-        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS rank FROM f)
-        SELECT qid, doc_id, chunk_index, score, rank FROM r WHERE rank <= 10""",
+    "rrf_fusion": f"WITH {_CHUNKS}, {_bm25_sql('hits', 50)}, {_HASHED}, {_fused_sql('hits')}",
+    "rrf_padded": f"WITH {_CHUNKS}, {_padded_sql(50)}, {_HASHED.replace('lower(text)', f'lower({_LAST_WORD})').replace(f'lower({_LAST_WORD})', 'lower(text)', 1)}, {_fused_sql('z')}",
     "rerank_standin": f"""WITH {_CHUNKS}, {_bm25_sql('hits', 20)},
         s AS (SELECT h.qid, h.doc_id, h.chunk_index, h.rank AS prior_rank, round(len(list_intersect(qt, list_distinct(t))) / greatest(len(qt), 1), 6) AS score
           FROM hits h JOIN hits_t USING (doc_id, chunk_index) JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS qt FROM benchmark) ON item_id = qid),
@@ -659,6 +706,20 @@ ORACLE_SQL = {
     "context_blocks": "SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn, role, text) AS prompt, count(*) AS n_blocks FROM conversations GROUP BY conv_id",
     "regression_gate": f"{_EVAL}, r AS (SELECT round(avg(CASE WHEN rank_found <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5 FROM ranks) SELECT recall_at_5, 0.45::DOUBLE AS base_recall, faithfulness::DOUBLE AS faithfulness, round(0.45 - recall_at_5, 9) <= 0.02 AND coalesce(round(0.98 - faithfulness, 9) <= 0.05, true) AS passed FROM r, (VALUES (NULL), (0.93), (0.92)) t(faithfulness)",
     # What breaks a block becomes a mark, all other tags go; blocks are what stands between marks.
+    "stitched_pieces": f"""WITH {_PIECES}, t AS (SELECT *, lag(line) OVER w AS prev, lag(place) OVER w AS prev_at FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        c AS (SELECT *, coalesce(right(prev, 30), '') AS cut FROM t), u AS (SELECT *, CASE WHEN contains(cut, ' ') THEN cut[instr(cut, ' ') + 1:] ELSE cut END AS tail FROM c),
+        s AS (SELECT *, CASE WHEN tail = '' THEN line ELSE tail || ' ' || line END AS made, CASE WHEN tail = '' THEN place ELSE prev_at + len(prev) - len(tail) END AS begin FROM u)
+        SELECT doc_id, line_no AS chunk_index, begin AS char_start, begin + len(made) AS char_end, md5(made) AS text_md5 FROM s""",
+    # The fold itself: the chunk that waits, and the chunks made so far.
+    "merged_pieces": rf"""WITH {_PIECES}, p AS (SELECT doc_id, line_no, {{'a': place, 'z': place + len(line), 't': {_STRIPPED.format('line')}, 's': CASE WHEN line_no % 3 = 0 THEN 's' || line_no END, 'p': line_no // 10 + 1, 'q': line_no // 10 + 1}} AS c FROM pieces),
+        l AS (SELECT doc_id, list({{'c': c, 'waits': false, 'out': [c][:0]}} ORDER BY line_no) AS l FROM p GROUP BY doc_id),
+        f AS (SELECT doc_id, list_reduce(list_prepend({{'c': NULL, 'waits': false, 'out': l[1].out}}, l), lambda s, x:
+            CASE WHEN s.waits THEN {{'c': NULL, 'waits': false, 'out': list_append(s.out, {_JOINED.format('s.c', 'x.c')})}}
+                 WHEN len(x.c.t) < 80 THEN {{'c': x.c, 'waits': true, 'out': s.out}}
+                 ELSE {{'c': NULL, 'waits': false, 'out': list_append(s.out, x.c)}} END) AS s FROM l),
+        o AS (SELECT doc_id, CASE WHEN NOT s.waits THEN s.out WHEN len(s.out) = 0 THEN [s.c] ELSE list_append(s.out[:-2], {_JOINED.format('s.out[-1]', 's.c')}) END AS o FROM f),
+        r AS (SELECT doc_id, unnest(range(len(o))) AS chunk_index, unnest(o) AS c FROM o)
+        SELECT doc_id, chunk_index, c.a AS char_start, c.z AS char_end, c.p AS start_page, c.q AS end_page, c.s AS section, md5(c.t) AS text_md5 FROM r""",
     "html_blocks": rf"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '<p>', 'g'), '(?i)</?(?:{_HTML_BREAKS})(?:\s[^>]*)?/?>', chr(1), 'g') AS h FROM pages),
         p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS n FROM (SELECT page_id, string_split(regexp_replace(h, '<[^>]*>', '', 'g'), chr(1)) AS parts FROM h)),
         b AS (SELECT page_id, n, trim(regexp_replace(replace(replace(replace(replace(replace(replace(part, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM p)

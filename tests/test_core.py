@@ -77,6 +77,41 @@ def test_merge_and_stitch():
     assert chunking.stitch([(0, "one two"), (8, "three")], 4) == [(0, 7, "one two"), (4, 13, "two three")] and chunking.stitch([(0, "ab"), (2, "cd")], 0) == [(0, 2, "ab"), (2, 4, "cd")]
 
 
+def test_stitching_and_merging_rows_equal_the_texts_forms(spark):
+    """The window forms against the sequential ones, on random pieces with blanks, empty texts and runs of tiny chunks."""
+    r = random.Random(5)
+    rows, stitched, merged = [], [], []
+    for d in range(120):
+        at, pieces = 0, []
+        for i in range(r.randrange(1, 14)):
+            t = "".join(r.choice("ab  \n") for _ in range(r.choice([0, 1, 3, 8, 20])))
+            pieces.append({"start": at, "end": at + len(t), "text": t, "section": r.choice([None, "", f"s{i}"])})
+            at += len(t) + r.randrange(3)
+        rows += [(d, i, p["start"], p["end"], p["text"], p["section"], i, i + 1) for i, p in enumerate(pieces)]
+        stitched += [(d, i, *x) for i, x in enumerate(chunking.stitch([(p["start"], p["text"]) for p in pieces], 5))]
+        merged += [(d, i, p["start"], p["end"], p["text"], p["section"]) for i, p in enumerate(chunking.merge_tiny(pieces, 7))]
+    df = spark.createDataFrame(rows, "doc_id int, chunk_index int, char_start int, char_end int, text string, section string, start_page int, end_page int").repartition(5)
+    cols = ["doc_id", "chunk_index", "char_start", "char_end", "text"]
+    assert sorted(tuple(x) for x in chunking.stitch_rows(df, 5, ["doc_id"]).select(*cols).collect()) == stitched
+    assert chunking.stitch_rows(df, 0, ["doc_id"]).select(*cols[:3], "text").exceptAll(df.select(*cols[:3], "text")).count() == 0
+    got = sorted(chunking.merge_tiny_rows(df, 7).collect(), key=lambda x: (x.doc_id, x.chunk_index))
+    assert [tuple(x)[:6] for x in got] == merged
+    assert all(x.start_page < x.end_page for x in got)
+    assert chunking.merge_tiny_rows(df.where("false")).count() == 0
+
+
+def test_pages_of_section_aware_chunks(spark):
+    lines = [(1, k, k // 4 + 1, "RESULTS" if k % 5 == 2 else "word " * (k % 7)) for k in range(40)] + [(2, 0, 9, "")]
+    df = spark.createDataFrame(lines, "doc_id int, line_no int, page_number int, line string")
+    text = "\n".join(x[3] for x in lines[:40])
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "no lines known")], "doc_id int, text string")
+    page = [p for _, _, p, line in lines[:40] for _ in range(len(line) + 1)]
+    got = chunking.page_ranges(chunking.section_aware_chunks(docs, size=90, overlap=10), chunking.line_spans(df)).collect()
+    assert len(got) >= 6 and {x.doc_id for x in got} == {1, 3}
+    for x in got:
+        assert (x.start_page, x.end_page) == ((page[x.char_start], page[max(x.char_start, x.char_end - 1)]) if x.doc_id == 1 else (None, None))
+
+
 def test_section_aware_chunks(spark):
     body = "A sentence of some words here. " * 60
     text = "intro " * 20 + "\n1. Introduction Part\n" + body + "\nMETHODS\nResults\n" + "found it " * 20 + "\nDiscussion\n\nConclusion\nshort end\nAppendix"
