@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, retrieval, sampling, vector_index
 from lectern.sources import files, scratch
 from lectern.sources import html_blocks as html
-from lectern.streaming import postings
+from lectern.streaming import postings, windows
 
 KEYS = ["doc_id", "chunk_index"]
 
@@ -514,11 +514,31 @@ def hourly_events(spark, sf_dir):
     return e.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
 
 
+def _closed(spark, sf_dir, windows_of):
+    """What a stream of the events' files has given out: the windows that its watermark has reached."""
+    source, sink = f"{sf_dir}/events.parque[t]", scratch.new_path(spark, "windows")  # a pattern: a file or a folder
+    made = windows_of(windows.event_stream(spark, source, _t(spark, sf_dir, "events").schema))
+    windows.write_closed(made, sink, scratch.new_path(spark, "checkpoint")).awaitTermination()
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    rounded = [F.round(c, 4).alias(c) if c in ("total", "least", "most") else F.col(c) for c in made.columns[2:]]
+    return spark.read.schema(made.schema).parquet(sink).select(minute("start"), minute("end"), *rounded)
+
+
+def sliding_events(spark, sf_dir):
+    """Hours of events by type, one every quarter of an hour, from a stream."""
+    return _closed(spark, sf_dir, lambda e: windows.sliding(e, ["event_type"], "value"))
+
+
+def session_events(spark, sf_dir):
+    """Users' sessions, which half an hour of silence ends, from a stream."""
+    return _closed(spark, sf_dir, lambda e: windows.sessions(e, ["user_id"], "value"))
+
+
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
     bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
-    reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events,
+    reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events, sliding_events, session_events,
 ]
 
 _CHUNKS = r"""
@@ -769,6 +789,13 @@ ORACLE_SQL = {
         p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(chunk_id), chunk_id) AS turn FROM d WHERE quality = 1), g AS (SELECT * FROM p WHERE turn <= 3),
         m AS (SELECT source, 3 - count(*) AS missing FROM g GROUP BY source)
         SELECT printf('q%04d', row_number() OVER (ORDER BY source, chunk_id) - 1) AS qid, source, chunk_id, missing FROM g JOIN m USING (source)""",
+    "sliding_events": """WITH e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL), w AS (SELECT *, (t // 900000000 - unnest(range(4))) * 900000000 AS s FROM e),
+        g AS (SELECT s, event_type, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 4) AS least, round(max(value), 4) AS most FROM w GROUP BY ALL)
+        SELECT strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S') AS start, strftime(make_timestamp(s + 3600000000), '%Y-%m-%d %H:%M:%S') AS "end", event_type, n, total, least, most FROM g WHERE s + 3600000000 <= (SELECT max(t) - 3600000000 FROM e)""",
+    "session_events": """WITH e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL), m AS (SELECT *, CASE WHEN t - lag(t) OVER u <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW u AS (PARTITION BY user_id ORDER BY t)),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM m),
+        g AS (SELECT user_id, s, min(t) AS a, max(t) + 1800000000 AS z, count(*) AS n, round(sum(value), 4) AS total FROM r GROUP BY ALL)
+        SELECT strftime(make_timestamp(a), '%Y-%m-%d %H:%M:%S') AS start, strftime(make_timestamp(z), '%Y-%m-%d %H:%M:%S') AS "end", user_id, n, total FROM g WHERE z <= (SELECT max(t) - 3600000000 FROM e)""",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 
