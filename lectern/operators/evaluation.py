@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import slug, span_form
-from lectern.operators.metrics import all_evidence, mrr, recall
+from lectern.functions.text import slug, with_span_form
+from lectern.operators.metrics import all_evidence, form, mrr, recall
 
 EVIDENCE = "array<struct<paper:string,span:string,pages:array<int>,source_chunk_id:string>>"
 
@@ -25,9 +25,12 @@ def evidence_rows(questions: DataFrame) -> DataFrame:
 
 
 def ranks(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, rank_found): the rank by which all of a question's spans are found in hits (qid, rank, text)."""
-    each = evidence_rows(questions)
-    found = each.join(hits.select("qid", "rank", "text"), "qid").where(span_form(F.col("text")).contains(span_form(F.col("span")))).groupBy("qid", "nth").agg(F.min("rank").alias("rank"))
+    """(qid, rank_found): the rank by which all of a question's spans are found in hits (qid, rank, text[, norm_text]).
+    With norm_text the spans are brought into its form, too."""
+    normal = "norm_text" in hits.columns
+    each = with_span_form(evidence_rows(questions), "span", "norm_span") if normal else evidence_rows(questions)
+    own = hits.select("qid", "rank", "norm_text" if normal else "text")
+    found = each.join(own, "qid").where(form(own, "text", "norm_text").contains(form(each, "span", "norm_span"))).groupBy("qid", "nth").agg(F.min("rank").alias("rank"))
     worst = all_evidence(each.select("qid", "nth").join(found, ["qid", "nth"], "left"))
     return questions.select("qid").join(worst, "qid", "left")
 
@@ -85,6 +88,45 @@ def compare_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("config_id").agg(*(F.round(recall(k), 6).alias(f"recall_at_{k}") for k in (1, 5)), F.round(mrr(), 6).alias("mrr_at_10"), F.count("*").alias("n_questions"))
 
 
+def grid_rows(ranks_of: dict[tuple[str, str], DataFrame], cuts: tuple[int, ...]) -> DataFrame:
+    """(strategy, retriever, k, qid, rank_found): ranks (qid, rank_found) of each (strategy, retriever), at each cut; one
+    plan for all configurations. A rank beyond the cut is none."""
+    out = None
+    for (strategy, retriever), rows in ranks_of.items():
+        part = rows.select(F.lit(strategy).alias("strategy"), F.lit(retriever).alias("retriever"), F.explode(F.array(*map(F.lit, cuts))).alias("k"), "qid", "rank_found")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("rank_found", F.when(F.col("rank_found") <= F.col("k"), F.col("rank_found")))
+
+
+FACTORS = ["strategy", "retriever", "k"]
+
+
+def grid(rows: DataFrame) -> DataFrame:
+    """(strategy, retriever, k, n, recall, mrr) of grid_rows(): each configuration, each value of each factor over all
+    others (the others null), and all; one aggregation over grouping sets."""
+    sets = [FACTORS, *([f] for f in FACTORS), []]
+    found = F.round(F.avg(F.when(F.col("rank_found").isNotNull(), 1.0).otherwise(0.0)), 6).alias("recall")
+    mean = F.round(F.avg(F.coalesce(1.0 / F.col("rank_found"), F.lit(0.0))), 6).alias("mrr")
+    return rows.groupingSets(sets, *FACTORS).agg(F.count("*").alias("n"), found, mean)
+
+
+def staged_choice(table: DataFrame, start: dict[str, object], factors: list[str] | None = None) -> DataFrame:
+    """(stage, strategy, retriever, k, recall, mrr, chosen): one factor after another takes its best value, the others as
+    they were chosen or, yet to come, as ``start`` has them. Best: recall, then mrr, then the value's order.
+
+    ``table`` is grid(): a row for each configuration comes to the driver. A start that isn't in it is an error.
+    """
+    cells = [r for r in table.collect() if all(r[f] is not None for f in FACTORS)]
+    now, out = dict(start), []
+    for stage, factor in enumerate(factors or FACTORS, 1):
+        tried = sorted((r for r in cells if all(r[f] == now[f] for f in FACTORS if f != factor)), key=lambda r: (-r.recall, -r.mrr, r[factor]))
+        if not tried:
+            raise ValueError(f"no configuration like {now}")
+        now[factor] = tried[0][factor]
+        out += [(stage, r.strategy, r.retriever, r.k, r.recall, r.mrr, r is tried[0]) for r in tried]
+    return table.sparkSession.createDataFrame(out, "stage int, strategy string, retriever string, k int, recall double, mrr double, chosen boolean")
+
+
 def run(questions: DataFrame, retrieve, chunks: DataFrame, keys: list[str], rerank=None, candidates: int = 20, k: int = 10) -> DataFrame:
     """Question rows of a retriever (queries, k) over all answerable questions in one plan. ``chunks`` has keys,
     chunk_id, text, start_page and end_page; ``rerank`` (hits, queries, k) orders ``candidates`` hits anew."""

@@ -12,9 +12,15 @@ CUTS = (1, 3, 5, 10)
 RECALL_DROP, FAITH_DROP = 0.02, 0.05
 
 
+def form(df: DataFrame, text: str, norm: str) -> Column:
+    """The form in which spans are matched: the column that text.with_span_form() has made, else for text in NFKC."""
+    return F.col(norm) if norm in df.columns else span_form(F.col(text))
+
+
 def first_ranks(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """(qid, rank_found): the first hit (qid, rank, text) whose text has the span (qid, span); null if none has."""
-    found = hits.join(spans, "qid").where(span_form(F.col("text")).contains(span_form(F.col("span")))).groupBy("qid").agg(F.min("rank").alias("rank_found"))
+    """(qid, rank_found): the first hit (qid, rank, text[, norm_text]) whose text has the span (qid, span[, norm_span]);
+    null if none has."""
+    found = hits.join(spans, "qid").where(form(hits, "text", "norm_text").contains(form(spans, "span", "norm_span"))).groupBy("qid").agg(F.min("rank").alias("rank_found"))
     return spans.select("qid").distinct().join(found, "qid", "left")
 
 

@@ -95,7 +95,10 @@ def bm25_padded(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    return _retrievers(_chunks(spark, sf_dir))
+
+
+def _retrievers(chunks):
     vectors = chunks.select((F.col("doc_id") * 1048576 + F.col("chunk_index")).alias("vec_id"), F.lit(0).alias("label"), encoding.encode_passages(F.col("text")).alias("embedding"), *KEYS)
     asked = lambda q: q.select((-1 - F.col("qid")).alias("vec_id"), F.lit(0).alias("label"), encoding.encode_queries(F.col("text")).alias("embedding"))
     return retrieval.retrievers(chunks, vectors, KEYS, asked)
@@ -152,6 +155,37 @@ def recall_mrr(spark, sf_dir):
     return _ranks(spark, sf_dir).agg(*metrics.summary())
 
 
+def norm_texts(spark, sf_dir):
+    """Chunks in the form in which spans are matched."""
+    chunks = scratch.written(_chunks(spark, sf_dir).select(*KEYS, "text"), "chunks")
+    return T.with_span_form(chunks).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("norm_text").alias("norm_md5"))
+
+
+#: Sizes of the grid's fixed windows, a tenth of which overlaps.
+GRID_SIZES = (1000, 600)
+
+
+def _grid(spark, sf_dir):
+    questions, found = scratch.written(_queries(spark, sf_dir), "questions"), {}
+    for size in GRID_SIZES:
+        chunks = scratch.written(chunking.fixed_chunks(_t(spark, sf_dir, "documents"), size, size // 10).select(*KEYS, "text"), "chunks")
+        own = _retrievers(chunks)
+        for name in ("bm25", "dense"):
+            hits = own[name](questions, 10).join(chunks, KEYS)
+            found[f"fixed_{size}", name] = metrics.first_ranks(hits.select("qid", "rank", "text"), questions.select("qid", F.col("text").alias("span")))
+    return evaluation.grid(evaluation.grid_rows(found, (5, 10)))
+
+
+def grid_search(spark, sf_dir):
+    """Two sizes of windows, two retrievers and two cuts: each configuration, each value of a factor, and all."""
+    return _grid(spark, sf_dir).withColumn("k", F.col("k").cast("long"))
+
+
+def grid_choice(spark, sf_dir):
+    """The factors chosen one after another."""
+    return evaluation.staged_choice(_grid(spark, sf_dir), {"strategy": "fixed_1000", "retriever": "bm25", "k": 5}).withColumns({c: F.col(c).cast("long") for c in ("stage", "k")})
+
+
 def context_chars(spark, sf_dir):
     hits = _bm25(spark, sf_dir, 5).join(_chunks(spark, sf_dir).select(*KEYS, "text"), KEYS)
     each = _queries(spark, sf_dir).select("qid").join(hits.groupBy("qid").agg(F.sum(F.length("text")).alias("chars")), "qid", "left")
@@ -536,7 +570,7 @@ def session_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, norm_texts, grid_search, grid_choice, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events, sliding_events, session_events,
 ]
@@ -666,6 +700,19 @@ ar AS (SELECT g.qid, qtype, question, answerable, gold_answer, coalesce(n, 0) AS
   replace(replace(raw_text, '[1]', coalesce(one, '[1]')), '[2]', coalesce(two, '[2]')) AS final_text FROM gold g JOIN sd USING (qid) LEFT JOIN bl USING (qid)),
 aw AS (SELECT *, CASE WHEN answerable AND NOT model_abstained THEN contains({_FORM.format('final_text')}, {_FORM.format('gold_answer')}) END AS gold_answer_found FROM ar)"""
 
+
+def _grid_part(size: int) -> str:
+    """Ranks of two retrievers over fixed windows of a size."""
+    chunks = _CHUNKS.replace("899", str(size - size // 10 - 1)).replace("900", str(size - size // 10)).replace("1000", str(size))
+    return f"""(WITH {chunks}, {_bm25_sql("hits", 10)}, {_HASHED}, h AS (SELECT 'bm25' AS retriever, qid, doc_id, chunk_index, rank FROM hits UNION ALL SELECT 'dense', qid, doc_id, chunk_index, rank FROM d WHERE rank <= 10),
+        m AS (SELECT retriever, qid, min(rank) AS rank_found FROM h JOIN chunks USING (doc_id, chunk_index) JOIN benchmark ON item_id = qid WHERE contains({_FORM.format("chunks.text")}, {_FORM.format("benchmark.text")}) GROUP BY ALL)
+        SELECT 'fixed_{size}' AS strategy, v.retriever, item_id AS qid, rank_found FROM benchmark CROSS JOIN (VALUES ('bm25'), ('dense')) v(retriever) LEFT JOIN m ON m.retriever = v.retriever AND m.qid = item_id)"""
+
+
+_GRID = f"""ranks AS ({" UNION ALL ".join(map(_grid_part, GRID_SIZES))}),
+cut AS (SELECT strategy, retriever, k::BIGINT AS k, CASE WHEN rank_found <= k THEN rank_found END AS r FROM ranks, (VALUES (5), (10)) c(k)),
+grid AS (SELECT strategy, retriever, k, count(*) AS n, round(avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM cut GROUP BY GROUPING SETS ((strategy, retriever, k), (strategy), (retriever), (k), ()))"""
+
 ORACLE_SQL = {
     "fixed_chunks": rf"""WITH {_CHUNKS}, r AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM chunks)
         SELECT printf('%s::fixed_size::%04d', doc_id::VARCHAR, chunk_index) AS chunk_id, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, {_HASH} AS content_hash,
@@ -726,6 +773,13 @@ ORACLE_SQL = {
     "context_blocks": "SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn, role, text) AS prompt, count(*) AS n_blocks FROM conversations GROUP BY conv_id",
     "regression_gate": f"{_EVAL}, r AS (SELECT round(avg(CASE WHEN rank_found <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5 FROM ranks) SELECT recall_at_5, 0.45::DOUBLE AS base_recall, faithfulness::DOUBLE AS faithfulness, round(0.45 - recall_at_5, 9) <= 0.02 AND coalesce(round(0.98 - faithfulness, 9) <= 0.05, true) AS passed FROM r, (VALUES (NULL), (0.93), (0.92)) t(faithfulness)",
     # What breaks a block becomes a mark, all other tags go; blocks are what stands between marks.
+    "norm_texts": rf"""WITH {_CHUNKS} SELECT doc_id, chunk_index, md5(trim(regexp_replace(lower(replace(text, chr(173), '')), '\s+', ' ', 'g'))) AS norm_md5 FROM chunks""",
+    "grid_search": f"WITH {_GRID} SELECT * FROM grid",
+    "grid_choice": f"""WITH {_GRID}, cells AS (SELECT * FROM grid WHERE strategy IS NOT NULL AND retriever IS NOT NULL AND k IS NOT NULL),
+        s1 AS (SELECT 1 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, strategy) = 1 AS chosen FROM cells WHERE retriever = 'bm25' AND k = 5),
+        s2 AS (SELECT 2 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, retriever) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND k = 5),
+        s3 AS (SELECT 3 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, k) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND retriever = (SELECT retriever FROM s2 WHERE chosen))
+        FROM s1 UNION ALL FROM s2 UNION ALL FROM s3""",
     "stitched_pieces": f"""WITH {_PIECES}, t AS (SELECT *, lag(line) OVER w AS prev, lag(place) OVER w AS prev_at FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
         c AS (SELECT *, coalesce(right(prev, 30), '') AS cut FROM t), u AS (SELECT *, CASE WHEN contains(cut, ' ') THEN cut[instr(cut, ' ') + 1:] ELSE cut END AS tail FROM c),
         s AS (SELECT *, CASE WHEN tail = '' THEN line ELSE tail || ' ' || line END AS made, CASE WHEN tail = '' THEN place ELSE prev_at + len(prev) - len(tail) END AS begin FROM u)

@@ -266,3 +266,37 @@ def test_run_sink_and_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     chunk_stream(spark, str(tmp_path / "in"), "doc_id int, text string", str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_spans_match_in_normal_form_and_ascii_stays_in_the_jvm(spark, monkeypatch):
+    real = T.nfkc
+
+    @F.pandas_udf("string")
+    def only_odd(x: pd.Series) -> pd.Series:
+        import unicodedata
+
+        assert not any(s.isascii() for s in x)
+        return x.map(lambda s: unicodedata.normalize("NFKC", s))
+
+    monkeypatch.setattr(T, "nfkc", only_odd)
+    hits = spark.createDataFrame([(1, 1, "nothing"), (1, 2, "The ﬁnal  co\u00adef\u00adﬁcient"), (2, 1, "PLAIN text"), (3, 1, None)], "qid int, rank int, text string")
+    normal = T.with_span_form(hits)
+    assert {r.norm_text for r in normal.collect()} == {"nothing", "the final coefficient", "plain text", None}
+    ev = "array<struct<paper:string,span:string,pages:array<int>,source_chunk_id:string>>"
+    asked = spark.createDataFrame([(1, [("p", "final coeﬃcient", [], None)]), (2, [("p", "plain", [], None)]), (3, [("p", "x", [], None)])], f"qid int, evidence {ev}")
+    assert {r.qid: r.rank_found for r in evaluation.ranks(normal, asked).collect()} == {1: 2, 2: 1, 3: None}
+    assert {r.qid: r.rank_found for r in evaluation.ranks(hits, asked).collect()} == {1: None, 2: 1, 3: None}
+    spans = T.with_span_form(spark.createDataFrame([(1, "FINAL coef\u00adﬁcient")], "qid int, span string"), "span", "norm_span")
+    assert metrics.first_ranks(normal, spans).first().rank_found == 2
+    monkeypatch.setattr(T, "nfkc", real)
+
+
+def test_staged_choice_fixes_one_factor_after_another(spark):
+    ranks = lambda *r: spark.createDataFrame(list(enumerate(r)), "qid int, rank_found int")
+    rows = evaluation.grid_rows({("a", "x"): ranks(1, None, None), ("a", "y"): ranks(1, 2, 3), ("b", "x"): ranks(1, 4, None), ("b", "y"): ranks(9, 9, None)}, (5, 10))
+    table = evaluation.grid(rows)
+    assert table.count() == 8 + 2 + 2 + 2 + 1 and table.where("strategy is null and retriever is null and k is null").first().n == 24
+    got = [tuple(r) for r in evaluation.staged_choice(table, {"strategy": "a", "retriever": "x", "k": 5}).where("chosen").orderBy("stage").collect()]
+    assert [r[:4] for r in got] == [(1, "b", "x", 5), (2, "b", "x", 5), (3, "b", "x", 5)]
+    with pytest.raises(ValueError):
+        evaluation.staged_choice(table, {"strategy": "c", "retriever": "z", "k": 5})
