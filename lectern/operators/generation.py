@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import slug, span_form, tokens
+from lectern.registry import Registry
 
 #: Fixed value: the answer that abstains.
 SENTINEL = "INSUFFICIENT_EVIDENCE"
@@ -69,6 +70,10 @@ def extractive(asked: DataFrame, least: float = 0.2) -> DataFrame:
     return asked.select("qid", F.when(best["share"] >= least, F.concat(best["s"], F.lit(" [1]"))).otherwise(F.lit(SENTINEL)).alias("raw_text"))
 
 
+#: Generators by name: each takes rows (qid, question, blocks) and gives (qid, raw_text[, latency_ms]).
+GENERATORS = Registry("generator", {"extractive": extractive})
+
+
 def answer_rows(questions: DataFrame, answers: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row for each question with an answer (qid, raw_text, latency_ms) over its blocks (qid, blocks).
 

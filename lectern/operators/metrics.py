@@ -10,6 +10,8 @@ from lectern.functions.text import span_form
 CUTS = (1, 3, 5, 10)
 #: Drops of recall and of faithfulness that still pass.
 RECALL_DROP, FAITH_DROP = 0.02, 0.05
+#: Ranges of scores that are swept side by side.
+PARTS = 256
 
 
 def form(df: DataFrame, text: str, norm: str) -> Column:
@@ -68,7 +70,8 @@ def tau_sweep(rows: DataFrame) -> DataFrame:
     """Per tau, of rows (score, answerable, abstained, correct): rates with answers under tau withheld.
 
     Answers that stay are those not abstained whose score is null or tau or more, so each count is a total
-    less a running sum over scores in order: one sort of a row for each distinct score, not scores times rows.
+    less a running sum over scores in order: of a row for each distinct score, not scores times rows. The scores lie in
+    PARTS ranges, of which each is summed up by itself and begins with the sums of those below.
     """
     says, asked = ~F.col("abstained"), F.col("answerable")
     judged = asked & says & F.col("correct").isNotNull()
@@ -76,8 +79,12 @@ def tau_sweep(rows: DataFrame) -> DataFrame:
     total = rows.agg(*(F.count_if(c).alias(f"all_{k}") for k, c in counts.items()), F.count_if(asked).alias("n_answerable"), F.count_if(~asked).alias("n_unanswerable"))
     each = rows.where(F.col("score").isNotNull()).groupBy(F.col("score").alias("tau")).agg(*(F.count_if(c).alias(k) for k, c in counts.items()))
     grid = tau_grid(rows).join(each, "tau", "left").fillna(0, list(counts))
-    under = Window.orderBy("tau").rowsBetween(Window.unboundedPreceding, -1)
-    run = grid.select("tau", *(F.coalesce(F.sum(k).over(under), F.lit(0)).alias(k) for k in counts)).crossJoin(F.broadcast(total))
+    ends = rows.agg((F.min("score") - 2).alias("lo"), (F.max("score") + 2).alias("hi"))
+    ranged = grid.crossJoin(F.broadcast(ends)).withColumn("part", F.coalesce(F.width_bucket("tau", "lo", "hi", F.lit(PARTS)), F.lit(0)))
+    below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    sums = ranged.groupBy("part").agg(*(F.sum(k).alias(k) for k in counts)).select("part", *(F.coalesce(F.sum(k).over(below), F.lit(0)).alias(f"below_{k}") for k in counts))
+    under = Window.partitionBy("part").orderBy("tau").rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.join(F.broadcast(sums), "part").select("tau", *((F.coalesce(F.sum(k).over(under), F.lit(0)) + F.col(f"below_{k}")).alias(k) for k in counts)).crossJoin(F.broadcast(total))
     left = lambda k: F.col(f"all_{k}") - F.col(k)
     rate = lambda n, d: F.when(d > 0, F.round(n / d, 6)).otherwise(0.0)
     a, u = F.col("n_answerable"), F.col("n_unanswerable")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from lectern.functions.text import tokens, word_counts
+from lectern.registry import Registry
 from lectern.sources.scratch import written
 
 #: Okapi constants.
@@ -231,6 +232,17 @@ def no_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
     return hits.where(F.col("rank") <= k).withColumn("prior_rank", F.col("rank"))
 
 
+#: Rerankers by name: each takes (hits, queries, chunks, keys, k) and gives the ``k`` best hits with score and rank.
+RERANKERS = Registry("reranker", {"overlap": rerank_by_overlap, "none": lambda hits, queries, chunks, keys, k=10: no_rerank(hits, k)})
+
+
+def chunk_number(doc_id: Column, chunk_index: Column) -> Column:
+    """A chunk's number for a vector index: in the order of (doc_id, chunk_index) for ids from 0 below 2^41 and fewer
+    than 2^20 chunks a document, else from 2^61 on by a hash of both."""
+    plain = doc_id.between(0, 2**41 - 1) & chunk_index.between(0, 2**20 - 1)
+    return F.when(plain, doc_id * 2**20 + chunk_index).otherwise(F.xxhash64(doc_id, chunk_index).bitwiseAND(F.lit(2**61 - 1)) + F.lit(2**61))
+
+
 def retrievers(chunks: DataFrame, vectors: DataFrame, keys: list[str], encode_queries, candidates: int = 50) -> dict:
     """dense, bm25 and hybrid over one strategy's chunks: each takes (queries, k) and gives ranked hits.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import sql
 from lectern.functions import text as T
 from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, retrieval, sampling, vector_index
 from lectern.sources import files, scratch
@@ -31,6 +32,13 @@ def fixed_chunks(spark, sf_dir):
     return c.select(chunking.chunk_id(F.col("doc_id"), "fixed_size").alias("chunk_id"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), T.content_hash(F.col("text")).alias("content_hash"), F.bround(T.single_token_ratio(F.col("text")), 4).alias("ratio"))
 
 
+def sql_chunks(spark, sf_dir):
+    """fixed_chunks by the table function of SQL."""
+    sql.install(spark)
+    sql.views(spark, {"lectern_documents": _t(spark, sf_dir, "documents")})
+    return spark.sql("SELECT doc_id, c.chunk_index, c.char_start, c.char_end, content_hash(c.text) AS content_hash, size(word_tokens(c.text)) AS n_tokens FROM lectern_documents, LATERAL chunk(text, 1000, 100) c").select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "n_tokens")), "content_hash")
+
+
 def chunk_stats(spark, sf_dir):
     c = _chunks(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     n = F.length("text")
@@ -99,7 +107,7 @@ def _hybrid(spark, sf_dir):
 
 
 def _retrievers(chunks):
-    vectors = chunks.select((F.col("doc_id") * 1048576 + F.col("chunk_index")).alias("vec_id"), F.lit(0).alias("label"), encoding.encode_passages(F.col("text")).alias("embedding"), *KEYS)
+    vectors = chunks.select(retrieval.chunk_number(F.col("doc_id"), F.col("chunk_index")).alias("vec_id"), F.lit(0).alias("label"), encoding.encode_passages(F.col("text")).alias("embedding"), *KEYS)
     asked = lambda q: q.select((-1 - F.col("qid")).alias("vec_id"), F.lit(0).alias("label"), encoding.encode_queries(F.col("text")).alias("embedding"))
     return retrieval.retrievers(chunks, vectors, KEYS, asked)
 
@@ -569,7 +577,7 @@ def session_events(spark, sf_dir):
 
 
 QUERIES = [
-    recall_mrr, fixed_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
+    recall_mrr, fixed_chunks, sql_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
     bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, norm_texts, grid_search, grid_choice, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events, sliding_events, session_events,
@@ -717,6 +725,7 @@ ORACLE_SQL = {
     "fixed_chunks": rf"""WITH {_CHUNKS}, r AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM chunks)
         SELECT printf('%s::fixed_size::%04d', doc_id::VARCHAR, chunk_index) AS chunk_id, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, {_HASH} AS content_hash,
           CASE WHEN len(ls) = 0 THEN 0.0 ELSE round_even(len(list_filter(ls, lambda x: NOT regexp_matches(x, '\s'))) / len(ls), 4) END AS ratio FROM r""",
+    "sql_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_index::BIGINT AS chunk_index, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, {_HASH} AS content_hash, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens FROM chunks",
     "chunk_stats": f"WITH {_CHUNKS} SELECT source, count(*) AS n_chunks, round(avg(len(text)), 4) AS avg_chars, min(len(text))::BIGINT AS min_chars, max(len(text))::BIGINT AS max_chars FROM chunks GROUP BY source",
     "chunk_hash_dupes": f"WITH {_CHUNKS} SELECT {_HASH} AS content_hash, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1",
     "chunk_pages": f"""WITH {_CHUNKS}, {_LINES},

@@ -199,11 +199,32 @@ def provenance(*files: str, root: str = ".") -> dict[str, str]:
     return {"code_version": digest, "git_commit": commit}
 
 
-def build_corpus(docs: DataFrame, path: str, names: tuple[str, ...] = ("fixed_size", "recursive", "section_aware")) -> dict:
-    """Chunks of all strategies under ``path``, written once and read back, and a manifest of them."""
+def build_corpus(docs: DataFrame, path: str, names: tuple[str, ...] = ("fixed_size", "recursive", "section_aware"), parameters: dict | None = None) -> dict:
+    """Chunks of all strategies under ``path``, written once and read back, and a manifest of them.
+
+    What grows with the documents is written as tables beside the chunks, and the manifest names them and their
+    number of rows: ``documents`` (source_file, sha256, n_chars), ``by_document`` (strategy, source_file, n) and
+    ``collisions`` (chunk_id, n), all of them.
+    """
+    import platform
+
+    import pyspark
+
     from lectern.operators import chunking
 
+    spark = docs.sparkSession
     write_chunks(chunking.all_strategies(docs, names), path)
-    chunks = read_chunks(docs.sparkSession, path)
+    chunks = read_chunks(spark, path)
     stats = {r.strategy: r.asDict() for r in chunking.statistics(chunks).collect()}
-    return {"generated_at": datetime.now(timezone.utc).isoformat(), "strategies": stats, "chunk_id_collisions": [r.chunk_id for r in chunking.collisions(chunks).orderBy("chunk_id").limit(1000).collect()]}
+    tables = {
+        "documents": docs.select(F.col("doc_id").cast("string").alias("source_file"), F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("n_chars")),
+        "by_document": chunking.by_document(chunks),
+        "collisions": chunking.collisions(chunks),
+    }
+    counts = {}
+    for name, df in tables.items():
+        place = f"{path.rstrip('/')}-{name}"
+        df.write.mode("overwrite").parquet(place)
+        counts[name] = {"path": place, "rows": spark.read.schema(df.schema).parquet(place).count()}
+    versions = {"python": platform.python_version(), "spark": pyspark.__version__}
+    return {"generated_at": datetime.now(timezone.utc).isoformat(), "parameters": parameters or {"strategies": list(names)}, "versions": versions, "strategies": stats, "tables": counts, "chunk_id_collisions": counts["collisions"]["rows"]}

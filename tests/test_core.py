@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import cli
+from lectern import cli, registry, sql
 from lectern.functions import text as T
 from lectern.operators import chunking, encoding, evaluation, generation, judging, layout, matching, metrics, sampling
 from lectern.plans import queries as Q
@@ -217,9 +217,55 @@ def test_command_line(spark, tmp_path):
     where = [str(tmp_path / "docs"), str(tmp_path / "gold.jsonl")]
     assert cli.main(["retrieve", *where, str(tmp_path / "out"), "--strategy", "fixed_size", "--retriever", "hybrid"], spark) == 0
     base = ["--strategy", "fixed_size", "--baseline", str(tmp_path / "base.json")]
-    assert cli.main(["gate", *where, *base], spark) == 1
+    assert cli.main(["gate", *where, *base, "--skip-faithfulness"], spark) == 1
     assert cli.main(["gate", *where, *base, "--update-baseline", "first"], spark) == 0
+    assert 0 < files.read_baseline(str(tmp_path / "base.json"))["faithfulness"] <= 1
     assert cli.main(["gate", *where, *base], spark) == 0
+    assert cli.gate({"recall_at_5": 1.0, "faithfulness": 0.9}, 1.0, 0.8) == (1, "regression: faithfulness 0.9000 -> 0.8000")
+    assert cli.gate({"recall_at_5": 1.0, "faithfulness": 0.9}, 1.0, None) == (0, "no regression (faithfulness not compared)")
+
+
+def test_command_line_pages_rerank_generation_and_ids(spark, tmp_path):
+    """Ids that share their digits stay apart; lines give pages; a run's four tables are written."""
+    lines = [(10**13 + d, k, k // 3 + 1, f"line {k} of document{d} " + "filler " * 12) for d in range(4) for k in range(9)]
+    spark.createDataFrame(lines, "doc_id long, line_no int, page_number int, line string").write.parquet(str(tmp_path / "lines"))
+    docs = {d: "\n".join(x[3] for x in lines if x[0] == d) for d in {x[0] for x in lines}}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    asked = [{"qid": f"{letter}1", "question": f"line 7 of document{d}", "qtype": "factual", "paper": str(10**13 + d), "gold_pages": [3], "gold_span": f"line 7 of document{d}", "gold_answer": f"document{d}", "answerable": True} for d, letter in enumerate("abcd")]
+    asked.append({"qid": "e1", "question": "zebra crossing", "qtype": "none", "answerable": False})
+    (tmp_path / "gold.jsonl").write_text("\n".join(map(json.dumps, asked)))
+    where = [str(tmp_path / "docs"), str(tmp_path / "gold.jsonl"), str(tmp_path / "out"), "--strategy", "fixed_size", "--lines", str(tmp_path / "lines")]
+    assert cli.main(["retrieve", *where, "--rerank", "--candidate-k", "20"], spark) == 0
+    rows = spark.read.option("header", True).csv(str(next((tmp_path / "out").iterdir()) / "results"))
+    got = {r.qid: r for r in rows.collect()}
+    assert got.keys() == {"a1", "b1", "c1", "d1"} and all(r.rank_found and r.page_overlap_top10 == "True" for r in got.values())
+    assert cli.main(["generate", *where, "--retriever", "hybrid"], spark) == 0
+    made = next(p for p in (tmp_path / "out").iterdir() if (p / "tau_sweep").exists())
+    said = files.typed_answers(spark.read.options(header=True, multiLine=True, escape=chr(34)).csv(str(made / "results")))
+    assert {r.qid for r in said.collect()} == {"a1", "b1", "c1", "d1", "e1"}
+    assert files.read_contexts(spark, str(made / "contexts")).count() >= 4
+
+
+def test_registries_and_functions_by_name(spark):
+    assert chunking.STRATEGIES["fixed_size"] is chunking.fixed_chunks
+    with pytest.raises(ValueError, match="no strategy nothing"):
+        chunking.STRATEGIES["nothing"]
+    own = registry.Registry("thing", {"a": len})
+    assert own.register("b")(max) is max and own["b"] is max
+    with pytest.raises(ValueError, match="already"):
+        own.register("a", min)
+    sql.install(spark)
+    sql.install(spark)  # anew
+    docs = spark.createDataFrame([(1, "ab " * 40), (2, None), (3, ""), (4, " x\ny ")], "doc_id int, text string").withColumn("chunk_index", F.lit("z"))
+    sql.views(spark, {"some_documents": docs})
+    got = spark.sql("SELECT doc_id, c.* FROM some_documents, LATERAL chunk(text, 50, 7) c")
+    want = chunking.fixed_chunks(docs, 50, 7)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert {tuple(r) for r in spark.sql("SELECT doc_id, t.* FROM some_documents, LATERAL terms(text) t").collect()} == {(1, "ab", 40), (4, "x", 1), (4, "y", 1)}
+    assert [tuple(r) for r in spark.sql("SELECT l.* FROM some_documents, LATERAL text_lines(text) l WHERE doc_id = 4 ORDER BY 1").collect()] == [(0, " x"), (1, "y ")]
+    for line in ("RESULTS", " 2.1 Second Part", "3 lower case", "", "x" * 90):
+        r = spark.createDataFrame([(line,)], "l string").select(T.is_header(F.col("l")).alias("a"), T.content_hash(F.col("l")).alias("b"), F.expr("is_header_line(l)").alias("c"), F.expr("content_hash(l)").alias("d")).first()
+        assert (r.a, r.b) == (r.c, r.d)
 
 
 def test_layout_orders_columns_in_bands(spark):
