@@ -29,6 +29,8 @@ from .shared import prepare, stored, table, trim
 
 #: Most words whose ids every worker holds; about 50 bytes each.
 SHARED = 500_000
+#: Bytes of a word that may be sent to all tasks.
+LONGEST = 64
 #: Most words beyond those that a worker keeps, and bytes of words that one replay takes.
 OWN, REPLAY = 300_000, 4_000_000
 #: Bytes of text whose new words are replayed together, and most chunks whose ids a worker keeps.
@@ -459,10 +461,12 @@ def replayed(words: DataFrame, model) -> DataFrame:
 
 
 def corpus_model(docs: DataFrame, path: str, pat: str, text_col: str = "text", most: int | None = None):
-    """A broadcast of the replay, and of the most widespread words and their ids, ``most`` (SHARED) at most."""
+    """A broadcast of the replay, and of the most widespread words of up to LONGEST bytes and their ids, ``most`` (SHARED)
+    at most."""
     spark = prepare(docs.sparkSession)
     replay = Replay.of(load_ranks(path))
-    counted = stored(corpus_words(docs, path, pat, text_col), "words")
+    # A longer word is replayed where it occurs: what is sent has SHARED * LONGEST bytes at most, and their ids.
+    counted = stored(corpus_words(docs, path, pat, text_col), "words").where(F.octet_length("word") <= LONGEST)
     sizes, total, least = sorted(((r.n, r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True), 0, None
     for n, count in sizes:
         total += count

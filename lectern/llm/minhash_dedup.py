@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .components import components
 from .pretoken import spans
-from .shared import fresh, prepare, small, stored, table, text_or_empty, trim
+from .shared import dealt_join, fresh, prepare, small, stored, table, text_or_empty, trim
 
 BINS, BANDS, ROWS = 160, 32, 5
 #: Bytes of shingle hashes in one side of a block of comparisons.
@@ -232,7 +232,8 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     least = stored(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
     changed = roots.join(least, "root").where("copies > 1 or component_id <> rep").select("digest", "component_id")
     plain = signed.select("id", "key", "n_shingles", "digest")
-    found = plain.where("id is not null and n_shingles > 0").join(small(stored(changed, "changed")), "digest", "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    # A class may have a third of all texts.
+    found = dealt_join(plain.where("id is not null and n_shingles > 0"), stored(changed, "changed"), ["digest"], "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return found.union(plain.where("id is null or n_shingles = 0").select("id", "key", "n_shingles", F.col("id").alias("component_id")))
 
 
