@@ -63,6 +63,19 @@ def score_with(records: DataFrame, judge: Callable[[dict], float | None], metric
     return records.mapInPandas(run, f"qid {records.schema['qid'].dataType.simpleString()}, metric string, score double")
 
 
+def judge_runs(runs: dict[str, tuple[DataFrame, DataFrame]], questions: DataFrame, judge: Callable[[DataFrame], DataFrame] = score_by_overlap) -> DataFrame:
+    """(config, qid, metric, score) of several runs (answer rows, context records) over one list of questions; all runs'
+    records are judged in one plan, so that a judge that calls a model is called by all tasks at once. A run without
+    records has no rows."""
+    out = None
+    for name, (rows, contexts) in runs.items():
+        part = judge_records(questions, rows, contexts).withColumn("config", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    # A record's number tells runs of one question apart; it comes back as (config, qid).
+    keyed = out.withColumn("qid", F.struct("config", "qid")).drop("config")
+    return judge(keyed).select("qid.config", "qid.qid", "metric", "score")
+
+
 def aggregate_scores(scores: DataFrame, by: str = "metric") -> DataFrame:
     """(by, mean, n_scored, n_total); nulls count in the total only."""
     some = F.when(~F.isnan("score"), F.col("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import slug, span_form
+from lectern.operators.matching import match_in_rounds
 
 
 def gold_pages(start: Column, end: Column) -> Column:
@@ -43,6 +44,31 @@ def fill_in_order(pool: DataFrame, quotas: list[tuple[str, DataFrame]], by: str)
     return taken
 
 
+def fill_comparative(pairs: DataFrame, used: DataFrame, quota: int = 10) -> DataFrame:
+    """(a, b, rank): the first ``quota`` accepted pairs by rank, no passage in two of them or in ``used`` (chunk_id).
+
+    ``pairs`` (a, b, rank, accepted) are drafts of two passages. Pairs of one rank are in the order of a, then b; pairs
+    with a null passage or rank, or of a passage with itself, are left out.
+    """
+    open_ = pairs.where("accepted").join(used.select(F.col("chunk_id").alias("a")), "a", "left_anti").join(used.select(F.col("chunk_id").alias("b")), "b", "left_anti")
+    one = F.lit(0)
+    made = match_in_rounds(open_.select("a", "b", one.alias("group_a"), one.alias("group_b"), (-F.col("rank").cast("double")).alias("score")), quota)
+    return made.join(open_.select("a", "b", "rank").distinct(), ["a", "b"]).where((-F.col("rank").cast("double")) == F.col("score")).select("a", "b", "rank")
+
+
+def candidate_pool(chunks: DataFrame, used: DataFrame, by: str, first: dict[str, Column], size: int, seed: int = 0) -> DataFrame:
+    """(qtype, by, chunk_id, rank): for each question type the ``size`` first chunks of a group, those that its test in
+    ``first`` holds for before the others, each in an order of hashes that the seed decides; without ``used`` chunks.
+
+    ``chunks`` has chunk_id, by, and what the tests look at; a test that is null doesn't hold.
+    """
+    kinds = F.array(*(F.struct(F.lit(q).alias("qtype"), F.coalesce(test, F.lit(False)).alias("primary")) for q, test in first.items()))
+    rows = chunks.join(used.select("chunk_id").distinct(), "chunk_id", "left_anti").select("chunk_id", by, F.explode(kinds).alias("k")).select("chunk_id", by, "k.*")
+    order = [F.desc("primary"), F.md5(F.concat_ws(":", F.lit(str(seed)), "qtype", "chunk_id")), F.asc("chunk_id")]
+    nth = F.row_number().over(Window.partitionBy("qtype", by).orderBy(*order))
+    return rows.withColumn("rank", nth).where(F.col("rank") <= size).select("qtype", by, "chunk_id", "rank")
+
+
 def draft_reason(draft: Column, text: Column) -> Column:
     """Why a draft (JSON) for a passage is turned down, the first reason that holds; null for a good one."""
     field = lambda name: F.get_json_object(draft, f"$.{name}")

@@ -550,6 +550,31 @@ def greedy_pairs(spark, sf_dir):
     return matching.match_in_rounds(matching.similar_pairs(_t(spark, sf_dir, "embeddings"), PAIR_COSINE)).select("a", "b", "score")
 
 
+def comparative_fill(spark, sf_dir):
+    """Ten pairs of different labels, the closest first, of those whose draft is accepted; labelled documents' ids are used."""
+    pairs = matching.similar_pairs(_t(spark, sf_dir, "embeddings"), PAIR_COSINE)
+    ranked = pairs.select("a", "b", (1 - F.col("score")).alias("rank"), ((F.col("a") + F.col("b")) % 3 != 0).alias("accepted"))
+    used = _t(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("chunk_id"))
+    return sampling.fill_comparative(ranked, used).select("a", "b", F.round("rank", 6).alias("rank"))
+
+
+def typed_pool(spark, sf_dir):
+    """Five chunks of each source for each type of question, in an order that a seed decides."""
+    chunks = _chunks(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    rows = chunks.select(chunking.chunk_id(F.col("doc_id"), "fixed_size").alias("chunk_id"), "source", "text")
+    used = rows.where(F.substring(F.md5("chunk_id"), 1, 1) == "0").select("chunk_id")
+    first = {"numerical": T.looks_numerical(F.col("text")), "limitation": F.col("text").rlike("(?i)" + T.LIMITING_TEXT), "factual": F.lit(True)}
+    return sampling.candidate_pool(rows, used, "source", first, 5, 7).withColumn("rank", F.col("rank").cast("long"))
+
+
+def judged_runs(spark, sf_dir):
+    """Two runs of answers to the benchmark's questions, over three blocks and over five, judged together."""
+    asked = _gold(spark, sf_dir)
+    hits = scratch.written(_paged_hits(spark, sf_dir), "hits")
+    made = {f"top_{k}": generation.run(asked, hits, k=k) for k in (3, 5)}
+    return judging.aggregate_scores(judging.judge_runs(made, asked).withColumn("metric", F.concat_ws(".", "config", "metric")))
+
+
 def hourly_events(spark, sf_dir):
     """Tumbling hours of events by type."""
     e = _t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -578,7 +603,7 @@ def session_events(spark, sf_dir):
 
 QUERIES = [
     recall_mrr, fixed_chunks, sql_chunks, chunk_stats, chunk_hash_dupes, chunk_pages, chunk_records, corpus_statistics, chunking_report, chunk_id_collisions, token_truncation, truncation_report, collection_metadata, non_content_filter, limitation_heuristic,
-    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, norm_texts, grid_search, grid_choice, context_chars, latency_percentiles, tau_grid, tau_sweep,
+    bm25_idf, bm25_topk, bm25_incremental, bm25_padded, hashed_dense, rrf_fusion, rrf_padded, rerank_standin, dense_topk, dense_ann, cross_pairs, similar_pairs, greedy_pairs, comparative_fill, typed_pool, judged_runs, span_first_rank, multi_evidence_rank, page_overlap, question_rows, run_aggregate, run_breakdown, norm_texts, grid_search, grid_choice, context_chars, latency_percentiles, tau_grid, tau_sweep,
     quota_apportion, quota_fill, candidate_pool, gold_pages, draft_validation, judge_scores, judge_join, overlap_scores, faithfulness_records, replay_verify, metrics_rollup, context_blocks, context_records, prompts, answer_rows, abstention_diagnostics, regression_gate,
     reading_order, page_assembly, toc_drop, layout_audit, html_blocks, html_pages, sections, section_headers, section_aware_chunks, section_aware_600, section_aware_1500, section_aware_pages, stitched_pieces, merged_pieces, recursive_chunks, merged_chunks, hourly_events, sliding_events, session_events,
 ]
@@ -758,6 +783,16 @@ ORACLE_SQL = {
             lambda s, x: CASE WHEN list_contains(s.used, x.a) OR list_contains(s.used, x.b) OR len(list_filter(s.lent, lambda g: g = x.g)) >= 3 THEN s
                 ELSE {{'a': x.a, 'b': x.b, 'score': x.score, 'g': x.g, 'used': list_concat(s.used, [x.a, x.b]), 'lent': list_append(s.lent, x.g), 'taken': list_append(s.taken, {{'a': x.a, 'b': x.b, 'score': x.score}})}} END).taken AS t FROM o)
         SELECT r.a, r.b, r.score FROM (SELECT unnest(t) AS r FROM w)""",
+    "comparative_fill": f"""{_SIMILAR},
+        o AS (SELECT list({{'a': a, 'b': b, 'rank': 1 - score, 'used': []::BIGINT[], 'taken': []::STRUCT(a BIGINT, b BIGINT, rank DOUBLE)[]}} ORDER BY 1 - score, a, b) AS l FROM sp
+            WHERE (a + b) % 3 <> 0 AND a NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND b NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+        w AS (SELECT list_reduce(list_prepend({{'a': -1, 'b': -1, 'rank': 0.0, 'used': []::BIGINT[], 'taken': []::STRUCT(a BIGINT, b BIGINT, rank DOUBLE)[]}}, l),
+            lambda s, x: CASE WHEN list_contains(s.used, x.a) OR list_contains(s.used, x.b) OR len(s.taken) >= 10 THEN s
+                ELSE {{'a': x.a, 'b': x.b, 'rank': x.rank, 'used': list_concat(s.used, [x.a, x.b]), 'taken': list_append(s.taken, {{'a': x.a, 'b': x.b, 'rank': x.rank}})}} END).taken AS t FROM o)
+        SELECT r.a, r.b, round(r.rank, 6) AS rank FROM (SELECT unnest(t) AS r FROM w)""",
+    "typed_pool": rf"""WITH {_CHUNKS}, p AS (SELECT source, printf('%s::fixed_size::%04d', doc_id::VARCHAR, chunk_index) AS chunk_id, regexp_matches(regexp_replace(text, '\[\d+(?:,\s*\d+)*\]', '', 'g'), '\d\s?%|\b\d{{2,}}\b') AS num, regexp_matches(text, '(?i)\blimitation') AS lim FROM chunks),
+        k AS (SELECT source, chunk_id, q AS qtype, CASE q WHEN 'numerical' THEN num WHEN 'limitation' THEN lim ELSE true END AS "primary" FROM p, (VALUES ('numerical'), ('limitation'), ('factual')) t(q) WHERE substr(md5(chunk_id), 1, 1) <> '0')
+        SELECT qtype, source, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qtype, source ORDER BY "primary" DESC, md5('7:' || qtype || ':' || chunk_id), chunk_id) AS rank FROM k) WHERE rank <= 5""",
     "span_first_rank": f"{_EVAL} SELECT qid, rank_found FROM ranks",
     "recall_mrr": _EVAL + " SELECT " + ", ".join(f"round(avg(CASE WHEN rank_found <= {k} THEN 1.0 ELSE 0 END), 6) AS recall_at_{k}" for k in metrics.CUTS) + ", round(avg(CASE WHEN rank_found <= 10 THEN 1.0::DOUBLE / rank_found ELSE 0 END), 6) AS mrr_at_10, count(*) AS n_questions, count(rank_found) AS n_hits FROM ranks",
     "context_chars": f"""WITH {_CHUNKS}, {_bm25_sql('hits', 5)}, e AS (SELECT item_id, sum(len(c.text)) AS chars FROM benchmark LEFT JOIN hits ON qid = item_id LEFT JOIN chunks c ON c.doc_id = hits.doc_id AND c.chunk_index = hits.chunk_index GROUP BY item_id)
@@ -785,9 +820,9 @@ ORACLE_SQL = {
     "norm_texts": rf"""WITH {_CHUNKS} SELECT doc_id, chunk_index, md5(trim(regexp_replace(lower(replace(text, chr(173), '')), '\s+', ' ', 'g'))) AS norm_md5 FROM chunks""",
     "grid_search": f"WITH {_GRID} SELECT * FROM grid",
     "grid_choice": f"""WITH {_GRID}, cells AS (SELECT * FROM grid WHERE strategy IS NOT NULL AND retriever IS NOT NULL AND k IS NOT NULL),
-        s1 AS (SELECT 1 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, strategy) = 1 AS chosen FROM cells WHERE retriever = 'bm25' AND k = 5),
-        s2 AS (SELECT 2 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, retriever) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND k = 5),
-        s3 AS (SELECT 3 AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, k) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND retriever = (SELECT retriever FROM s2 WHERE chosen))
+        s1 AS (SELECT 1::BIGINT AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, strategy) = 1 AS chosen FROM cells WHERE retriever = 'bm25' AND k = 5),
+        s2 AS (SELECT 2::BIGINT AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, retriever) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND k = 5),
+        s3 AS (SELECT 3::BIGINT AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, k) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND retriever = (SELECT retriever FROM s2 WHERE chosen))
         FROM s1 UNION ALL FROM s2 UNION ALL FROM s3""",
     "stitched_pieces": f"""WITH {_PIECES}, t AS (SELECT *, lag(line) OVER w AS prev, lag(place) OVER w AS prev_at FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
         c AS (SELECT *, coalesce(right(prev, 30), '') AS cut FROM t), u AS (SELECT *, CASE WHEN contains(cut, ' ') THEN cut[instr(cut, ' ') + 1:] ELSE cut END AS tail FROM c),

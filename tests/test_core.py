@@ -346,3 +346,12 @@ def test_staged_choice_fixes_one_factor_after_another(spark):
     assert [r[:4] for r in got] == [(1, "b", "x", 5), (2, "b", "x", 5), (3, "b", "x", 5)]
     with pytest.raises(ValueError):
         evaluation.staged_choice(table, {"strategy": "c", "retriever": "z", "k": 5})
+
+
+def test_runs_are_judged_together_as_alone(spark):
+    q = spark.createDataFrame([(k, f"what is item{k}", "factual", True, f"item{k}", [("p", "x", [1], None)]) for k in range(6)], "qid int, question string, qtype string, answerable boolean, gold_answer string, evidence array<struct<paper:string,span:string,pages:array<int>,source_chunk_id:string>>")
+    hits = spark.createDataFrame([(k, r, f"d{k}::f::{r:04d}", f"Here item{k} is block {r}. More words.", 1, 1, 1.0 / r) for k in range(6) for r in range(1, 4)], "qid int, rank int, chunk_id string, text string, start_page int, end_page int, score double")
+    runs_ = {f"k{k}": generation.run(q, hits, k=k) for k in (1, 3)}
+    got = {(r.config, r.qid, r.metric): r.score for r in judging.judge_runs(runs_, q).collect()}
+    want = {(name, r.qid, r.metric): r.score for name, (rows, contexts) in runs_.items() for r in judging.score_by_overlap(judging.judge_records(q, rows, contexts)).collect()}
+    assert got == want and len(got) > 20

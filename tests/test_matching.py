@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import matching
+from lectern.operators import matching, sampling
 from lectern.plans import queries as Q
 
 SF = "/root/testdata"
@@ -107,3 +107,18 @@ def test_greedy_pairs_query_matches_the_walk(spark):
     sf = f"{SF}/sf0.1"
     pairs = [(r.a, r.b, r.group_a, r.group_b, r.score) for r in matching.similar_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), Q.PAIR_COSINE).collect()]
     assert sorted((r.a, r.b, r.score) for r in Q.queries()["greedy_pairs"](spark, sf).collect()) == sorted((a, b, s) for a, b, _, _, s in walk(pairs, 3))
+
+
+def test_comparative_fill_takes_the_first_accepted(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), rng.randrange(40), rng.randrange(30), rng.random() < 0.6) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, rank int, accepted boolean")
+    used = {3, 7, 20}
+    want, seen = [], set(used)
+    for a, b, rank, ok in sorted(set(rows), key=lambda p: (p[2], p[0], p[1])):
+        if ok and a != b and a not in seen and b not in seen and len(want) < 10:
+            seen |= {a, b}
+            want.append((a, b, rank))
+    got = sampling.fill_comparative(df, spark.createDataFrame([(u,) for u in used], "chunk_id int"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert sampling.fill_comparative(df.where("false"), spark.createDataFrame([], "chunk_id int")).count() == 0
