@@ -186,7 +186,7 @@ def _grid(spark, sf_dir):
 
 def grid_search(spark, sf_dir):
     """Two sizes of windows, two retrievers and two cuts: each configuration, each value of a factor, and all."""
-    return _grid(spark, sf_dir).withColumn("k", F.col("k").cast("long"))
+    return _grid(spark, sf_dir).withColumn("k", F.col("k").cast("string"))
 
 
 def grid_choice(spark, sf_dir):
@@ -696,7 +696,7 @@ b3 AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN la
 
 _HEADED = _LINES + r""",
 hl AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 3 THEN ' 2.1 Second Part' WHEN line_no % 11 = 5 THEN 'RESULTS' WHEN line_no % 13 = 6 THEN '3 lower case is none' ELSE line END AS line FROM lines),
-hh AS (SELECT *, trim(line) AS t, len(trim(line)) BETWEEN 1 AND 80 AND (regexp_matches(trim(line), '^\d+(\.\d+)*\.?\s+[A-Z][A-Za-z][A-Za-z\s\-:]{2,60}$') OR lower(trim(line)) IN (""" + ", ".join(f"'{x}'" for x in T.NAMED_HEADERS) + r""")) AS h FROM hl),
+hh AS (SELECT *, trim(line) AS t, len(trim(line)) BETWEEN 1 AND 80 AND (regexp_matches(trim(line), '^\d+(\.\d+)*\.?\s+[A-Z][A-Za-z][A-Za-z\s\-:]{2,60}$') OR regexp_matches(trim(line), '(?i)""" + T.NAMED_HEADER + r"""')) AS h FROM hl),
 hn AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM hh)"""
 _RECORDS = _CHUNKS + rf""",
 rec AS (SELECT printf('%s::fixed_size::%04d', doc_id::VARCHAR, chunk_index) AS chunk_id, {_HASH} AS content_hash, text, doc_id::VARCHAR AS source_file, 'fixed_size' AS strategy, chunk_index::BIGINT AS chunk_index, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end,
@@ -818,7 +818,7 @@ ORACLE_SQL = {
     "regression_gate": f"{_EVAL}, r AS (SELECT round(avg(CASE WHEN rank_found <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5 FROM ranks) SELECT recall_at_5, 0.45::DOUBLE AS base_recall, faithfulness::DOUBLE AS faithfulness, round(0.45 - recall_at_5, 9) <= 0.02 AND coalesce(round(0.98 - faithfulness, 9) <= 0.05, true) AS passed FROM r, (VALUES (NULL), (0.93), (0.92)) t(faithfulness)",
     # What breaks a block becomes a mark, all other tags go; blocks are what stands between marks.
     "norm_texts": rf"""WITH {_CHUNKS} SELECT doc_id, chunk_index, md5(trim(regexp_replace(lower(replace(text, chr(173), '')), '\s+', ' ', 'g'))) AS norm_md5 FROM chunks""",
-    "grid_search": f"WITH {_GRID} SELECT * FROM grid",
+    "grid_search": f"WITH {_GRID} SELECT strategy, retriever, k::VARCHAR AS k, n, recall, mrr FROM grid",
     "grid_choice": f"""WITH {_GRID}, cells AS (SELECT * FROM grid WHERE strategy IS NOT NULL AND retriever IS NOT NULL AND k IS NOT NULL),
         s1 AS (SELECT 1::BIGINT AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, strategy) = 1 AS chosen FROM cells WHERE retriever = 'bm25' AND k = 5),
         s2 AS (SELECT 2::BIGINT AS stage, strategy, retriever, k, recall, mrr, row_number() OVER (ORDER BY recall DESC, mrr DESC, retriever) = 1 AS chosen FROM cells WHERE strategy = (SELECT strategy FROM s1 WHERE chosen) AND k = 5),

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.functions.text import BLANK, HEADER_LENGTH, LIMITING_SECTION, LIMITING_TEXT, NAMED_HEADERS, NON_CONTENT, NUMBERED_HEADER
+from lectern.functions.text import BLANK, HEADER_LENGTH, LIMITING_SECTION, LIMITING_TEXT, NAMED_HEADER, NON_CONTENT, NUMBERED_HEADER
 
 
 def _quoted(text: str) -> str:
@@ -28,7 +28,7 @@ SCALARS = [
     ("word_tokens(t STRING)", "ARRAY<STRING>", "regexp_extract_all(lower(t), '([a-z0-9]+)', 1)"),
     ("content_hash(t STRING)", "STRING", r"substring(sha2(trim(regexp_replace(t, '(?U)\\s+', ' ')), 256), 1, 12)"),
     ("paper_slug(id STRING)", "STRING", "split_part(id, '::', 1)"),
-    ("is_header_line(line STRING)", "BOOLEAN", f"length({_STRIP.format('line')}) BETWEEN 1 AND {HEADER_LENGTH} AND ({_STRIP.format('line')} RLIKE {_quoted('(?U)' + NUMBERED_HEADER)} OR lower({_STRIP.format('line')}) IN ({_in(NAMED_HEADERS)}))"),
+    ("is_header_line(line STRING)", "BOOLEAN", f"length({_STRIP.format('line')}) BETWEEN 1 AND {HEADER_LENGTH} AND ({_STRIP.format('line')} RLIKE {_quoted('(?U)' + NUMBERED_HEADER)} OR {_STRIP.format('line')} RLIKE {_quoted('(?iu)' + NAMED_HEADER)})"),
     ("is_non_content_label(section STRING)", "BOOLEAN", f"lower({_STRIP.format("coalesce(section, '')")}) IN ({_in(NON_CONTENT)})"),
     ("is_limiting(section STRING, t STRING)", "BOOLEAN", f"coalesce(section, '') RLIKE {_quoted('(?i)' + LIMITING_SECTION)} OR coalesce(t, '') RLIKE {_quoted('(?i)' + LIMITING_TEXT)}"),
 ]
