@@ -55,6 +55,14 @@ def test_sketch_never_counts_low_and_merges(spark):
     assert found[times >= 30].all() and found.sum() < 1.5 * (times >= 30).sum()
 
 
+# 8
+
+
+def test_op8_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    same(registry.queries()["op8_minhash_dedup"](spark, sf).toPandas(), by_sql("op8_minhash_dedup", f"{sf}/documents.parquet"), ["doc_id"])
+
+
 # 11
 
 
