@@ -1,8 +1,8 @@
 """Line dedup (4): content-defined chunks of lines, removed where the same bytes stand elsewhere.
 
-1. Chunks. A chunk ends after a line where the rolling hash over the last SPAN lines' hashes is 0 modulo DIVISOR, or
-   at MOST lines, so an inserted line moves only the boundaries beside it. In a run of three equal lines or more,
-   where a rolling hash stands still, a chunk ends before the run and after each second line of it.
+1. Chunks. A chunk of LEAST lines or more ends after a line where the rolling hash over the last SPAN lines' hashes is 0
+   modulo DIVISOR, or at MOST lines, so an inserted line moves only the boundaries near it. In a run of three equal
+   lines or more, where a rolling hash stands still, a chunk ends before the run and after each second line of it.
 2. Repeats. Chunks of two lines or more with one 128-bit hash stay at their first place in the smallest document and
    are removed everywhere else. Chunks don't overlap, so a chunk that stays stays whole.
 3. Neighbours. A repeated passage begins and ends within chunks. From each removed chunk on, lines of the chunks beside
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, dealt_join, fresh, prepare, small, stored, table, text_or_empty
 
-SPAN, DIVISOR, MOST, RUN = 2, 3, 64, 3
+SPAN, DIVISOR, LEAST, MOST, RUN = 2, 2, 2, 64, 3
 _BASE, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 #: Rows of a frame that are cut into lines at once.
 ROWS = 1000
@@ -32,7 +32,7 @@ ROWS = 1000
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, end) of each chunk, in order; together they are all lines."""
-    ends, rolled, hashes = set(), 0, [xxhash.xxh3_64_intdigest(x) for x in lines]
+    ends, hard, rolled, hashes = set(), set(), 0, [xxhash.xxh3_64_intdigest(x) for x in lines]
     gone = pow(_BASE, SPAN, 2**64)
     for i, h in enumerate(hashes):
         rolled = (rolled * _BASE + h) & _MASK
@@ -47,14 +47,15 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
             to += 1
         if to - at >= RUN:
             ends.difference_update(range(at + 1, to))
-            ends.update({at, to}, range(at + 2, to, 2))
+            hard.update({at, to}, range(at + 2, to, 2))
         at = to
     out, begin = [], 0
-    for end in sorted((ends | {len(lines)}) - {0}):
+    hard.add(len(lines))
+    for end in sorted((ends | hard) - {0}):
         while end - begin > MOST:
             out.append((begin, begin + MOST))
             begin += MOST
-        if end > begin:
+        if end - begin >= LEAST or (end in hard and end > begin):
             out.append((begin, end))
             begin = end
     return out
