@@ -263,7 +263,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that minhash_dedup() keeps; only what goes is joined to them."""
+    """The rows of ``docs`` that minhash_dedup() keeps; only what goes is joined to them. Null, empty and blank texts and
+    rows without id stay, rows that repeat an id and its text go or stay together, an empty table gives none."""
     near_id, near_key = fresh(docs, "near_id", "near_key")
     gone = stored(_near_rows(docs, id_col, text_col, width, percent).where("id <> component_id").select(F.col("id").alias(near_id), F.col("key").alias(near_key)).distinct(), "gone")
     same = (F.col(id_col).cast("long") == F.col(near_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(near_key))

@@ -99,7 +99,8 @@ def coder(path: str) -> Chunked:
 
 
 def token_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """(id_col, part, start, ids): ids with the separator, and the ids before them in their partition."""
+    """(id_col, part, start, ids): ids with the separator, and the ids before them in their partition. A null or empty
+    text is its separator; repeated rows and null ids are rows as any; an empty table gives none."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -154,7 +155,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, id_col: str = "doc_id",
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """(sequence_id, ids, n_tokens): each sequence's ids joined; at most a window's, so a row is bounded."""
+    """(sequence_id, ids, n_tokens): each sequence's ids joined; at most a window's, so a row is bounded. Without pieces
+    there are none; pieces have an offset each, so none are null or repeat."""
     joined = F.expr("aggregate(transform(array_sort(collect_list(struct(offset, ids))), x -> x.ids), cast('' as binary), (a, x) -> concat(a, x))")
     return pieces.groupBy("sequence_id").agg(joined.alias("ids"), F.sum("length").alias("n_tokens"))
 

@@ -131,7 +131,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, digest and listing of secret_spans() for each row."""
+    """Counts, digest and listing of secret_spans() for each row, repeated rows and rows without id as any. A null or
+    empty text has no spans: counts of 0, the digest of an empty line, an empty listing. An empty table gives none."""
     found = secret_spans(docs, id_col, text_col)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(id_col, *(n(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)), F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.col("spans")).alias("spans"))

@@ -197,7 +197,8 @@ class Network:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Of each whole text, from 0 to 1; a text without words has the share of toxic rows in the sample.
 
-        Scores are rounded, so that the texts that happen to be scored together make no difference in them.
+        Scores are rounded, so that a difference by the texts that happen to be scored together is rare: only where a
+        score lies at the edge of two roundings.
         """
         raw, out = [(t or "").encode() for t in texts], np.full(len(texts), self.prior, np.float64)
         for a, b in tb.batches(raw):
