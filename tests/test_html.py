@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lectern.operators import layout
+from lectern.plans import queries as Q
 from lectern.sources import html_blocks as H
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,15 @@ def test_data_source_has_a_partition_for_each_row_group(spark, tmp_path):
     pq.write_table(pa.table({"u": pa.array([7], pa.int64()), "h": ["<p>x"]}), tmp_path / "one.parquet")
     other = spark.read.format("html_blocks").options(path=f"file://{tmp_path}/one.parquet", id="u", html="h").load()
     assert [(r.doc, r.text) for r in layout.reading_order(other).collect()] == [("7", "x")]
+
+
+def test_query_reads_references_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    bodies = ["<h1>a &amp;&amp</h1>", "<p>a&ampb; &amp;amp &am</p>", "x &lt;i&gt; &quot;&copy &copy;&middot;", "&amp;lt; &#3 && &"]
+    spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.execute(Q.ORACLE_SQL["html_blocks"]).fetchall()
+    assert sorted(map(tuple, Q.html_blocks(spark, str(tmp_path)).collect())) == sorted(want)
+    assert H.page_blocks(bodies[0])[0][6] == "a &&" and H.page_blocks(bodies[0], ended=True)[0][6] == "a &&amp"
