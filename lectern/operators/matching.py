@@ -15,7 +15,7 @@ from lectern.sources.scratch import written
 from lectern.sources.workers import importable
 
 #: Share of the pairs at exactly the threshold that may meet in no table; vectors of a block; tasks of one bucket.
-MISSED, BLOCK, DEALT = 1e-5, 1024, 16
+MISSED, BLOCK, DEALT = 1e-5, 2048, 16
 #: What sending a vector to a table costs, in comparisons.
 SHIPPED = 2000
 
@@ -58,7 +58,30 @@ def _coded(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return rows.mapInPandas(run, "vec_id long, label int, members long, size int, x binary, codes array<int>")
 
 
+#: The label of a null in a block; labels are 32-bit.
+NONE = 1 << 40
+_BLOCK = ["ids binary", "labels binary", "members binary", "x binary"]
+
+
+def _block(g: pd.DataFrame) -> dict:
+    """Vectors of one length as one row's columns, of 64-bit numbers each."""
+    column = lambda v: [np.asarray(v, np.int64).tobytes()]
+    return {"block": int(g["vec_id"].iloc[0]), "ids": column(g["vec_id"]), "labels": column(g["label"].fillna(NONE)), "members": column(g["members"]), "x": [b"".join(g["x"])]}
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
+    """(size, block, ..): all vectors in blocks, each once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for size, g in f.groupby("size", sort=False):
+                for at in range(0, len(g), BLOCK):
+                    yield pd.DataFrame({"size": np.int32(size), **_block(g.iloc[at : at + BLOCK])})
+
+    return rows.select("size", "vec_id", "label", "members", "x").mapInPandas(run, ", ".join(["size int", "block long", *_BLOCK]))
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
     """(size, place, code, block, ..): a bucket's vectors in blocks; a bucket is dealt to DEALT tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,13 +89,25 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
             for (size, place, code), g in f.groupby(["size", "place", "code"], sort=False):
                 for at in range(0, len(g), BLOCK):
                     b = g.iloc[at : at + BLOCK]
-                    one = lambda v: [v]
-                    yield pd.DataFrame({"size": np.int32(size), "place": np.int32(place), "code": np.int32(code), "block": int(b["vec_id"].iloc[0]), "ids": one(b["vec_id"].tolist()), "labels": one(b["label"].tolist()), "members": one(b["members"].tolist()), "x": one(b"".join(b["x"])), "codes": one(np.stack(b["codes"].tolist()).astype(np.int32).tobytes())})
+                    yield pd.DataFrame({"size": np.int32(size), "place": np.int32(place), "code": np.int32(code), **_block(b), "codes": [np.stack(b["codes"].tolist()).astype(np.int32).tobytes()]})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.select("size", F.posexplode("codes").alias("place", "code"), "vec_id", "label", "members", "x", "codes")
     dealt = placed.repartition(parts, "size", "place", "code", F.pmod(F.xxhash64("vec_id"), F.lit(DEALT))).sortWithinPartitions("size", "place", "code")
-    return dealt.mapInPandas(run, "size int, place int, code int, block long, ids array<long>, labels array<int>, members array<long>, x binary, codes binary")
+    return dealt.mapInPandas(run, ", ".join(["size int", "place int", "code int", "block long", *_BLOCK, "codes binary"]))
+
+
+def _close(x: np.ndarray, y: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of the unit rows whose cosine, rounded, reaches ``cosine``: single precision with room for its
+    error finds them, double precision decides; in parts, as all pairs may."""
+    room = 1e-6 + 2e-7 * x.shape[1]
+    row, col = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= cosine - room)
+    each = max(1, 2_000_000 // x.shape[1]) if x.shape[1] else max(1, len(row))
+    for at in range(0, len(row), each):
+        i, j = row[at : at + each], col[at : at + each]
+        s = np.round(np.einsum("ij,ij->i", x[i], y[j]), 6)
+        keep = s >= cosine
+        yield i[keep], j[keep], s[keep]
 
 
 def similar_pairs(vectors: DataFrame, cosine: float, across: bool = True, missed: float = MISSED, seed: int = 1) -> DataFrame:
@@ -80,41 +115,48 @@ def similar_pairs(vectors: DataFrame, cosine: float, across: bool = True, missed
     least ``cosine``; with ``across`` only those whose labels differ.
 
     ``vectors`` has vec_id, label, embedding; ids tell the rows apart. Equal vectors of one label are one class, under
-    their smallest id, with ``members`` rows; pairs are between classes. Only vectors that share a bucket of random
-    hyperplanes in some table meet, in blocks, and each pair found is compared in double precision and reported by
-    the first table in which it meets. A pair at the threshold is missed with a chance of ``missed``, one above it
-    with less. A null label is a group of its own that equals no other null. Zero vectors have a cosine of 0; vectors
-    that are null or hold null or non-finite components are in no pair; vectors of unlike lengths don't meet. An
-    empty table gives none.
+    their smallest id, with ``members`` rows; pairs are between classes. Where comparing all classes costs less than
+    shipping them to tables of random hyperplanes, all blocks of them meet, without a shuffle, and no pair is missed.
+    Else only vectors that share a bucket in some table meet, in blocks, and each pair is reported by the first table
+    in which it meets; a pair at the threshold is missed with a chance of ``missed``, one above it with less. Each pair
+    found is compared in double precision. A null label is a group of its own that equals no other null. Zero vectors
+    have a cosine of 0; vectors that are null or hold null or non-finite components are in no pair; vectors of unlike
+    lengths don't meet. An empty table gives none.
     """
     importable(vectors.sparkSession)
     classes = written(vector_classes(vectors), "classes")
-    bits, tables = tables_for(max(1, classes.count()), cosine, missed)
-    blocks = written(_in_blocks(_coded(classes, bits, tables, seed)), "blocks")
-    left = blocks.select(*(F.col(c).alias(f"l_{c}") if c not in ("size", "place", "code") else c for c in blocks.columns))
-    right = blocks.select(*(F.col(c).alias(f"r_{c}") if c not in ("size", "place", "code") else c for c in blocks.columns))
+    n = max(1, classes.count())
+    bits, tables = tables_for(n, cosine, missed)
+    whole = n / 2 <= tables * (SHIPPED + n / 2**bits)
+    keys = ["size"] if whole else ["size", "place", "code"]
+    coded = _coded(classes, 1, 1, seed) if whole else _coded(classes, bits, tables, seed)
+    blocks = written((_in_blocks if whole else _in_buckets)(coded), "blocks")
+    left, right = (blocks.select(*(c if c in keys else F.col(c).alias(f"{side}_{c}") for c in blocks.columns)) for side in "lr")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = lambda b: np.frombuffer(b, np.int64)
         for f in frames:
             for r in f.itertuples():
-                x, y = np.frombuffer(r.l_x).reshape(len(r.l_ids), -1), np.frombuffer(r.r_x).reshape(len(r.r_ids), -1)
-                s = np.round(x @ y.T, 6)
-                i, j = np.nonzero(s >= cosine)
-                a, b = np.array(r.l_ids)[i], np.array(r.r_ids)[j]
-                ga, gb = (np.array([None if v is None or v != v else int(v) for v in g], object) for g in (r.l_labels, r.r_labels))
-                keep = a != b if r.l_block != r.r_block else a < b
-                if across:
-                    keep &= (ga[i] != gb[j]) | np.array([v is None for v in ga], bool)[i]
-                own, other = np.frombuffer(r.l_codes, np.int32).reshape(len(x), -1), np.frombuffer(r.r_codes, np.int32).reshape(len(y), -1)
-                i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-                first = (own[i] == other[j]).argmax(1) == r.place if len(i) else np.zeros(0, bool)
-                i, j, a, b = i[first], j[first], a[first], b[first]
-                swap = a > b
-                pick = lambda u, v: np.where(swap, v, u)
-                ma, mb = np.array(r.l_members)[i], np.array(r.r_members)[j]
-                yield pd.DataFrame({"a": pick(a, b), "b": pick(b, a), "group_a": pd.array(pick(ga[i], gb[j]), "Int32"), "group_b": pd.array(pick(gb[j], ga[i]), "Int32"), "members_a": pick(ma, mb), "members_b": pick(mb, ma), "score": s[i, j]})
-
-    pairs = left.join(right, ["size", "place", "code"]).where("l_block <= r_block")
+                ids, others = numbers(r.l_ids), numbers(r.r_ids)
+                x, y = np.frombuffer(r.l_x).reshape(len(ids), -1), np.frombuffer(r.r_x).reshape(len(others), -1)
+                for i, j, s in _close(x, y, cosine):
+                    a, b, ga, gb = ids[i], others[j], numbers(r.l_labels)[i], numbers(r.r_labels)[j]
+                    keep = a != b if r.l_block != r.r_block else a < b
+                    if across:
+                        keep &= (ga != gb) | (ga == NONE)
+                    if not whole and keep.any():
+                        own, other = np.frombuffer(r.l_codes, np.int32).reshape(len(x), -1), np.frombuffer(r.r_codes, np.int32).reshape(len(y), -1)
+                        keep[keep] = (own[i[keep]] == other[j[keep]]).argmax(1) == r.place
+                    if keep.any():
+                        i, j, a, b, ga, gb, s = (v[keep] for v in (i, j, a, b, ga, gb, s))
+                        swap = a > b
+                        pick = lambda u, v: np.where(swap, v, u)  # noqa: B023, E731
+                        group = lambda v: pd.arrays.IntegerArray(np.where(v == NONE, 0, v).astype(np.int32), v == NONE)
+                        ma, mb = numbers(r.l_members)[i], numbers(r.r_members)[j]
+                        yield pd.DataFrame({"a": pick(a, b), "b": pick(b, a), "group_a": group(pick(ga, gb)), "group_b": group(pick(gb, ga)), "members_a": pick(ma, mb), "members_b": pick(mb, ma), "score": s})
+
+    # With the hint each task reads two parts of the written blocks; a join by size would send them all to one.
+    pairs = (left.hint("shuffle_replicate_nl") if whole else left).join(right, keys).where("l_block <= r_block")
     return pairs.mapInPandas(run, "a long, b long, group_a int, group_b int, members_a long, members_b long, score double")
 
 

@@ -122,3 +122,16 @@ def test_comparative_fill_takes_the_first_accepted(spark):
     got = sampling.fill_comparative(df, spark.createDataFrame([(u,) for u in used], "chunk_id int"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert sampling.fill_comparative(df.where("false"), spark.createDataFrame([], "chunk_id int")).count() == 0
+
+
+def test_all_blocks_meet_where_tables_cost_more(spark, monkeypatch):
+    v = spark.read.parquet(f"{SF}/sf0.01/embeddings.parquet").withColumn("label", F.when(F.col("vec_id") % 9 > 0, F.col("label")))
+    both = []
+    monkeypatch.setattr(matching, "BLOCK", 64)
+    monkeypatch.setattr(matching, "tables_for", lambda *_: (2, 60))
+    for shipped in (2000, -2000):
+        monkeypatch.setattr(matching, "SHIPPED", shipped)
+        pairs = matching.similar_pairs(v, 0.35)
+        both.append(sorted(tuple(r) for r in pairs.fillna(-1).collect()))
+        assert ("CartesianProduct" in pairs._jdf.queryExecution().toString()) == (shipped > 0)
+    assert both[0] == both[1] and len(both[0]) > 50
