@@ -162,12 +162,17 @@ def similar_pairs(vectors: DataFrame, cosine: float, across: bool = True, missed
 
 #: Parts of a pair of groups in the first of two steps to its best pairs.
 SALTS = 32
+#: Pairs that the first batch of a matching has about; each next one has GROWTH times as many.
+BATCH, GROWTH = 200_000, 8
 
 
 def match_in_rounds(pairs: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, group_a, group_b, score): the best pairs in turn, no passage twice and at most ``most`` of two groups.
 
-    The same rows as a walk over all pairs by score descending, then a, then b, that takes what it may. A round takes
+    The same rows as a walk over all pairs by score descending, then a, then b, that takes what it may. The pairs are
+    written once and walked in batches, all above a score each, the best first: what a batch doesn't take can't be
+    taken after it, and the next one is drawn from the pairs below that score whose passages are free and whose groups
+    have something left, so the walk ends with the capacities, mostly in the first batch. In a batch, a round takes
     each pair that is the best left of both of its passages and among the first that its two groups can still lend:
     whatever the walk does before it, it gets there with both passages free and capacity left. The best pair of all is
     always one, so rounds end; each leaves out the passages used and the groups exhausted. Only sums, and the first
@@ -177,10 +182,41 @@ def match_in_rounds(pairs: DataFrame, most: int = 3) -> DataFrame:
     pairs are one, with the better of two scores; (a, b) and (b, a) use the same passages. An empty table gives none.
     """
     spark = pairs.sparkSession
-    rows = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("score").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b", "group_a", "group_b", "score").distinct()
+    columns = ["a", "b", "group_a", "group_b", "score"]
+    rows = written(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("score").isNotNull() & (F.col("a") != F.col("b"))).select(*columns), "pairs")
     # Two groups in either order, nulls told apart from all values.
     as_group = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("g"))
-    live = written(rows.withColumn("groups", F.array_sort(F.array(as_group("group_a"), as_group("group_b")))).withColumn("left", F.lit(most)), "live")
+    open_ = rows.withColumn("groups", F.array_sort(F.array(as_group("group_a"), as_group("group_b")))).withColumn("left", F.lit(most))
+    taken, size = [], BATCH
+    while True:
+        whole = open_.count()
+        least = open_.agg(F.percentile_approx("score", 1 - size / whole, 100_000)).first()[0] if whole > size else None
+        batch = open_ if least is None else open_.where(F.col("score") >= least)
+        now = _rounds(written(batch.distinct(), "live"))
+        taken += now
+        if least is None:
+            break
+        open_ = open_.where(F.col("score") < least)
+        for t in now:
+            open_ = _without(open_, t)
+        size *= GROWTH
+    out = spark.createDataFrame([], rows.schema)
+    for t in taken:
+        out = out.unionByName(t.select(*columns))
+    return out
+
+
+def _without(live: DataFrame, taken: DataFrame) -> DataFrame:
+    """Pairs (a, b, groups, left, ..) that may still be taken after ``taken``."""
+    used = taken.select(F.explode(F.array("a", "b")).alias("p"))
+    lent = taken.groupBy("groups").agg(F.count("*").cast("int").alias("lent"))
+    rest = live.join(used.withColumnRenamed("p", "a"), "a", "left_anti").join(used.withColumnRenamed("p", "b"), "b", "left_anti")
+    rest = rest.join(lent, "groups", "left").withColumn("left", F.col("left") - F.coalesce("lent", F.lit(0))).where("left > 0")
+    return rest.select(*live.columns)
+
+
+def _rounds(live: DataFrame) -> list[DataFrame]:
+    """The pairs taken of a batch, by rounds, with their groups."""
     turn = [F.desc("score"), F.asc("a"), F.asc("b")]
     taken = []
     while True:
@@ -193,15 +229,6 @@ def match_in_rounds(pairs: DataFrame, most: int = 3) -> DataFrame:
         both = best.groupBy("a", "b", "score").agg(F.count("*").alias("ends")).where("ends = 2").drop("ends")
         now = written(first.join(both, ["a", "b", "score"]), "taken")
         if now.isEmpty():
-            break
+            return taken
         taken.append(now)
-        used = now.select(F.explode(F.array("a", "b")).alias("p"))
-        lent = now.groupBy("groups").agg(F.count("*").cast("int").alias("lent"))
-        rest = live.join(used.withColumnRenamed("p", "a"), "a", "left_anti").join(used.withColumnRenamed("p", "b"), "b", "left_anti")
-        rest = rest.join(lent, "groups", "left").withColumn("left", F.col("left") - F.coalesce("lent", F.lit(0))).where("left > 0")
-        live = written(rest.select(*live.columns), "live")
-    columns = ["a", "b", "group_a", "group_b", "score"]
-    out = spark.createDataFrame([], rows.schema)
-    for t in taken:
-        out = out.unionByName(t.select(*columns))
-    return out
+        live = written(_without(live, now), "live")

@@ -135,3 +135,16 @@ def test_all_blocks_meet_where_tables_cost_more(spark, monkeypatch):
         both.append(sorted(tuple(r) for r in pairs.fillna(-1).collect()))
         assert ("CartesianProduct" in pairs._jdf.queryExecution().toString()) == (shipped > 0)
     assert both[0] == both[1] and len(both[0]) > 50
+
+
+def test_batches_of_a_walk(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randrange(60), 100 + rng.randrange(60), rng.randrange(2), rng.randrange(2), rng.randrange(40) / 40) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a long, b long, group_a int, group_b int, score double")
+    seen, whole = [], matching._rounds
+    monkeypatch.setattr(matching, "_rounds", lambda live: seen.append(live.count()) or whole(live))
+    monkeypatch.setattr(matching, "BATCH", 20)
+    for most in (2, 50):
+        assert sorted(tuple(r) for r in matching.match_in_rounds(df, most).collect()) == sorted(walk(rows, most))
+    # The walk with small capacities ends before all pairs are drawn.
+    assert seen[0] < 60 and len(seen) > 2 and sum(seen[:-1]) < 2 * len(set(rows))
