@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import slug, span_form
 from lectern.operators.matching import match_in_rounds
+from lectern.sources.scratch import written
 
 
 def gold_pages(start: Column, end: Column) -> Column:
@@ -50,7 +51,8 @@ def fill_comparative(pairs: DataFrame, used: DataFrame, quota: int = 10) -> Data
     ``pairs`` (a, b, rank, accepted) are drafts of two passages. Pairs of one rank are in the order of a, then b; pairs
     with a null passage or rank, or of a passage with itself, are left out.
     """
-    open_ = pairs.where("accepted").join(used.select(F.col("chunk_id").alias("a")), "a", "left_anti").join(used.select(F.col("chunk_id").alias("b")), "b", "left_anti")
+    open_ = pairs.select("a", "b", "rank", "accepted").where("accepted").join(used.select(F.col("chunk_id").alias("a")), "a", "left_anti").join(used.select(F.col("chunk_id").alias("b")), "b", "left_anti")
+    open_ = written(open_, "drafts")
     one = F.lit(0)
     made = match_in_rounds(open_.select("a", "b", one.alias("group_a"), one.alias("group_b"), (-F.col("rank").cast("double")).alias("score")), quota)
     return made.join(open_.select("a", "b", "rank").distinct(), ["a", "b"]).where((-F.col("rank").cast("double")) == F.col("score")).select("a", "b", "rank")

@@ -148,3 +148,20 @@ def test_batches_of_a_walk(spark, monkeypatch):
         assert sorted(tuple(r) for r in matching.match_in_rounds(df, most).collect()) == sorted(walk(rows, most))
     # The walk with small capacities ends before all pairs are drawn.
     assert seen[0] < 60 and len(seen) > 2 and sum(seen[:-1]) < 2 * len(set(rows))
+
+
+def test_pairs_of_a_fill_are_made_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def run(frames):
+        import tempfile
+
+        for f in frames:
+            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as note:
+                note.write(str(len(f)))
+            yield f
+
+    pairs = spark.createDataFrame([(i, 100 + i, i / 7, True) for i in range(50)], "a int, b int, rank double, accepted boolean").mapInPandas(run, "a int, b int, rank double, accepted boolean")
+    got = sampling.fill_comparative(pairs, spark.createDataFrame([(0,)], "chunk_id int")).collect()
+    assert sorted(r.a for r in got) == list(range(1, 11))
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 50
