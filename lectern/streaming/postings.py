@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lectern.functions.text import tokens
 from lectern.operators.chunking import fixed_chunks
-from lectern.operators.retrieval import B, K1, Totals, asked_terms, postings, top_k
+from lectern.operators.retrieval import B, K1, SENT_WEIGHTS, Totals, asked_terms, postings, scored_postings, top_k
 from lectern.sources.scratch import written
 
 #: Directories of each batch's postings and terms.
@@ -73,16 +74,17 @@ def append(chunks: DataFrame, path: str, number: int, keys: list[str]) -> None:
     here = f"{path}/batch-{number}"
     fs, p = _fs(spark, here)
     fs.delete(p, True)
-    posts = postings(chunks.select(*keys, F.coalesce("text", F.lit("")).alias("text")), keys)
-    made = written(posts, "posts")
-    terms = written(made.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "batch-terms")
-    made.where("term is not null").withColumn("part", _part()).repartition("part", F.pmod(F.xxhash64(*keys), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{here}/postings")
+    texts = chunks.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    posts = postings(texts, keys).where("term is not null").withColumn("part", _part())
+    posts.repartition("part", F.pmod(F.xxhash64(*keys), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{here}/postings")
+    made = spark.read.schema(posts.schema).parquet(f"{here}/postings")
+    terms = written(made.groupBy("term").agg(F.count("*").alias("df")), "batch-terms")
     terms.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{here}/terms")
     # Frequencies of the batch's terms before it; no other term's changes.
     old = _read(spark, path, "terms", before).join(terms.select("term"), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("old"))
     moved = terms.join(old, "term", "left").select(F.explode(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("change")), F.struct((F.coalesce("old", F.lit(0)) + F.col("df")).alias("df"), F.lit(1).alias("change")))).alias("s")).select("s.*")
     moved.where("df is not null").groupBy("df").agg(F.sum("change").alias("change")).where("change <> 0").coalesce(1).write.parquet(f"{here}/steps")
-    made.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("dl")).write.parquet(f"{here}/totals")
+    texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.col("text"))).cast("long")), F.lit(0)).alias("dl")).write.parquet(f"{here}/totals")
 
 
 def totals(spark: SparkSession, path: str) -> Totals:
@@ -98,8 +100,9 @@ def totals(spark: SparkSession, path: str) -> Totals:
 def bm25(spark: SparkSession, path: str, queries: DataFrame, keys: list[str], k: int = 10, b: float = B) -> DataFrame:
     """(qid, keys, score, rank): as retrieval.bm25() over the union of all whole batches.
 
-    Reads the directories of the queries' terms. A query's terms are met by an equi-join on (part, term); AQE splits
-    a term that a third of all chunks have.
+    Reads the directories of the queries' terms. Their postings meet by chunk, where all queries are scored at once and
+    each task passes on ``k`` chunks a query; with more than SENT_WEIGHTS weights they are joined on (part, term), and
+    AQE splits a term that a third of all chunks have.
     """
     numbers, whole = batches(spark, path), totals(spark, path)
     asked = written(asked_terms(queries).withColumn("part", _part()), "asked")
@@ -110,6 +113,10 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, keys: list[str], k:
     if not kinds:
         return spark.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, score double, rank int")
     posts = _read(spark, path, "postings", numbers, kinds).where(F.col("part").isin(parts))
+    some = weights.select("qid", "term", "weight").limit(SENT_WEIGHTS + 1).toPandas()
+    if len(some) <= SENT_WEIGHTS:
+        scored = scored_postings(posts, some, queries.schema["qid"].dataType, keys, whole.avgdl, k, b).withColumn("score", F.round("score", 6))
+        return top_k(scored, "qid", k, F.desc("score"), *keys)
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - b + b * F.col("dl") / whole.avgdl))
     scored = posts.join(weights, ["part", "term"]).groupBy("qid", *keys).agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, "qid", k, F.desc("score"), *keys)
