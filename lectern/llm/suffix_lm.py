@@ -1,20 +1,20 @@
 """Language-model scoring (11): a probabilistic suffix tree over words.
 
 Symbols are the words of a text, lower-cased, and one end. A state is a context of up to ``depth`` words before a
-symbol. Everything is relative to the number of training tokens N: a phrase counts in the tree from
-m = max(FEWEST, share * N) occurrences on, so the tree has at most 1 / share phrases of each length however large the
-corpus is, and it may be broadcast.
-
-1. Words are counted exactly, all of them: tasks sum up, Spark sums the tasks' sums.
-2. Phrases of 2 to depth + 1 words are counted in count-min sketches of the tasks, which are merged; a second pass
-   counts those that may reach m exactly.
-3. Level by level, each context's distribution is smoothed with the one of its suffix: a symbol x seen at least m times
-   after s has (c(sx) - D) / c(s) + b(s) P(x | suffix), another b(s) P(x | suffix), where b(s) is the mass that these
-   leave. A context is retained if the divergence of its distribution from its suffix's, times its occurrences,
-   exceeds what its parameters cost (half the logarithm of c(s) for each symbol, and one more).
-4. A text's symbols are scored in the longest retained context that precedes them. Words of at least m occurrences
-   are broadcast; others, of which none has more than a share of the tokens, are joined by hash. The root is the base:
-   (c + ALPHA) / (N + ALPHA (V + 1)).
+symbol. All phrases are counted exactly, also those that occur once: no count or share decides what is in the tree.
+
+1. A context's distribution is smoothed with the one of its suffix: a symbol x seen after s has
+   (c(sx) - D) / c(s) + b(s) P(x | suffix), another b(s) P(x | suffix), where b(s) is the mass that these leave. A
+   context is retained if the divergence of its distribution from its suffix's, times its occurrences, exceeds what its
+   parameters cost (half the logarithm of c(s) for each symbol, and one more). A symbol is scored in the longest
+   retained context that precedes it. The root is the base: (c + ALPHA) / (N + ALPHA (V + 1)).
+2. Crowded contexts (of CROWD_MOST occurrences at the latest, so that a task can hold those of any other) are few of
+   each length, and are solved level by level by joins.
+3. Every other symbol is sent, once, to the bucket of the shortest context before it that isn't crowded. There all
+   occurrences of that context, and so of all that end with it, meet, and their distributions are exact. Buckets have
+   about BUCKET symbols whatever the corpus, and are solved one at a time.
+4. What a bucket starts from, the probability after the longest crowded context (the root at least), is broadcast for
+   the most frequent ENTRIES of each length; buckets ask for the rest by a join on hashes.
 """
 
 from __future__ import annotations
@@ -28,18 +28,23 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from . import sketch
 from . import textbytes as tb
 from .pretoken import spans
-from .shared import prepare, stored, table, trim
+from .shared import prepare, removed, stored, table, trim
 
-#: Words of the longest context; share of the training tokens, and least count, from which a phrase counts.
-DEPTH, SHARE, FEWEST = 3, 5e-7, 4
+#: Words of the longest context; share of the training tokens, and least count, from which a phrase counts: all do.
+DEPTH, SHARE, FEWEST = 3, 0.0, 1
 #: Discount of a seen symbol, and what the base adds to each count.
 DISCOUNT, ALPHA = 0.6, 0.1
-#: Counters of the sketches for each phrase that may reach m.
-COUNTERS_EACH = 8
+#: Share of the training tokens from which a context is crowded, where that is between these counts.
+CROWD_SHARE, CROWD_LEAST, CROWD_MOST = 1 / 250, 50_000, 1_000_000
+#: Training tokens of a bucket; symbols of a packed chunk.
+BUCKET, CHUNK = 500_000, 500_000
+#: Most words, and phrases of each length after crowded contexts, that all tasks have.
+ENTRIES = 2_000_000
 #: Words, or phrases, that a task sums up at once, and hashes of words that it holds.
 AT_ONCE, HELD = 2_000_000, 2_000_000
 
@@ -132,62 +137,49 @@ def _word_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(word=keys, n=n)
 
 
-def _sketched(width: int, depth: int):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.Sketcher(width)
-        for _, hashes, starts in _parts(frames, 0):
-            place = before(starts)
-            for k in range(2, depth + 2):
-                yield from counts.add(tb.mix(last_words(hashes, k, np.flatnonzero(place >= k - 1)) + np.uint64(k)))
-        yield from counts.rows()
-
-    return run
-
-
-def _phrase_counts(bits: Broadcast, depth: int):
-    """(k, phrase, context, inner, n): phrases of k symbols that may be frequent; their first k - 1 and last k - 1."""
+def _phrase_counts(crowded: Broadcast, k: int):
+    """(phrase, context, inner, n): phrases of k symbols after crowded contexts; their first k - 1 and last k - 1."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = {k: _Sums() for k in range(2, depth + 2)}, {k: [] for k in range(2, depth + 2)}
+        sums, seen = _Sums(), []
 
-        def out(k):
-            keys, n = sums[k].take()
-            known, where = np.unique(np.concatenate([x[0] for x in seen[k]]), return_index=True) if seen[k] else (keys, keys)
-            parts = [np.concatenate([x[j] for x in seen[k]])[where] if seen[k] else keys for j in (1, 2)]
-            seen[k] = []
+        def out():
+            keys, n = sums.take()
+            known, where = np.unique(np.concatenate([x[0] for x in seen]), return_index=True) if seen else (keys, keys)
+            parts = [np.concatenate([x[j] for x in seen])[where] if seen else keys for j in (1, 2)]
+            seen.clear()
             assert len(known) == len(keys)
-            return _batch(k=np.full(len(keys), k, np.int32), phrase=keys, context=parts[0], inner=parts[1], n=n)
+            return _batch(phrase=keys, context=parts[0], inner=parts[1], n=n)
 
         for _, hashes, starts in _parts(frames, 0):
-            place = before(starts)
-            for k in range(2, depth + 2):
-                at = np.flatnonzero(place >= k - 1)
-                keys = last_words(hashes, k, at)
-                some = np.flatnonzero(sketch.may_be_heavy(tb.mix(keys + np.uint64(k)), bits.value))
-                keys, at = keys[some], at[some]
-                distinct, one = np.unique(keys, return_index=True)
-                seen[k].append((distinct, last_words(hashes, k - 1, at[one] - 1), last_words(hashes, k - 1, at[one])))
-                if len(seen[k]) > 8:  # one entry of each phrase
-                    joined = [np.concatenate([x[j] for x in seen[k]]) for j in range(3)]
-                    _, one = np.unique(joined[0], return_index=True)
-                    seen[k] = [tuple(x[one] for x in joined)]
-                if sums[k].add(keys):
-                    yield out(k)
-        for k in sums:
-            yield out(k)
+            at = np.flatnonzero(before(starts) >= k - 1)
+            at = at[_found(last_words(hashes, k - 1, at - 1), crowded.value)[1]]
+            keys = last_words(hashes, k, at)
+            distinct, one = np.unique(keys, return_index=True)
+            seen.append((distinct, last_words(hashes, k - 1, at[one] - 1), last_words(hashes, k - 1, at[one])))
+            if len(seen) > 8:  # one entry of each phrase
+                joined = [np.concatenate([x[j] for x in seen]) for j in range(3)]
+                _, one = np.unique(joined[0], return_index=True)
+                seen[:] = [tuple(x[one] for x in joined)]
+            if sums.add(keys):
+                yield out()
+        yield out()
 
     return run
 
 
 @dataclass
 class Tree:
-    """Hashes in order, and what belongs to each: words' counts, ln b(s) of states, ln P(x | s) of their symbols."""
+    """What all tasks have, hashes in order: the most frequent words, their counts and ranks from 1 on, of crowded
+    contexts of k words B(s), and the probability of the most frequent phrases that end one symbol after such a one."""
 
     words: np.ndarray
     counts: np.ndarray
-    states: list[tuple[np.ndarray, np.ndarray]]
-    symbols: list[tuple[np.ndarray, np.ndarray]]
+    ranks: np.ndarray
+    crowded: list[tuple[np.ndarray, np.ndarray]]
+    phrases: list[tuple[np.ndarray, np.ndarray]]
     depth: int
+    fewest: int
     n: int
     v: int
 
@@ -208,8 +200,20 @@ def _sorted(rows: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarra
     return keys[order], values[order]
 
 
-def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST) -> tuple[Tree, DataFrame]:
-    """The tree of texts (text), and all words' counts (word, n): words are 64-bit hashes.
+def _most(rows: DataFrame, key: str, value: str, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the most frequent rows (n), at most so many, all or none of a count; the others are joined."""
+    held, least = 0, None
+    for r in rows.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(entries).collect():
+        held += r.rows
+        if held > entries:
+            break
+        least = r.n
+    return _sorted(rows.where(F.col("n") >= least if least is not None else F.lit(False)).select(key, value).toArrow(), key, value)
+
+
+def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST, crowd: int | None = None, entries: int = ENTRIES) -> tuple[Tree, DataFrame, DataFrame]:
+    """What all tasks have, all words' counts (word, n), and what all symbols have before contexts that aren't
+    crowded (key, p), to be joined: words are 64-bit hashes.
 
     A null or empty text is an end alone; without texts the tree is empty. Rows that repeat count again.
     """
@@ -218,101 +222,367 @@ def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int
     words = stored(texts.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
-    least = max(fewest, math.ceil(share * n))
-    width = sketch.width_for(COUNTERS_EACH * max(1, n) / least)
-    bits = sketch.heavy_counters(texts.mapInArrow(_sketched(width, depth), sketch.SCHEMA), width, least)
-    counted = texts.mapInArrow(_phrase_counts(bits, depth), "k int, phrase long, context long, inner long, n long").groupBy("k", "phrase").agg(F.first("context").alias("context"), F.first("inner").alias("inner"), F.sum("n").alias("n"))
-    phrases = stored(counted.where(F.col("n") >= least), "phrases")
-    bits.unpersist()
-    heavy = words.where(F.col("n") >= least)
-    mass = n + ALPHA * (v + 1)
+    mass, fewest = n + ALPHA * (v + 1), max(fewest, math.ceil(share * n))
+    crowd = crowd or min(max(CROWD_LEAST, math.ceil(CROWD_SHARE * n)), CROWD_MOST)
     # (phrase, n, p): how often, and the probability of its last symbol after the others.
-    shorter = heavy.select(F.col("word").alias("phrase"), "n", ((F.col("n") + ALPHA) / mass).alias("p"))
-    states, kept = [], []
+    shorter = words.select(F.col("word").alias("phrase"), "n", ((F.col("n") + ALPHA) / mass).alias("p"))
+    base = shorter.select(F.col("phrase").alias("key"), "p")
+    empty = (np.zeros(0, np.uint64), np.zeros(0))
+    crowded, kept = [], []
     for k in range(2, depth + 2):
-        rows = phrases.where(F.col("k") == k).select("phrase", "context", "inner", "n")
-        contexts = shorter.select(F.col("phrase").alias("context"), F.col("n").alias("c"))
-        rows = rows.join(contexts, "context").join(shorter.select(F.col("phrase").alias("inner"), "p"), "inner")
-        left = rows.groupBy("context").agg(F.count("*").alias("seen"), (1 - (F.sum("n") - DISCOUNT * F.count("*")) / F.max("c")).alias("b"))
-        smooth = rows.join(left, "context").withColumn("q", (F.col("n") - DISCOUNT) / F.col("c") + F.col("b") * F.col("p"))
+        contexts = shorter.where(F.col("n") >= crowd).select(F.col("phrase").alias("context"), F.col("n").alias("c"))
+        wide, _ = _sorted(contexts.toArrow(), "context", "c")  # n / crowd at most
+        if not len(wide):
+            crowded, kept = crowded + [empty] * (depth + 2 - k), kept + [empty] * (depth + 2 - k)
+            break
+        sent = spark.sparkContext.broadcast(wide)
+        counted = texts.mapInArrow(_phrase_counts(sent, k), "phrase long, context long, inner long, n long").groupBy("phrase").agg(F.first("context").alias("context"), F.first("inner").alias("inner"), F.sum("n").alias("n"))
+        rows = counted.join(F.broadcast(contexts), "context").join(shorter.select(F.col("phrase").alias("inner"), "p"), "inner")
+        rows = stored(rows.select("phrase", "context", "n", "c", "p"), "phrases")
+        sent.unpersist()
+        often = F.col("n") >= fewest
+        left = rows.where(often).groupBy("context").agg(F.count("*").alias("seen"), (1 - (F.sum("n") - DISCOUNT * F.count("*")) / F.max("c")).alias("b"))
+        q = F.when(often, (F.col("n") - DISCOUNT) / F.col("c")).otherwise(0.0) + F.col("b") * F.col("p")
+        smooth = rows.join(F.broadcast(left), "context").withColumn("q", q)
         gain = F.sum(F.col("n") * F.log(F.col("q") / F.col("p"))) + (F.max("c") - F.sum("n")) * F.log(F.max("b"))
-        held = smooth.groupBy("context").agg(gain.alias("gain"), F.max("c").alias("c"), F.max("seen").alias("seen"), F.max("b").alias("b"))
-        held = stored(held.where(F.col("gain") > 0.5 * F.log("c") * (F.col("seen") + 1)).select("context", F.log("b").alias("ln_b")), "states")
-        tried = smooth.join(held.withColumn("retained", F.lit(True)), "context", "left")
-        shorter = stored(tried.select("phrase", "n", F.when(F.col("retained"), F.col("q")).otherwise(F.col("p")).alias("p"), F.col("retained").isNotNull().alias("retained")), "level")
-        states.append(_sorted(held.toArrow(), "context", "ln_b"))
-        kept.append(_sorted(shorter.where("retained").select("phrase", F.log("p").alias("ln_p")).toArrow(), "phrase", "ln_p"))
-    return Tree(*_sorted(heavy.toArrow(), "word", "n"), states, kept, depth, n, v), words
+        held = smooth.where(often).groupBy("context").agg(gain.alias("gain"), F.max("c").alias("c"), F.max("seen").alias("seen"), F.max("b").alias("b"))
+        held = stored(held.withColumn("b", F.when(F.col("gain") > 0.5 * F.log("c") * (F.col("seen") + 1), F.col("b"))).select("context", "b"), "states")
+        tried = rows.join(F.broadcast(held), "context", "left").withColumn("q", F.coalesce(q, "p"))
+        shorter = stored(tried.select("phrase", "n", F.col("q").alias("p")), "level")
+        removed(rows)
+        base = base.unionByName(shorter.select(F.col("phrase").alias("key"), "p"))
+        known = dict(zip(*_sorted(held.where("b is not null").toArrow(), "context", "b"), strict=True))
+        crowded.append((wide, np.array([known.get(s, 1.0) for s in wide])))
+        kept.append(_most(shorter, "phrase", "p", entries))
+    most, counts = _most(words.withColumn("m", F.col("n")), "word", "m", entries)
+    ranks = np.empty(len(most), np.uint32)
+    ranks[np.argsort(-counts, kind="stable")] = np.arange(1, len(most) + 1)
+    return Tree(most, counts, ranks, crowded, kept, depth, fewest, n, v), words, base
+
+
+def chained(columns: list[np.ndarray], k: int) -> np.ndarray:
+    """``last_words`` of k symbols by columns: the last symbols, those before them and so on."""
+    out = columns[0]
+    for j in range(1, k):
+        out = tb.mix(out ^ tb.mix(columns[j] + _STEP[j]))
+    return out
 
 
-def _scored(tree: Broadcast):
-    """Of each row what its broadcast words and contexts make of it, and its other words.
+def _narrow(t: Tree, columns: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """Of each symbol, how many words the longest crowded context before it has."""
+    out = np.zeros(len(place), np.uint8)
+    for k in range(1, t.depth + 1):
+        where = np.flatnonzero((out == k - 1) & (place >= k))
+        if not len(where) or not len(t.crowded[k - 1][0]):
+            break
+        out[where[_found(chained([c[where] for c in columns[1:]], k), t.crowded[k - 1][0])[1]]] = k
+    return out
 
-    ``base`` and ``score`` lack the base of the other words and, the base, the mass of each token.
-    """
+
+def _after_crowded(t: Tree, columns: list[np.ndarray], crowded: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """P of each symbol after its longest crowded context; whether it is certain without ``more``, the (key, p) of
+    rarer phrases; and, per length, the symbols whose keys ``more`` should have been asked for."""
+    n = len(crowded)
+    p, times, open_, sure, asked = np.full(n, ALPHA / t.mass), np.ones(n), np.ones(n, bool), np.ones(n, bool), []
+    for k in range(t.depth, -1, -1):
+        where = np.flatnonzero(open_ & (crowded >= k))
+        if not len(where):
+            continue
+        own = [c[where] for c in columns]
+        keys = chained(own, k + 1)
+        table_, values = t.phrases[k - 1] if k else (t.words, (t.counts + ALPHA) / t.mass)
+        at, hit = _found(keys, table_)
+        value = np.zeros(len(where))
+        value[hit] = values[at[hit]]
+        sure[where[~hit]] = False
+        asked.append((where[~hit], keys[~hit]))
+        if more is not None and len(more[0]):
+            at, found = _found(keys, more[0])
+            value[found & ~hit] = more[1][at[found & ~hit]]
+            hit = hit | found
+        p[where[hit]], open_[where[hit]] = value[hit], False
+        if k:
+            where, own = where[~hit], [c[~hit] for c in own]
+            times[where] *= t.crowded[k - 1][1][_found(chained(own[1:], k), t.crowded[k - 1][0])[0]]
+    p[open_] = ALPHA / t.mass
+    return p * times, sure, asked
+
+
+@dataclass
+class _Chunk:
+    """Some texts' symbols: themselves and those before them by columns, and the bucket that each goes to."""
+
+    columns: list[np.ndarray]
+    owner: np.ndarray
+    place: np.ndarray
+    crowded: np.ndarray
+    bucket: np.ndarray
+    p: np.ndarray
+    done: np.ndarray
+    asked: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _chunk(t: Tree, hashes: np.ndarray, starts: np.ndarray, buckets: int) -> _Chunk:
+    place = before(starts)
+    columns = [hashes]
+    for k in range(1, t.depth + 1):
+        column = np.zeros(len(hashes), np.uint64)
+        column[k:] = hashes[:-k]
+        column[place < k] = 0
+        columns.append(column)
+    place = np.minimum(place, t.depth).astype(np.uint8)
+    crowded = _narrow(t, columns, place)
+    p, sure, asked = _after_crowded(t, columns, crowded)
+    full = crowded >= place
+    route = np.zeros(len(hashes), np.uint64)
+    for k in range(t.depth + 1):
+        where = np.flatnonzero((crowded == k) & full)
+        route[where] = chained([c[where] for c in columns], k + 1)
+        where = np.flatnonzero((crowded == k) & ~full)
+        route[where] = chained([c[where] for c in columns[1:]], k + 1) if k < t.depth else 0
+    bucket = ((tb.mix(route) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    return _Chunk(columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), place, crowded, bucket, p, full & sure, asked)
+
+
+def _gathered(frames: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Parts of about CHUNK symbols."""
+    parts, held, n = [], [], 0
+
+    def out():
+        ends = np.cumsum([0, *(len(h) for h, _ in held)])
+        return parts, np.concatenate([h for h, _ in held]), np.concatenate([*(s[:-1] + e for (_, s), e in zip(held, ends[:-1], strict=True)), ends[-1:]])
+
+    for part, hashes, starts in _parts(frames, column):
+        parts.append(part)
+        held.append((hashes, starts))
+        n += len(hashes)
+        if n >= CHUNK:
+            yield out()
+            parts, held, n = [], [], 0
+    if parts:
+        yield out()
+
+
+def _asked(tree: Broadcast, buckets: int):
+    """(key, bucket): which buckets need the probability of which rarer phrases."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, starts in _gathered(frames, 0):
+            c = _chunk(tree.value, hashes, starts, buckets)
+            for where, keys in c.asked:
+                where, keys = c.bucket[where], keys
+                order = np.lexsort((where, keys))
+                where, keys = where[order], keys[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (where[1:] != where[:-1])
+                yield _batch(key=keys[new], bucket=where[new].astype(np.int32))
+
+    return run
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _packed(codes: list[np.ndarray], owners: np.ndarray, crowded: np.ndarray, rare: np.ndarray, first_rare: int) -> tuple[bytes, int]:
+    """Symbols by their rank among the broadcast words, others by their place in a list of their own."""
+    own = np.unique(np.concatenate([c[c >= first_rare] for c in codes]))
+    out = []
+    for c in codes:
+        c = c.copy()
+        some = c >= first_rare
+        c[some] = first_rare + np.searchsorted(own, c[some])
+        out.append(_planes(c))
+    body = b"".join([np.array([len(owners), len(own)], "<u4").tobytes(), rare[own - first_rare].astype("<u8").tobytes(), *out, _planes(owners), crowded.tobytes()])
+    return pa.Codec("zstd", compression_level=1).compress(body, asbytes=True), len(body)
+
+
+def _unpacked(known: np.ndarray, depth: int, body: bytes, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    body = pa.Codec("zstd").decompress(body, size, asbytes=True)
+    n, rare = np.frombuffer(body, "<u4", 2).tolist()
+    at = 8 + 8 * rare
+    others = np.frombuffer(body, "<u8", rare, 8)
+    planes = [np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at + 4 * n * j).reshape(4, n).T).view("<u4").ravel() for j in range(depth + 2)]
+    columns, place = [], np.zeros(n, np.uint8)
+    for k, c in enumerate(planes[:-1]):
+        some = c >= len(known)
+        column = known[np.where(some, 0, c)]
+        column[some] = others[c[some] - len(known)]
+        columns.append(column)
+        if k:
+            place += c > 0
+    return columns, place, planes[-1], np.frombuffer(body, np.uint8, n, at + 4 * n * len(planes))
+
+
+def _dealt(tree: Broadcast, buckets: int, schema: pa.Schema):
+    """Each row's own line, with what is certain of it here, and its other symbols packed by bucket."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tree = tree.value
-        log_mass = math.log(t.mass)
-        for part, hashes, starts in _parts(frames, 2):
-            place, n = before(starts), len(hashes)
+        for parts, hashes, starts in _gathered(frames, 3):
+            rows = np.concatenate([part.column(0).to_numpy() for part in parts])
+            c = _chunk(t, hashes, starts, buckets)
             at, known = _found(hashes, t.words)
-            root = np.zeros(n)
-            root[known] = np.log(t.counts[at[known]] + ALPHA)
-            ln, open_ = np.zeros(n), np.ones(n, bool)
-            for k in range(t.depth, 0, -1):
-                where = np.flatnonzero(open_ & (place >= k))
-                # A context ends at the symbol before; unknown words aren't in any, but may follow one.
-                at, found = _found(last_words(hashes, k, where - 1), t.states[k - 1][0])
-                where, at = where[found], at[found]
-                to, hit = _found(last_words(hashes, k + 1, where), t.symbols[k - 1][0])
-                ln[where[hit]] += t.symbols[k - 1][1][to[hit]]
-                open_[where[hit]] = False
-                ln[where[~hit]] += t.states[k - 1][1][at[~hit]]
-            ln[open_] += root[open_] - log_mass
-            sums = [np.add.reduceat(x, starts[:-1]) / math.log(10) for x in (root, ln)]
+            root = np.zeros(len(hashes))
+            root[known] = np.log10(t.counts[at[known]] + ALPHA)
+            sure = np.where(c.done, np.log(c.p), 0.0)
+            sums = [np.add.reduceat(x, starts[:-1]) for x in (root, sure)]
             other = np.flatnonzero(~known)
             ends = np.searchsorted(other, starts).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))
             sizes = np.diff(starts)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(sizes - np.diff(ends)), pa.array(sums[0]), pa.array(sums[1]), lists], ["id", "held_out", "n_tokens", "n_known", "base", "score", "others"])
+            n = len(rows)
+            ids, held_out = (pa.concat_arrays([part.column(j) for part in parts]) for j in (1, 2))
+            doc = pa.StructArray.from_arrays([ids, held_out, pa.array(sizes), pa.array(sizes - np.diff(ends)), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))], fields=list(schema.field("doc").type))
+            here = np.abs(rows % buckets).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(n, 2, np.int32)), pa.array(rows), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(sums[1]), doc], schema=schema)
+
+            codes, rare = np.zeros(len(hashes), np.uint32), np.unique(hashes[other])
+            codes[known] = t.ranks[at[known]]
+            codes[other] = len(t.words) + 1 + np.searchsorted(rare, hashes[other])
+            before_ = [codes]
+            for k in range(1, t.depth + 1):
+                column = np.zeros(len(codes), np.uint32)
+                column[k:] = codes[:-k]
+                column[c.place < k] = 0
+                before_.append(column)
+            train = ~held_out.to_numpy(zero_copy_only=False)
+            owners = ((rows[c.owner] - rows[0]) * 2 + train[c.owner]).astype(np.uint32)
+            left = np.flatnonzero(~c.done)
+            alike = (before_[1][left].astype(np.uint64) << np.uint64(24)) | before_[min(2, t.depth)][left]
+            left = left[np.lexsort((alike, c.bucket[left]))]
+            edges = np.flatnonzero(np.diff(c.bucket[left], prepend=-1, append=-1))
+            out = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                some = left[a:b]
+                body, size = _packed([x[some] for x in before_], owners[some], c.crowded[some], rare, len(t.words) + 1)
+                out.append((int(c.bucket[some[0]]), 1, int(rows[0]), body, size))
+            if out:
+                columns = [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(out), pa.float64()), pa.nulls(len(out), schema.field("doc").type)], schema=schema)
+
+    return run
+
+
+def _climbed(t: Tree, columns: list[np.ndarray], place: np.ndarray, crowded: np.ndarray, train: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P of each symbol after its longest retained context, from that after its longest crowded one. All occurrences
+    of a context that isn't crowded are here, so that its distribution is exact."""
+    p = p.copy()
+    for k in range(1, t.depth + 1):
+        where = np.flatnonzero((crowded < k) & (place >= k))
+        if not len(where):
+            break
+        own = [c[where] for c in columns]
+        _, one, phrase = np.unique(chained(own, k + 1), return_index=True, return_inverse=True)
+        n = np.bincount(phrase, train[where], len(one))
+        _, context = np.unique(chained([c[one] for c in own[1:]], k), return_inverse=True)
+        low, often = p[where[one]], (n > 0) & (n >= t.fewest)
+        summed = lambda x: np.bincount(context, x)  # noqa: E731, B023
+        c, seen, of_seen = summed(n), summed(often * 1.0), summed(n * often)
+        b = 1 - (of_seen - DISCOUNT * seen) / np.maximum(c, 1)
+        q = np.where(often, (n - DISCOUNT) / np.maximum(c[context], 1), 0.0) + b[context] * low
+        gain = summed(np.where(often, n * np.log(q / low), 0.0)) + (c - of_seen) * np.log(b)
+        retained = (seen > 0) & (gain > 0.5 * np.log(np.maximum(c, 1)) * (seen + 1))
+        p[where] = np.where(retained[context], q, low)[phrase]
+    return p
+
+
+def _solved(tree: Broadcast, schema: pa.Schema):
+    """(row, ln, doc): what the buckets of a task, one after the other, add to each row; rows' own lines pass."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t: Tree = tree.value
+        known = np.zeros(len(t.words) + 1, np.uint64)  # by rank
+        known[t.ranks] = t.words
+        now, keys, values, bodies, sums, n = None, [], [], [], [], 0
+
+        def solve():
+            held = [_unpacked(known, t.depth, body, size) for _, body, size in bodies]
+            columns = [np.concatenate([h[0][k] for h in held]) for k in range(t.depth + 1)]
+            place, owners, crowded = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
+            rows = np.concatenate([row + (h[2] >> 1).astype(np.int64) for (row, _, _), h in zip(bodies, held, strict=True)])
+            more = np.concatenate([np.zeros(0, np.int64), *keys]).view(np.uint64), np.concatenate([np.zeros(0), *values])
+            order = np.argsort(more[0])
+            p, _, _ = _after_crowded(t, columns, crowded, (more[0][order], more[1][order]))
+            return rows, np.log(_climbed(t, columns, place, crowded, (owners & 1).astype(float), p))
+
+        def folded():
+            rows, where = np.unique(np.concatenate([r for r, _ in sums]), return_inverse=True)
+            return rows, np.bincount(where, np.concatenate([x for _, x in sums]), len(rows))
+
+        def line(rows, ln):
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ln), pa.nulls(len(rows), schema.field("doc").type)], schema=schema)
+
+        for frame in frames:
+            bucket, kind = frame.column(0).to_numpy(), frame.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(bucket * 4 + kind, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if bucket[a] != now:
+                    if bodies:
+                        sums.append(solve())
+                        n += len(sums[-1][0])
+                        if n > AT_ONCE:
+                            sums = [folded()]
+                            n = len(sums[0][0])
+                            if n > HELD:
+                                yield line(*sums[0])
+                                sums, n = [], 0
+                    now, keys, values, bodies = bucket[a], [], [], []
+                part = frame.slice(a, b - a)
+                if kind[a] == 0:
+                    keys.append(part.column(4).to_numpy())
+                    values.append(part.column(5).to_numpy())
+                elif kind[a] == 1:
+                    bodies += zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(5), part.column(6)], schema=schema)
+        if bodies:
+            sums.append(solve())
+        if sums:
+            yield line(*folded())
+        trim()
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 10, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 10, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST, crowd: int | None = None, entries: int = ENTRIES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each of ``docs``.
 
     Rows whose crc32 of the id as text is divisible by ``every`` are held out, the others are learned from; a null id
     counts as an empty text, whose crc32 is 0. A null or empty text is its end alone. Rows that repeat are scored, and
     learned from, as often as they occur. A text of any length is taken whole. Other columns of ``docs`` don't matter.
     An empty table gives none; without training rows every token has the same probability. Scores are logarithms to
-    base 10. Words are told apart by 64-bit hashes.
+    base 10. Words are told apart by 64-bit hashes. ``share`` above 0 makes a smaller model that leaves out phrases
+    of a lesser share of the training tokens; ``crowd`` and ``entries`` only say how the work is dealt.
     """
     spark = prepare(docs.sparkSession)
     held_out = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % every == 0).alias("held_out")
-    rows = docs.select(F.col(id_col).alias("id"), held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tree, words = fit(rows.where(~F.col("held_out")).select("text"), depth, share, fewest)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    tree, words, base = fit(rows.where(~F.col("held_out")).select("text"), depth, share, fewest, crowd, entries)
     sent = spark.sparkContext.broadcast(tree)
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = rows.mapInArrow(_scored(sent), f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>")
-    kept = stored(made.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Words that aren't broadcast: each has less than a share of the training tokens, or isn't in them.
-    light = kept.select("row", F.explode("others").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
+    buckets = 1 + tree.n // BUCKET
+    line = StructType().add("id", docs.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("others", ArrayType(LongType()))
+    dealt = StructType().add("bucket", "integer").add("kind", "integer").add("row", "long").add("body", "binary").add("key", "long").add("p", "double").add("doc", line)
+    solved = StructType().add("row", "long").add("ln", "double").add("doc", line)
+    packed = rows.mapInArrow(_dealt(sent, buckets, to_arrow_schema(dealt)), dealt)
+    asked = rows.select("text").mapInArrow(_asked(sent, buckets), "key long, bucket int").repartition("key").distinct().join(base, "key").withColumn("kind", F.lit(0))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = packed.unionByName(asked, allowMissingColumns=True).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    done = stored(met.select(*dealt.names).mapInArrow(_solved(sent, to_arrow_schema(solved)), solved), "scored")
+    lines = done.where("doc is not null").select("row", "doc.*")
+    # Words that aren't broadcast, or aren't in the training texts, for the base.
+    light = lines.select("row", F.explode("others").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
     with_n = light.join(words.withColumnRenamed("n", "c"), "word", "left")
-    ln = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ALPHA)
-    more = with_n.groupBy("row").agg(F.sum(ln).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("found"), F.sum("times").alias("light"))
-    zero, log_mass = F.lit(0).cast("long"), math.log10(tree.mass)
-    out = kept.drop("others").join(more, "row", "left")
-    extra = F.coalesce("more", F.lit(0.0))
-    return out.select(
+    zero = F.lit(0).cast("long")
+    more = with_n.select("row", F.lit(0.0).alias("ln"), (F.col("times") * F.log10(F.coalesce("c", zero) + ALPHA)).alias("more"), F.when(F.col("c") > 0, F.col("times")).otherwise(zero).alias("found"))
+    sums = done.select("row", "ln", F.lit(0.0).alias("more"), zero.alias("found")).unionByName(more).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ln", "more", "found")))
+    return lines.drop("others").join(sums, "row").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", zero)).alias("n_known"),
+        (F.col("n_known") + F.col("found")).alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(log_mass)).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
+        (F.col("base") + F.col("more") - F.col("n_tokens") * F.lit(math.log10(tree.mass))).alias("base_score"),
+        (F.col("ln") / math.log(10)).alias("score"),
     )
 
 

@@ -151,6 +151,38 @@ def test_op11_edge_cases(spark):
     assert all(r.train_tokens == 0 and r.held_out and r.n_known == 0 and r.score == pytest.approx(0) for r in only)
 
 
+@pytest.mark.parametrize(("crowd", "entries", "bucket", "fewest"), [(10**6, 10**6, 10**6, 1), (40, 30, 500, 1), (8, 0, 300, 2)])
+def test_op11_leaves_no_phrase_out(spark, monkeypatch, crowd, entries, bucket, fewest):
+    # Phrases that occur once or twice are in the tree, whether their contexts are crowded or dealt into buckets, and
+    # whether what they start from is broadcast or joined.
+    monkeypatch.setattr(suffix_lm, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_lm, "CHUNK", 700)
+    rng = random.Random(11)
+    word = lambda: "abcdefgh"[min(int(rng.expovariate(0.5)), 7)] if rng.random() < 0.8 else f"r{rng.randrange(400)}"
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 30))) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:20])] + [(None, "r1 a b"), (7, texts[3]), (8, None)]
+    got = suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), fewest=fewest, crowd=crowd, entries=entries).collect()
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+    docs = [tokens(t) for _, t in rows]
+    want, states, _, words = brute_lm([x for (i, _), x in zip(rows, docs, strict=True) if not held(i)], docs, suffix_lm.DEPTH, 0, fewest)
+    assert {len(s) for s in states} == {1, 2, 3}
+    n, v = sum(words.values()), len(words)
+    base = lambda x: sum(math.log10((words[t] + 0.1) / (n + 0.1 * (v + 1))) for t in x)
+    line = lambda i, h, k, n, b, s: (str(i), h, k, n, round(b, 7), round(s, 7))
+    assert sorted(line(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == sorted(line(i, held(i), len(x), sum(words[t] > 0 for t in x), base(x), s) for (i, _), x, s in zip(rows, docs, want, strict=True))
+
+
+def test_op11_tells_what_occurs_twice(spark):
+    # A passage of two texts of a table in which all else occurs once: the default model must know it.
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(1, 200)]
+    rows += [(1001, rows[4][1]), (1002, rows[6][1])]
+    assert all(zlib.crc32(str(i).encode()) % 10 for i in (5, 7, 1001, 1002))
+    got = {r.doc_id: r.score / r.n_tokens for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("not held_out").collect()}
+    once = [x for i, x in got.items() if i not in (5, 7, 1001, 1002)]
+    assert min(got[i] for i in (5, 7, 1001, 1002)) > max(once)
+
+
 # 12
 
 
