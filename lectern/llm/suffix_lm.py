@@ -14,14 +14,17 @@ symbol. All phrases are counted exactly, also those that occur once: no count or
    occurrences of that context, and so of all that end with it, meet, and their distributions are exact. Buckets have
    about BUCKET symbols whatever the corpus, and are solved one at a time.
 4. What a bucket starts from, the probability after the longest crowded context (the root at least), is broadcast for
-   the most frequent ENTRIES of each length; buckets ask for the rest by a join on hashes.
+   words of a share of FREQUENT of the tokens or more, and for phrases after crowded contexts, at most the most frequent
+   ENTRIES of each length. Buckets ask for the rest by a join on hashes. As the words' bound is a share of the tokens,
+   what is asked is in proportion to the corpus; where all words and phrases are broadcast, nothing is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import StructType
 
 from . import textbytes as tb
 from .pretoken import spans
@@ -43,8 +46,9 @@ DISCOUNT, ALPHA = 0.6, 0.1
 CROWD_SHARE, CROWD_LEAST, CROWD_MOST = 1 / 250, 50_000, 1_000_000
 #: Training tokens of a bucket; symbols of a packed chunk.
 BUCKET, CHUNK = 500_000, 500_000
-#: Most words, and phrases of each length after crowded contexts, that all tasks have.
-ENTRIES = 2_000_000
+#: Share of the training tokens from which all tasks have a word; most words, and phrases of each length after crowded
+#: contexts, that they have.
+FREQUENT, ENTRIES = 1 / 20_000_000, 2_000_000
 #: Words, or phrases, that a task sums up at once, and hashes of words that it holds.
 AT_ONCE, HELD = 2_000_000, 2_000_000
 
@@ -171,13 +175,15 @@ def _phrase_counts(crowded: Broadcast, k: int):
 @dataclass
 class Tree:
     """What all tasks have, hashes in order: the most frequent words, their counts and ranks from 1 on, of crowded
-    contexts of k words B(s), and the probability of the most frequent phrases that end one symbol after such a one."""
+    contexts of k words B(s), and the probability of the most frequent phrases that end one symbol after such a one;
+    whether these are all words, and all phrases of each length."""
 
     words: np.ndarray
     counts: np.ndarray
     ranks: np.ndarray
     crowded: list[tuple[np.ndarray, np.ndarray]]
     phrases: list[tuple[np.ndarray, np.ndarray]]
+    whole: list[bool]
     depth: int
     fewest: int
     n: int
@@ -188,8 +194,18 @@ class Tree:
         return self.n + ALPHA * (self.v + 1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order of their first occurrences, and of each key its place among them."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _found(keys: np.ndarray, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each key its place in a sorted table, and whether it is there."""
+    if len(table_) > 10_000 and len(keys) > 10_000:  # a large table isn't in the processor's cache
+        keys, own = _distinct(keys)
+        at = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
+        return at[own], (table_[at] == keys)[own]
     at = np.minimum(np.searchsorted(table_, keys), max(0, len(table_) - 1))
     return at, table_[at] == keys if len(table_) else np.zeros(len(keys), bool)
 
@@ -200,20 +216,21 @@ def _sorted(rows: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarra
     return keys[order], values[order]
 
 
-def _most(rows: DataFrame, key: str, value: str, entries: int) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of the most frequent rows (n), at most so many, all or none of a count; the others are joined."""
-    held, least = 0, None
-    for r in rows.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(entries).collect():
-        held += r.rows
-        if held > entries:
+def _most(rows: DataFrame, key: str, value: str, entries: int, least: int = 1) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """The entries of the most frequent rows (n), from ``least`` on and at most so many, all or none of a count; and the
+    other rows, to be joined, if there are any."""
+    held, bound = 0, None
+    for r in rows.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(entries).collect():
+        if held + r.rows > entries:
             break
-        least = r.n
-    return _sorted(rows.where(F.col("n") >= least if least is not None else F.lit(False)).select(key, value).toArrow(), key, value)
+        held, bound = held + r.rows, r.n
+    often = F.col("n") >= bound if bound is not None else F.lit(False)
+    return _sorted(rows.where(often).select(key, value).toArrow(), key, value), rows.where(~often) if held < rows.count() else None
 
 
-def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST, crowd: int | None = None, entries: int = ENTRIES) -> tuple[Tree, DataFrame, DataFrame]:
-    """What all tasks have, all words' counts (word, n), and what all symbols have before contexts that aren't
-    crowded (key, p), to be joined: words are 64-bit hashes.
+def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int = FEWEST, crowd: int | None = None, entries: int = ENTRIES) -> tuple[Tree, DataFrame | None]:
+    """What all tasks have, and what symbols have before contexts that aren't crowded where the tasks don't have it
+    (key, p), to be joined: words are 64-bit hashes.
 
     A null or empty text is an end alone; without texts the tree is empty. Rows that repeat count again.
     """
@@ -226,14 +243,15 @@ def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int
     crowd = crowd or min(max(CROWD_LEAST, math.ceil(CROWD_SHARE * n)), CROWD_MOST)
     # (phrase, n, p): how often, and the probability of its last symbol after the others.
     shorter = words.select(F.col("word").alias("phrase"), "n", ((F.col("n") + ALPHA) / mass).alias("p"))
-    base = shorter.select(F.col("phrase").alias("key"), "p")
     empty = (np.zeros(0, np.uint64), np.zeros(0))
+    (most, counts), rest = _most(words.withColumn("m", F.col("n")), "word", "m", entries, max(1, math.ceil(FREQUENT * n)))
+    others, whole = [rest.select(F.col("word").alias("key"), ((F.col("n") + ALPHA) / mass).alias("p"))] if rest else [], [not rest]
     crowded, kept = [], []
     for k in range(2, depth + 2):
         contexts = shorter.where(F.col("n") >= crowd).select(F.col("phrase").alias("context"), F.col("n").alias("c"))
         wide, _ = _sorted(contexts.toArrow(), "context", "c")  # n / crowd at most
         if not len(wide):
-            crowded, kept = crowded + [empty] * (depth + 2 - k), kept + [empty] * (depth + 2 - k)
+            crowded, kept, whole = (x + [y] * (depth + 2 - k) for x, y in ((crowded, empty), (kept, empty), (whole, True)))
             break
         sent = spark.sparkContext.broadcast(wide)
         counted = texts.mapInArrow(_phrase_counts(sent, k), "phrase long, context long, inner long, n long").groupBy("phrase").agg(F.first("context").alias("context"), F.first("inner").alias("inner"), F.sum("n").alias("n"))
@@ -250,14 +268,15 @@ def fit(texts: DataFrame, depth: int = DEPTH, share: float = SHARE, fewest: int
         tried = rows.join(F.broadcast(held), "context", "left").withColumn("q", F.coalesce(q, "p"))
         shorter = stored(tried.select("phrase", "n", F.col("q").alias("p")), "level")
         removed(rows)
-        base = base.unionByName(shorter.select(F.col("phrase").alias("key"), "p"))
         known = dict(zip(*_sorted(held.where("b is not null").toArrow(), "context", "b"), strict=True))
         crowded.append((wide, np.array([known.get(s, 1.0) for s in wide])))
-        kept.append(_most(shorter, "phrase", "p", entries))
-    most, counts = _most(words.withColumn("m", F.col("n")), "word", "m", entries)
+        held, rest = _most(shorter, "phrase", "p", entries)
+        kept.append(held)
+        whole.append(not rest)
+        others += [rest.select(F.col("phrase").alias("key"), "p")] if rest else []
     ranks = np.empty(len(most), np.uint32)
     ranks[np.argsort(-counts, kind="stable")] = np.arange(1, len(most) + 1)
-    return Tree(most, counts, ranks, crowded, kept, depth, fewest, n, v), words, base
+    return Tree(most, counts, ranks, crowded, kept, whole, depth, fewest, n, v), reduce(DataFrame.unionByName, others) if others else None
 
 
 def chained(columns: list[np.ndarray], k: int) -> np.ndarray:
@@ -279,69 +298,82 @@ def _narrow(t: Tree, columns: list[np.ndarray], place: np.ndarray) -> np.ndarray
     return out
 
 
-def _after_crowded(t: Tree, columns: list[np.ndarray], crowded: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """P of each symbol after its longest crowded context; whether it is certain without ``more``, the (key, p) of
-    rarer phrases; and, per length, the symbols whose keys ``more`` should have been asked for."""
-    n = len(crowded)
-    p, times, open_, sure, asked = np.full(n, ALPHA / t.mass), np.ones(n), np.ones(n, bool), np.ones(n, bool), []
-    for k in range(t.depth, -1, -1):
+def _after_crowded(t: Tree, column: Callable[[int, np.ndarray], np.ndarray], crowded: np.ndarray, p: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """P of each symbol after its longest crowded context, from that of its word, ``p``; whether it is certain without
+    ``more``, the (key, p) of rarer phrases; and the symbols whose keys ``more`` should have been asked for.
+    ``column(k, where)`` are the hashes of the symbols k before these."""
+    p, times, open_, sure, asked = p.copy(), np.ones(len(p)), crowded > 0, np.ones(len(p), bool), []
+    for k in range(t.depth, 0, -1):
         where = np.flatnonzero(open_ & (crowded >= k))
         if not len(where):
             continue
-        own = [c[where] for c in columns]
+        own = [column(j, where) for j in range(k + 1)]
         keys = chained(own, k + 1)
-        table_, values = t.phrases[k - 1] if k else (t.words, (t.counts + ALPHA) / t.mass)
+        table_, values = t.phrases[k - 1]
         at, hit = _found(keys, table_)
         value = np.zeros(len(where))
         value[hit] = values[at[hit]]
-        sure[where[~hit]] = False
-        asked.append((where[~hit], keys[~hit]))
-        if more is not None and len(more[0]):
-            at, found = _found(keys, more[0])
-            value[found & ~hit] = more[1][at[found & ~hit]]
-            hit = hit | found
+        if not t.whole[k]:
+            sure[where[~hit]] = False
+            asked.append((where[~hit], keys[~hit]))
+            if more is not None and len(more[0]):
+                at, found = _found(keys, more[0])
+                value[found & ~hit] = more[1][at[found & ~hit]]
+                hit = hit | found
         p[where[hit]], open_[where[hit]] = value[hit], False
-        if k:
-            where, own = where[~hit], [c[~hit] for c in own]
-            times[where] *= t.crowded[k - 1][1][_found(chained(own[1:], k), t.crowded[k - 1][0])[0]]
-    p[open_] = ALPHA / t.mass
+        where, own = where[~hit], [c[~hit] for c in own]
+        times[where] *= t.crowded[k - 1][1][_found(chained(own[1:], k), t.crowded[k - 1][0])[0]]
     return p * times, sure, asked
 
 
 @dataclass
 class _Chunk:
-    """Some texts' symbols: themselves and those before them by columns, and the bucket that each goes to."""
+    """Some texts' symbols: how many of up to depth words precede each; distinct words, their places among the broadcast
+    ones and whether they are there, and each symbol's among the distinct ones. Of the symbols ``at``: the bucket that
+    each goes to, the words of its longest crowded context, P after it, whether that is all, and which it asks for."""
 
-    columns: list[np.ndarray]
-    owner: np.ndarray
     place: np.ndarray
-    crowded: np.ndarray
+    words: np.ndarray
+    found: np.ndarray
+    known: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
     bucket: np.ndarray
+    crowded: np.ndarray
     p: np.ndarray
     done: np.ndarray
     asked: list[tuple[np.ndarray, np.ndarray]]
 
 
-def _chunk(t: Tree, hashes: np.ndarray, starts: np.ndarray, buckets: int) -> _Chunk:
-    place = before(starts)
-    columns = [hashes]
-    for k in range(1, t.depth + 1):
-        column = np.zeros(len(hashes), np.uint64)
-        column[k:] = hashes[:-k]
-        column[place < k] = 0
-        columns.append(column)
-    place = np.minimum(place, t.depth).astype(np.uint8)
-    crowded = _narrow(t, columns, place)
-    p, sure, asked = _after_crowded(t, columns, crowded)
-    full = crowded >= place
-    route = np.zeros(len(hashes), np.uint64)
+def _chunk(t: Tree, hashes: np.ndarray, starts: np.ndarray, buckets: int, asking: bool = False) -> _Chunk:
+    """``asking``: only the symbols that may ask."""
+    place = np.minimum(before(starts), t.depth).astype(np.uint8)
+    words, ids = _distinct(hashes)
+    found, known = _found(words, t.words)
+    at = np.arange(len(hashes))
+    if asking:
+        some = ~(known | t.whole[0])[ids]
+        if not all(t.whole[1:]):
+            some[1:] |= _found(words, t.crowded[0][0])[1][ids[:-1]] & (place[1:] > 0)
+        at = np.flatnonzero(some)
+    columns = [hashes[at], *(np.where(place[at] >= k, hashes[at - k], np.uint64(0)) for k in range(1, t.depth + 1))]
+    crowded = _narrow(t, columns, place[at])
+    root = np.full(len(words), ALPHA / t.mass)
+    root[known] = (t.counts[found[known]] + ALPHA) / t.mass
+    p, sure, asked = _after_crowded(t, lambda k, where: columns[k][where], crowded, root[ids[at]])
+    if not t.whole[0]:
+        rare = np.flatnonzero(~known[ids[at]])
+        sure[rare] = False
+        asked.append((rare, columns[0][rare]))
+    full = crowded >= place[at]
+    route = np.zeros(len(at), np.uint64)
     for k in range(t.depth + 1):
         where = np.flatnonzero((crowded == k) & full)
-        route[where] = chained([c[where] for c in columns], k + 1)
+        route[where] = chained([c[where] for c in columns[: k + 1]], k + 1)
         where = np.flatnonzero((crowded == k) & ~full)
-        route[where] = chained([c[where] for c in columns[1:]], k + 1) if k < t.depth else 0
+        route[where] = chained([c[where] for c in columns[1 : k + 2]], k + 1) if k < t.depth else 0
     bucket = ((tb.mix(route) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    return _Chunk(columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts)), place, crowded, bucket, p, full & sure, asked)
+    return _Chunk(place, words, found, known, ids, at, bucket, crowded, p, full & sure, asked)
 
 
 def _gathered(frames: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
@@ -368,7 +400,7 @@ def _asked(tree: Broadcast, buckets: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, starts in _gathered(frames, 0):
-            c = _chunk(tree.value, hashes, starts, buckets)
+            c = _chunk(tree.value, hashes, starts, buckets, asking=True)
             for where, keys in c.asked:
                 where, keys = c.bucket[where], keys
                 order = np.lexsort((where, keys))
@@ -397,21 +429,12 @@ def _packed(codes: list[np.ndarray], owners: np.ndarray, crowded: np.ndarray, ra
     return pa.Codec("zstd", compression_level=1).compress(body, asbytes=True), len(body)
 
 
-def _unpacked(known: np.ndarray, depth: int, body: bytes, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(depth: int, body: bytes, size: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     body = pa.Codec("zstd").decompress(body, size, asbytes=True)
     n, rare = np.frombuffer(body, "<u4", 2).tolist()
     at = 8 + 8 * rare
-    others = np.frombuffer(body, "<u8", rare, 8)
-    planes = [np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at + 4 * n * j).reshape(4, n).T).view("<u4").ravel() for j in range(depth + 2)]
-    columns, place = [], np.zeros(n, np.uint8)
-    for k, c in enumerate(planes[:-1]):
-        some = c >= len(known)
-        column = known[np.where(some, 0, c)]
-        column[some] = others[c[some] - len(known)]
-        columns.append(column)
-        if k:
-            place += c > 0
-    return columns, place, planes[-1], np.frombuffer(body, np.uint8, n, at + 4 * n * len(planes))
+    planes = [np.frombuffer(body, np.uint8, 4 * n, at + 4 * n * j).reshape(4, n).T.copy("C").view("<u4").ravel() for j in range(depth + 2)]
+    return np.frombuffer(body, "<u8", rare, 8), planes[:-1], planes[-1], np.frombuffer(body, np.uint8, n, at + 4 * n * len(planes))
 
 
 def _dealt(tree: Broadcast, buckets: int, schema: pa.Schema):
@@ -422,34 +445,34 @@ def _dealt(tree: Broadcast, buckets: int, schema: pa.Schema):
         for parts, hashes, starts in _gathered(frames, 3):
             rows = np.concatenate([part.column(0).to_numpy() for part in parts])
             c = _chunk(t, hashes, starts, buckets)
-            at, known = _found(hashes, t.words)
-            root = np.zeros(len(hashes))
-            root[known] = np.log10(t.counts[at[known]] + ALPHA)
+            # A word that isn't broadcast is added by its bucket, unless all are and it has no count.
+            root = np.full(len(c.words), math.log10(ALPHA) if t.whole[0] else 0.0)
+            root[c.known] = np.log10(t.counts[c.found[c.known]] + ALPHA)
             sure = np.where(c.done, np.log(c.p), 0.0)
-            sums = [np.add.reduceat(x, starts[:-1]) for x in (root, sure)]
-            other = np.flatnonzero(~known)
-            ends = np.searchsorted(other, starts).astype(np.int32)
+            base, known, sure = (np.add.reduceat(x, starts[:-1]) for x in (root[c.ids], c.known[c.ids].astype(np.int64), sure))
             sizes = np.diff(starts)
             n = len(rows)
             ids, held_out = (pa.concat_arrays([part.column(j) for part in parts]) for j in (1, 2))
-            doc = pa.StructArray.from_arrays([ids, held_out, pa.array(sizes), pa.array(sizes - np.diff(ends)), pa.array(sums[0]), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))], fields=list(schema.field("doc").type))
+            doc = pa.StructArray.from_arrays([ids, held_out, *map(pa.array, (sizes, known, base))], fields=list(schema.field("doc").type))
             here = np.abs(rows % buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(n, 2, np.int32)), pa.array(rows), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(sums[1]), doc], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(n, 2, np.int32)), pa.array(rows), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(sure), doc], schema=schema)
 
-            codes, rare = np.zeros(len(hashes), np.uint32), np.unique(hashes[other])
-            codes[known] = t.ranks[at[known]]
-            codes[other] = len(t.words) + 1 + np.searchsorted(rare, hashes[other])
-            before_ = [codes]
+            other = np.flatnonzero(~c.known)
+            rare, code = c.words[other], np.empty(len(c.words), np.uint32)
+            code[c.known] = t.ranks[c.found[c.known]]
+            code[other] = len(t.words) + 1 + np.arange(len(other))
+            before_ = [code[c.ids]]
             for k in range(1, t.depth + 1):
-                column = np.zeros(len(codes), np.uint32)
-                column[k:] = codes[:-k]
+                column = np.zeros(len(hashes), np.uint32)
+                column[k:] = before_[0][:-k]
                 column[c.place < k] = 0
                 before_.append(column)
             train = ~held_out.to_numpy(zero_copy_only=False)
-            owners = ((rows[c.owner] - rows[0]) * 2 + train[c.owner]).astype(np.uint32)
+            owner = np.repeat(np.arange(n), sizes)
+            owners = ((rows[owner] - rows[0]) * 2 + train[owner]).astype(np.uint32)
             left = np.flatnonzero(~c.done)
             alike = (before_[1][left].astype(np.uint64) << np.uint64(24)) | before_[min(2, t.depth)][left]
-            left = left[np.lexsort((alike, c.bucket[left]))]
+            left = left[np.argsort(c.bucket[left].astype(np.uint64) << np.uint64(48) | alike & np.uint64(2**48 - 1)) if buckets < 2**16 else np.lexsort((alike, c.bucket[left]))]
             edges = np.flatnonzero(np.diff(c.bucket[left], prepend=-1, append=-1))
             out = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -463,18 +486,21 @@ def _dealt(tree: Broadcast, buckets: int, schema: pa.Schema):
     return run
 
 
-def _climbed(t: Tree, columns: list[np.ndarray], place: np.ndarray, crowded: np.ndarray, train: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _climbed(t: Tree, codes: list[np.ndarray], place: np.ndarray, crowded: np.ndarray, train: np.ndarray, p: np.ndarray) -> np.ndarray:
     """P of each symbol after its longest retained context, from that after its longest crowded one. All occurrences
-    of a context that isn't crowded are here, so that its distribution is exact."""
-    p = p.copy()
+    of a context that isn't crowded are here, so that its distribution is exact. Words are numbers of this bucket."""
+    p, pair = p.copy(), lambda a, b: a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    before_ = codes[1] if t.depth else None
     for k in range(1, t.depth + 1):
+        if k > 1:
+            before_ = _distinct(pair(before_, codes[k]))[1]
         where = np.flatnonzero((crowded < k) & (place >= k))
         if not len(where):
-            break
-        own = [c[where] for c in columns]
-        _, one, phrase = np.unique(chained(own, k + 1), return_index=True, return_inverse=True)
+            continue
+        _, phrase = _distinct(pair(before_[where], codes[0][where]))
+        one = np.flatnonzero(np.diff(np.maximum.accumulate(phrase), prepend=-1))
         n = np.bincount(phrase, train[where], len(one))
-        _, context = np.unique(chained([c[one] for c in own[1:]], k), return_inverse=True)
+        _, context = _distinct(before_[where[one]])
         low, often = p[where[one]], (n > 0) & (n >= t.fewest)
         summed = lambda x: np.bincount(context, x)  # noqa: E731, B023
         c, seen, of_seen = summed(n), summed(often * 1.0), summed(n * often)
@@ -487,30 +513,53 @@ def _climbed(t: Tree, columns: list[np.ndarray], place: np.ndarray, crowded: np.
 
 
 def _solved(tree: Broadcast, schema: pa.Schema):
-    """(row, ln, doc): what the buckets of a task, one after the other, add to each row; rows' own lines pass."""
+    """(row, ln, more, found, doc): what the buckets of a task, one after the other, add to each row; of words that aren't
+    broadcast also to its base and its known words; rows' own lines pass."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tree = tree.value
-        known = np.zeros(len(t.words) + 1, np.uint64)  # by rank
-        known[t.ranks] = t.words
+        known, root = np.zeros(len(t.words) + 1, np.uint64), np.zeros(len(t.words) + 1)  # by rank
+        known[t.ranks], root[t.ranks] = t.words, (t.counts + ALPHA) / t.mass
         now, keys, values, bodies, sums, n = None, [], [], [], [], 0
 
         def solve():
-            held = [_unpacked(known, t.depth, body, size) for _, body, size in bodies]
-            columns = [np.concatenate([h[0][k] for h in held]) for k in range(t.depth + 1)]
-            place, owners, crowded = (np.concatenate([h[j] for h in held]) for j in (1, 2, 3))
+            held = [_unpacked(t.depth, body, size) for _, body, size in bodies]
+            rare, own = _distinct(np.concatenate([h[0] for h in held]))
+            # Each body's list of rarer words in the numbers of this bucket.
+            first, codes = 0, []
+            for h in held:
+                for c in h[1]:
+                    some = c >= len(known)
+                    c[some] = len(known) + own[first + c[some].astype(np.int64) - len(known)]
+                codes.append(h[1])
+                first += len(h[0])
+            codes = [np.concatenate([c[k] for c in codes]) for k in range(t.depth + 1)]
+            owners, crowded = (np.concatenate([h[j] for h in held]) for j in (2, 3))
+            place = sum(((c > 0).astype(np.uint8) for c in codes[1:]), np.zeros(len(owners), np.uint8))
             rows = np.concatenate([row + (h[2] >> 1).astype(np.int64) for (row, _, _), h in zip(bodies, held, strict=True)])
             more = np.concatenate([np.zeros(0, np.int64), *keys]).view(np.uint64), np.concatenate([np.zeros(0), *values])
             order = np.argsort(more[0])
-            p, _, _ = _after_crowded(t, columns, crowded, (more[0][order], more[1][order]))
-            return rows, np.log(_climbed(t, columns, place, crowded, (owners & 1).astype(float), p))
+            more = more[0][order], more[1][order]
+            at, counted = _found(rare, more[0])
+            p_rare = np.full(len(rare), ALPHA / t.mass)
+            p_rare[counted] = more[1][at[counted]]
+            names, start = np.concatenate([known, rare]), np.concatenate([root, p_rare])[codes[0]]
+            p, _, _ = _after_crowded(t, lambda k, where: names[codes[k][where]], crowded, start, more)
+            ln = np.log(_climbed(t, codes, place, crowded, (owners & 1).astype(float), p))
+            some = codes[0] >= len(known) if not t.whole[0] else np.zeros(len(ln), bool)
+            base, found = np.zeros(len(ln)), np.zeros(len(ln))
+            base[some], found[some] = np.log10(start[some] * t.mass), counted[codes[0][some] - np.uint32(len(known))]
+            return summed(rows, ln, base, found)
+
+        def summed(rows, *columns):
+            rows, where = _distinct(rows)
+            return rows, *(np.bincount(where, x, len(rows)) for x in columns)
 
         def folded():
-            rows, where = np.unique(np.concatenate([r for r, _ in sums]), return_inverse=True)
-            return rows, np.bincount(where, np.concatenate([x for _, x in sums]), len(rows))
+            return summed(*(np.concatenate([x[j] for x in sums]) for j in range(4)))
 
-        def line(rows, ln):
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ln), pa.nulls(len(rows), schema.field("doc").type)], schema=schema)
+        def line(rows, ln, base, found):
+            return pa.RecordBatch.from_arrays([*map(pa.array, (rows, ln, base, found.round().astype(np.int64))), pa.nulls(len(rows), schema.field("doc").type)], schema=schema)
 
         for frame in frames:
             bucket, kind = frame.column(0).to_numpy(), frame.column(1).to_numpy()
@@ -534,7 +583,8 @@ def _solved(tree: Broadcast, schema: pa.Schema):
                 elif kind[a] == 1:
                     bodies += zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(5), part.column(6)], schema=schema)
+                    m = len(part)
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(5), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), part.column(6)], schema=schema)
         if bodies:
             sums.append(solve())
         if sums:
@@ -557,25 +607,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every
     spark = prepare(docs.sparkSession)
     held_out = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % every == 0).alias("held_out")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tree, words, base = fit(rows.where(~F.col("held_out")).select("text"), depth, share, fewest, crowd, entries)
+    tree, base = fit(rows.where(~F.col("held_out")).select("text"), depth, share, fewest, crowd, entries)
     sent = spark.sparkContext.broadcast(tree)
     buckets = 1 + tree.n // BUCKET
-    line = StructType().add("id", docs.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("others", ArrayType(LongType()))
+    line = StructType().add("id", docs.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double")
     dealt = StructType().add("bucket", "integer").add("kind", "integer").add("row", "long").add("body", "binary").add("key", "long").add("p", "double").add("doc", line)
-    solved = StructType().add("row", "long").add("ln", "double").add("doc", line)
-    packed = rows.mapInArrow(_dealt(sent, buckets, to_arrow_schema(dealt)), dealt)
-    asked = rows.select("text").mapInArrow(_asked(sent, buckets), "key long, bucket int").repartition("key").distinct().join(base, "key").withColumn("kind", F.lit(0))
+    solved = StructType().add("row", "long").add("ln", "double").add("more", "double").add("found", "long").add("doc", line)
+    met = rows.mapInArrow(_dealt(sent, buckets, to_arrow_schema(dealt)), dealt)
+    if base is not None:
+        asked = rows.select("text").mapInArrow(_asked(sent, buckets), "key long, bucket int")
+        met = met.unionByName(asked.repartition("key").distinct().join(base, "key").withColumn("kind", F.lit(0)), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = packed.unionByName(asked, allowMissingColumns=True).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    met = met.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     done = stored(met.select(*dealt.names).mapInArrow(_solved(sent, to_arrow_schema(solved)), solved), "scored")
     lines = done.where("doc is not null").select("row", "doc.*")
-    # Words that aren't broadcast, or aren't in the training texts, for the base.
-    light = lines.select("row", F.explode("others").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
-    with_n = light.join(words.withColumnRenamed("n", "c"), "word", "left")
-    zero = F.lit(0).cast("long")
-    more = with_n.select("row", F.lit(0.0).alias("ln"), (F.col("times") * F.log10(F.coalesce("c", zero) + ALPHA)).alias("more"), F.when(F.col("c") > 0, F.col("times")).otherwise(zero).alias("found"))
-    sums = done.select("row", "ln", F.lit(0.0).alias("more"), zero.alias("found")).unionByName(more).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ln", "more", "found")))
-    return lines.drop("others").join(sums, "row").select(
+    sums = done.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ln", "more", "found")))
+    return lines.join(sums, "row").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

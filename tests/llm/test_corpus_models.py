@@ -183,6 +183,23 @@ def test_op11_tells_what_occurs_twice(spark):
     assert min(got[i] for i in (5, 7, 1001, 1002)) > max(once)
 
 
+def test_op11_buckets_ask_in_proportion(spark, monkeypatch):
+    # Five times the texts, of words most of which are rare in both: what buckets ask for grows alike, not from nothing.
+    monkeypatch.setattr(suffix_lm, "FREQUENT", 1 / 4000, raising=False)
+    monkeypatch.setattr(suffix_lm, "BUCKET", 500)
+    rng = random.Random(14)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(40)) for _ in range(750)]
+    entries = len({t for x in texts[:135] for t in x.split()}) + 1
+
+    def asked(n):
+        df = spark.createDataFrame([(x,) for x in texts[:n]], "text string").coalesce(1)
+        tree, *_ = suffix_lm.fit(df.limit(n * 9 // 10), entries=entries)
+        return df.mapInArrow(suffix_lm._asked(spark.sparkContext.broadcast(tree), 1 + tree.n // suffix_lm.BUCKET), "key long, bucket int").count()
+
+    few, many = asked(150), asked(750)
+    assert many < 7 * few
+
+
 # 12
 
 
