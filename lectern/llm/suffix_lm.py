@@ -17,6 +17,7 @@ symbol. All phrases are counted exactly, also those that occur once: no count or
    words of a share of FREQUENT of the tokens or more, and for phrases after crowded contexts, at most the most frequent
    ENTRIES of each length. Buckets ask for the rest by a join on hashes. As the words' bound is a share of the tokens,
    what is asked is in proportion to the corpus; where all words and phrases are broadcast, nothing is.
+5. A task sums up what its buckets add to each row, and sends that packed to the row's chunk, where lines are completed.
 """
 
 from __future__ import annotations
@@ -455,7 +456,7 @@ def _dealt(tree: Broadcast, buckets: int, schema: pa.Schema):
             ids, held_out = (pa.concat_arrays([part.column(j) for part in parts]) for j in (1, 2))
             doc = pa.StructArray.from_arrays([ids, held_out, *map(pa.array, (sizes, known, base))], fields=list(schema.field("doc").type))
             here = np.abs(rows % buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(n, 2, np.int32)), pa.array(rows), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(sure), doc], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(n, 2, np.int32)), pa.array(rows), pa.nulls(n, pa.binary()), pa.array(np.full(n, rows[0])), pa.array(sure), doc], schema=schema)
 
             other = np.flatnonzero(~c.known)
             rare, code = c.words[other], np.empty(len(c.words), np.uint32)
@@ -512,15 +513,68 @@ def _climbed(t: Tree, codes: list[np.ndarray], place: np.ndarray, crowded: np.nd
     return p
 
 
+def _packed_sums(rows: np.ndarray, ln: np.ndarray, base: np.ndarray, found: np.ndarray) -> tuple[bytes, int]:
+    """Sums of rows in order, counted from the chunk's first."""
+    some = np.flatnonzero((base != 0) | (found > 0))
+    body = b"".join([np.array([len(rows), len(some)], "<u4").tobytes(), ln.astype("<f8").tobytes(), base[some].astype("<f8").tobytes(), *map(_planes, (np.diff(rows, prepend=0), some, found[some].round()))])
+    return pa.Codec("zstd", compression_level=1).compress(body, asbytes=True), len(body)
+
+
+def _unpacked_sums(body: bytes, size: int) -> list[np.ndarray]:
+    """Rows, ln; rows with words that aren't broadcast, what these add to the base, how many are known."""
+    body = pa.Codec("zstd").decompress(body, size, asbytes=True)
+    n, m = np.frombuffer(body, "<u4", 2).tolist()
+    plane = lambda k, at: np.frombuffer(body, np.uint8, 4 * k, at).reshape(4, k).T.copy("C").view("<u4").ravel().astype(np.int64)
+    at = 8 + 8 * (n + m)
+    rows = np.cumsum(plane(n, at))
+    return [rows, np.frombuffer(body, "<f8", n, 8), rows[plane(m, at + 4 * n)], np.frombuffer(body, "<f8", m, 8 + 8 * n), plane(m, at + 4 * (n + m))]
+
+
+def _lined(schema: pa.Schema):
+    """The lines of each chunk's rows with all that its buckets add."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out():
+            part = pa.concat_batches(held)
+            lines = part.filter(part.column("doc").is_valid()).sort_by("row")
+            doc = lines.column("doc")
+            id_, held_out, n_tokens, n_known, base = (doc.field(j) for j in range(5))
+            rows, ln, base, n_known = lines.column("row").to_numpy() - now, *(x.to_numpy().copy() for x in (lines.column("ln"), base, n_known))
+            sums = part.filter(part.column("body").is_valid())
+            for body, size in zip(sums.column("body").to_pylist(), sums.column("size").to_pylist(), strict=True):
+                own, add, some, more, found = _unpacked_sums(body, size)
+                ln[np.searchsorted(rows, own)] += add
+                at = np.searchsorted(rows, some)
+                base[at] += more
+                n_known[at] += found
+            return pa.RecordBatch.from_arrays([id_, held_out, n_tokens, *map(pa.array, (n_known, base, ln))], schema=schema)
+
+        for frame in frames:
+            chunk = frame.column(0).to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if chunk[a] != now and held:
+                    yield out()
+                    held.clear()
+                now = int(chunk[a])
+                held.append(frame.slice(a, b - a))
+        if held:
+            yield out()
+
+    return run
+
+
 def _solved(tree: Broadcast, schema: pa.Schema):
-    """(row, ln, more, found, doc): what the buckets of a task, one after the other, add to each row; of words that aren't
-    broadcast also to its base and its known words; rows' own lines pass."""
+    """(chunk, row, ln, doc, body, size): rows' own lines pass; what the buckets of a task, one after the other, add to the
+    rows of a chunk, of words that aren't broadcast also to their base and their known words, goes out packed by chunk."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Tree = tree.value
         known, root = np.zeros(len(t.words) + 1, np.uint64), np.zeros(len(t.words) + 1)  # by rank
         known[t.ranks], root[t.ranks] = t.words, (t.counts + ALPHA) / t.mass
-        now, keys, values, bodies, sums, n = None, [], [], [], [], 0
+        now, keys, values, bodies, sums, n, chunks = None, [], [], [], [], 0, set()
 
         def solve():
             held = [_unpacked(t.depth, body, size) for _, body, size in bodies]
@@ -537,6 +591,8 @@ def _solved(tree: Broadcast, schema: pa.Schema):
             owners, crowded = (np.concatenate([h[j] for h in held]) for j in (2, 3))
             place = sum(((c > 0).astype(np.uint8) for c in codes[1:]), np.zeros(len(owners), np.uint8))
             rows = np.concatenate([row + (h[2] >> 1).astype(np.int64) for (row, _, _), h in zip(bodies, held, strict=True)])
+            chunks.update(row for row, _, _ in bodies)
+            held.clear()
             more = np.concatenate([np.zeros(0, np.int64), *keys]).view(np.uint64), np.concatenate([np.zeros(0), *values])
             order = np.argsort(more[0])
             more = more[0][order], more[1][order]
@@ -558,8 +614,15 @@ def _solved(tree: Broadcast, schema: pa.Schema):
         def folded():
             return summed(*(np.concatenate([x[j] for x in sums]) for j in range(4)))
 
-        def line(rows, ln, base, found):
-            return pa.RecordBatch.from_arrays([*map(pa.array, (rows, ln, base, found.round().astype(np.int64))), pa.nulls(len(rows), schema.field("doc").type)], schema=schema)
+        def packed(rows, *columns):
+            order, begin = np.argsort(rows), np.sort(np.array([*chunks], np.int64))
+            rows, columns = rows[order], [x[order] for x in columns]
+            edges = np.append(np.searchsorted(rows, begin), len(rows))
+            out = [(int(c), *_packed_sums(rows[a:b] - c, *(x[a:b] for x in columns))) for c, a, b in zip(begin, edges[:-1], edges[1:], strict=True)]
+            chunks.clear()
+            m = len(out)
+            c, body, size = (pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True))
+            return pa.RecordBatch.from_arrays([c, pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, schema.field("doc").type), body, size], schema=schema)
 
         for frame in frames:
             bucket, kind = frame.column(0).to_numpy(), frame.column(1).to_numpy()
@@ -573,7 +636,7 @@ def _solved(tree: Broadcast, schema: pa.Schema):
                             sums = [folded()]
                             n = len(sums[0][0])
                             if n > HELD:
-                                yield line(*sums[0])
+                                yield packed(*sums[0])
                                 sums, n = [], 0
                     now, keys, values, bodies = bucket[a], [], [], []
                 part = frame.slice(a, b - a)
@@ -584,11 +647,11 @@ def _solved(tree: Broadcast, schema: pa.Schema):
                     bodies += zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
                 else:
                     m = len(part)
-                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(5), pa.array(np.zeros(m)), pa.array(np.zeros(m, np.int64)), part.column(6)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*map(part.column, (4, 2, 5, 6)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], schema=schema)
         if bodies:
             sums.append(solve())
         if sums:
-            yield line(*folded())
+            yield packed(*folded())
         trim()
 
     return run
@@ -612,23 +675,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every
     buckets = 1 + tree.n // BUCKET
     line = StructType().add("id", docs.schema[id_col].dataType).add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("base", "double")
     dealt = StructType().add("bucket", "integer").add("kind", "integer").add("row", "long").add("body", "binary").add("key", "long").add("p", "double").add("doc", line)
-    solved = StructType().add("row", "long").add("ln", "double").add("more", "double").add("found", "long").add("doc", line)
+    solved = StructType().add("chunk", "long").add("row", "long").add("ln", "double").add("doc", line).add("body", "binary").add("size", "long")
+    lined = StructType([*line.fields]).add("ln", "double")
     met = rows.mapInArrow(_dealt(sent, buckets, to_arrow_schema(dealt)), dealt)
     if base is not None:
         asked = rows.select("text").mapInArrow(_asked(sent, buckets), "key long, bucket int")
         met = met.unionByName(asked.repartition("key").distinct().join(base, "key").withColumn("kind", F.lit(0)), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    done = stored(met.select(*dealt.names).mapInArrow(_solved(sent, to_arrow_schema(solved)), solved), "scored")
-    lines = done.where("doc is not null").select("row", "doc.*")
-    sums = done.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ln", "more", "found")))
-    return lines.join(sums, "row").select(
+    done = met.select(*dealt.names).mapInArrow(_solved(sent, to_arrow_schema(solved)), solved)
+    # A line and its chunk's sums meet by chunk; chunks and tasks have one row of sums, however many rows these hold.
+    lines = stored(done.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_lined(to_arrow_schema(lined)), lined), "scored")
+    return lines.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.col("found")).alias("n_known"),
+        "n_known",
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more") - F.col("n_tokens") * F.lit(math.log10(tree.mass))).alias("base_score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(math.log10(tree.mass))).alias("base_score"),
         (F.col("ln") / math.log(10)).alias("score"),
     )
 

@@ -200,6 +200,18 @@ def test_op11_buckets_ask_in_proportion(spark, monkeypatch):
     assert many < 7 * few
 
 
+def test_op11_sums_meet_in_a_line_for_each_text(spark, monkeypatch):
+    # However many tasks the words of a text are dealt to, what is written has one row for it.
+    written, stored = {}, suffix_lm.stored
+    monkeypatch.setattr(suffix_lm, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(suffix_lm, "BUCKET", 100)
+    monkeypatch.setattr(suffix_lm, "FREQUENT", 1 / 1000)
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(30))) for i in range(90)]
+    assert suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), entries=50).count() == 90
+    assert written["scored"].count() == 90
+
+
 # 12
 
 
