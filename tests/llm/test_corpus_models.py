@@ -183,6 +183,22 @@ def test_op11_tells_what_occurs_twice(spark):
     assert min(got[i] for i in (5, 7, 1001, 1002)) > max(once)
 
 
+def test_op11_bucket_after_crowded_contexts_alone(spark):
+    # All words and pairs are crowded, triples aren't: no symbol of a bucket starts from the root, and all climb.
+    rng = random.Random(16)
+    rows = []
+    for i in range(200):
+        x = [0, 1, 2]
+        for _ in range(30):
+            x.append((x[-1] + 2 * x[-2] + 3 * x[-3]) % 4 if rng.random() < 0.7 else rng.randrange(4))
+        rows.append((i, " ".join("abcd"[j] for j in x[3:])))
+    got = {r.doc_id: r.score for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), crowd=150).collect()}
+    train = [tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    want, states, *_ = brute_lm(train, [tokens(t) for _, t in rows], suffix_lm.DEPTH, 0, 1)
+    assert any(len(s) == 3 for s in states)
+    assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
 def test_op11_buckets_ask_in_proportion(spark, monkeypatch):
     # Five times the texts, of words most of which are rare in both: what buckets ask for grows alike, not from nothing.
     monkeypatch.setattr(suffix_lm, "FREQUENT", 1 / 4000, raising=False)
